@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import exact_dedup, mixing, packing, sharding
+from graphloom.llm import exact_dedup, mixing, neardup, packing, sharding, substring_dedup, suffix_dedup
 from graphloom.llm.common import read
 
 
@@ -12,6 +12,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents")).drop("home_shard")
 
@@ -22,9 +26,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(read(spark, sf_dir, "documents"))
+
+
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), size=4)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op5_sharding, op6_packing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_suffix_dedup, op5_sharding, op6_packing, op7_substring_dedup, op8_minhash_dedup, op10_exact_dedup)}
 ORACLES = {"op2_mixing": mixing.oracle(), "op10_exact_dedup": exact_dedup.ORACLE}
