@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import exact_dedup, mixing, neardup, packing, sharding, substring_dedup, suffix_dedup
+from graphloom.llm import exact_dedup, fingerprints, language_id, mixing, neardup, packing, sharding, substring_dedup, suffix_dedup
 from graphloom.llm.common import read
 
 
@@ -12,6 +12,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(read(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents"))
 
@@ -34,9 +38,13 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), size=4)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.document_fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_suffix_dedup, op5_sharding, op6_packing, op7_substring_dedup, op8_minhash_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_language_id, op4_suffix_dedup, op5_sharding, op6_packing, op7_substring_dedup, op8_minhash_dedup, op9_fingerprints, op10_exact_dedup)}
 ORACLES = {"op2_mixing": mixing.oracle(), "op10_exact_dedup": exact_dedup.ORACLE}
