@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import exact_dedup, fingerprints, language_id, mixing, neardup, packing, sharding, substring_dedup, suffix_dedup
+from graphloom.llm import exact_dedup, fingerprints, html_extraction, language_id, mixing, neardup, packing, sharding, substring_dedup, suffix_dedup
 from graphloom.llm.common import read
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_text(read(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_language_id, op4_suffix_dedup, op5_sharding, op6_packing, op7_substring_dedup, op8_minhash_dedup, op9_fingerprints, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_mixing, op3_language_id, op4_suffix_dedup, op5_sharding, op6_packing, op7_substring_dedup, op8_minhash_dedup, op9_fingerprints, op10_exact_dedup)}
 ORACLES = {"op2_mixing": mixing.oracle(), "op10_exact_dedup": exact_dedup.ORACLE}
