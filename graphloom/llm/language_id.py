@@ -81,7 +81,14 @@ def temperature(logits: np.ndarray, classes: np.ndarray) -> float:
     if not len(logits):
         return 1.0
     grid = np.geomspace(0.02, 5, 120)
-    loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(classes)), classes], 1e-12)).mean() for t in grid]
+    # One more row of unknown class, so that rows that are all right don't make all scores 1.
+    doubt = 1 / (len(classes) + 1)
+
+    def loss_at(t: float) -> float:
+        p = np.log(np.maximum(softmax(logits / t), 1e-300))
+        return -((1 - doubt) * p[np.arange(len(classes)), classes] + doubt * p.mean(axis=1)).mean()
+
+    loss = [loss_at(t) for t in grid]
     return float(grid[int(np.argmin(loss))])
 
 
