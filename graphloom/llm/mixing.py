@@ -78,11 +78,12 @@ def budgets(leaves: DataFrame, total: Column, weights=WEIGHTS, epochs: int = EPO
     """Of leaves (domain, lang, source, supply): the same with `budget`, at most epochs * supply each."""
     leaves = leaves.filter("supply > 0").withColumn("room", (F.col("supply") * epochs).cast("decimal(28,0)"))
     own = leaves
-    given = leaves.agg(F.least(total, F.sum("room")).cast("decimal(28,0)").alias("given"))
+    whole = leaves.agg(F.least(total, F.sum("room")).cast("decimal(28,0)")).first()[0] or 0  # one number
+    given = None
     for depth, level in enumerate(LEVELS):
         parents = list(LEVELS[:depth])
         nodes = leaves.groupBy(*parents, level).agg(F.sum("room").cast("decimal(28,0)").alias("room"))
-        nodes = nodes.join(given, parents) if parents else nodes.crossJoin(F.broadcast(given))  # one row
+        nodes = nodes.join(given, parents) if parents else nodes.withColumn("given", F.lit(whole).cast("decimal(28,0)"))
         given = shared_out(nodes, parents, level, weights).select(*parents, level, F.col("budget").alias("given"))
     return own.join(given.withColumnRenamed("given", "budget"), list(LEVELS)).select(*LEVELS, "supply", "budget")
 

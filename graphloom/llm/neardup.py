@@ -234,3 +234,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, k: int = K)
     out = out.withColumn("key", key).join(placed.select(F.col("content").alias("key"), "component"), "key", "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("hot", "component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, size: int = 5, least: int = 80) -> DataFrame:
+    """The rows of docs, all columns, that near_duplicates keeps: of each component the row of its smallest doc_id.
+
+    Of rows that repeat a kept doc_id all stay.
+    """
+    gone = near_duplicates(docs.select("doc_id", "text"), size, least).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
