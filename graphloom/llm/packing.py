@@ -13,6 +13,8 @@ totals of the cells' counts, so one length may hold any share of all rows.
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +28,7 @@ from graphloom.llm.common import partitions, stash
 ROOM = 4096
 #: Id put after each document's last token.
 END = 1
-#: Words whose ids a Python worker remembers; more are tokenized again.
+#: Runs of characters whose ids a Python worker remembers.
 MEMO = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int"
@@ -123,31 +125,50 @@ def plan(counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.ascontiguousarray(table[:, k]) for k in range(5))
 
 
+#: Texts of these characters are tokenized run by run: the tokenizer splits them at the ends of runs of letters, single
+#: digits and runs of other signs, changes letters one by one, and finds no contraction or special token in them.
+PLAIN = re.compile(r"[\t-\r -&(-~À-ÖØ-öø-ÿ]*")
+RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+WORDS = re.compile(r"[^\t-\r ]+")
+
+
+class Ids:
+    """A text's ids as little-endian bytes. Ids of MEMO runs or words are remembered; others are found again."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+
+    def __call__(self, text: str) -> bytes:
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            found = RUNS.findall(text.lower())
+        else:
+            # The tokenizer splits at white space, so that a word has the same ids wherever it stands.
+            found = WORDS.findall(text)
+        known = self.known
+        if new := [w for w in set(found) if w not in known]:
+            ids = {w: np.array(e.ids, dtype="<u4").tobytes() for k in range(0, len(new), 20_000) for w, e in zip(new[k : k + 20_000], self.tokenizer.encode_batch(new[k : k + 20_000], add_special_tokens=False), strict=True)}
+            if len(known) < MEMO:
+                known.update(ids)
+            else:
+                return b"".join([known[w] if w in known else ids[w] for w in found])
+        return b"".join([known[w] for w in found])
+
+
 def tokenize(path: str, room: int = ROOM, end: int = END):
     """A function for mapInArrow that cuts the ids of (doc_id, text) rows into pieces."""
-    import re
-
-    words = re.compile(r"[^\t-\r ]+")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tokenizer, known = Tokenizer.from_file(path), {}
         task = TaskContext.get().partitionId()
+        # A Python worker runs many tasks, one after the other; what one has found serves the next.
+        ids_of = vars(sys).setdefault("graphloom_ids", {}).get(path) or vars(sys)["graphloom_ids"].setdefault(path, Ids(path))
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                # The tokenizer splits at white space, so that a word has the same ids wherever it stands.
-                found = words.findall(text.as_py() or "")
-                if new := [w for w in set(found) if w not in known]:
-                    if len(known) + len(new) > MEMO:
-                        known.clear()
-                        new = list(set(found))
-                    for k in range(0, len(new), 20_000):
-                        part = new[k : k + 20_000]
-                        known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True))
-                ids = b"".join([known[w] for w in found]) + end.to_bytes(4, "little")
+                ids = ids_of(text.as_py() or "") + end.to_bytes(4, "little")
                 for piece, at in enumerate(range(0, len(ids), 4 * room)):
                     part = ids[at : at + 4 * room]
                     out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), task))
