@@ -1,2 +1,194 @@
+"""Discovery, change detection, planning, resolution, batches, provenance, parsing."""
+
+from pyspark.sql import functions as F
+
 from graphloom.catalog.registry import Registry
-registry = Registry()
+from graphloom.functions import parsing
+from graphloom.operators import aggregates, discovery, graph, ingestion
+from graphloom.sources import tables
+from graphloom.sources.tables import sql
+
+registry = query = Registry()
+
+# Documents as the files of a corpus: a path of source, language and number.
+_EXT = "['py', 'txt', 'css', 'min.js', 'go', 'bin']"
+_FOLDER = "['src', 'vendor', 'node_modules', 'lib/cache', 'docs', 'tests']"
+_FILES = f"corpus AS (SELECT doc_id, {_FOLDER}[1 + doc_id % 6] || '/' || coalesce(source, 'none') || '/f' || doc_id || '.' || {_EXT}[1 + (doc_id // 6) % 6] AS path, coalesce(text, '') AS content, strlen(coalesce(text, ''))::BIGINT AS size FROM documents)"
+
+
+def corpus(spark, sf_dir):
+    pick = lambda names, at: F.element_at(F.array(*[F.lit(n) for n in names]), (at + 1).cast("int"))
+    d = tables.read(spark, sf_dir, "documents")
+    folder = pick(["src", "vendor", "node_modules", "lib/cache", "docs", "tests"], F.col("doc_id") % 6)
+    ext = pick(["py", "txt", "css", "min.js", "go", "bin"], F.floor(F.col("doc_id") / 6) % 6)
+    path = F.concat(folder, F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/f"), F.col("doc_id").cast("string"), F.lit("."), ext)
+    content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return d.select("doc_id", path.alias("path"), content.alias("content"), F.octet_length(content).cast("long").alias("size"))
+
+
+@query(sql("SELECT path AS rel_path, CASE WHEN ends_with(path, '.py') THEN 'python' WHEN ends_with(path, '.css') THEN 'css' WHEN ends_with(path, '.js') THEN 'javascript' WHEN ends_with(path, '.go') THEN 'go' ELSE 'text' END AS language, size AS byte_size, sha256(content) AS content_hash FROM corpus WHERE NOT contains(path, 'node_modules/') AND size <= 1048576 AND NOT (size > 8192 AND substr(hex(encode(content)), 16385, 1) IN ('8', '9', 'A', 'B'))", _FILES))
+def s01_discover(spark, sf_dir):
+    """Also S4 to S6 and S12: skipped folders, text sniffing, languages and hashes."""
+    return discovery.discovered(corpus(spark, sf_dir))
+
+
+@query(sql("SELECT path AS rel_path FROM corpus WHERE NOT contains(path, 'node_modules/') AND doc_id % 10 <> 0 AND size <= 1048576 AND NOT (size > 8192 AND substr(hex(encode(content)), 16385, 1) IN ('8', '9', 'A', 'B'))", _FILES))
+def s03_ignored(spark, sf_dir):
+    files = corpus(spark, sf_dir)
+    return discovery.discovered(files, ignored=files.filter("doc_id % 10 = 0")).select("rel_path")
+
+
+@query(sql("SELECT path, contains(path, '.min.') AS generated FROM corpus", _FILES))
+def s07_generated_names(spark, sf_dir):
+    return corpus(spark, sf_dir).select("path", discovery.generated_name(F.col("path")).alias("generated"))
+
+
+@query(sql("""
+SELECT folder, count(*) AS files, sum(size)::BIGINT AS bytes, round(avg(CASE WHEN k <= 64 THEN contains(path, '.min.')::INT END), 6) AS generated FROM (
+  SELECT folder, path, size, row_number() OVER (PARTITION BY folder ORDER BY path) AS k FROM (
+    SELECT split_part(path, '/', 1) AS folder, path, size FROM corpus UNION ALL SELECT regexp_replace(path, '/[^/]*$', ''), path, size FROM corpus
+    UNION ALL SELECT 'lib/cache', path, size FROM corpus WHERE starts_with(path, 'lib/cache/'))) GROUP BY folder""", _FILES))
+def s08_folder_statistics(spark, sf_dir):
+    return aggregates.folders(corpus(spark, sf_dir)).select("folder", "files", F.col("bytes").cast("long").alias("bytes"), F.round("generated", 6).alias("generated"))
+
+
+@query(sql("SELECT path FROM corpus WHERE NOT starts_with(path, 'vendor/') AND NOT starts_with(path, 'lib/cache/')", _FILES))
+def s09_outside_pruned(spark, sf_dir):
+    files = corpus(spark, sf_dir)
+    # Limits small enough for these tables: folders of over 20 files that look generated go.
+    gone = discovery.pruned_folders(aggregates.folders(files), max_files=20).filter("folder in ('vendor', 'lib/cache')")
+    return discovery.outside(files, gone).select("path")
+
+
+@query(sql("SELECT regexp_replace(path, '/[^/]*$', '') AS folder, count(*) AS files, sum(size)::BIGINT AS bytes FROM corpus GROUP BY ALL", _FILES))
+def s10_direct_children(spark, sf_dir):
+    """The single-file rule looks at a folder's own files only."""
+    return corpus(spark, sf_dir).groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+
+
+@query(sql("SELECT path AS rel_path, CASE WHEN doc_id % 5 = 0 THEN 'new' WHEN doc_id % 5 = 1 THEN 'changed' ELSE 'unembedded' END AS why FROM corpus WHERE doc_id % 5 < 3", _FILES))
+def j03_changed_files(spark, sf_dir):
+    found = corpus(spark, sf_dir).select("doc_id", F.col("path").alias("rel_path"), F.sha2("content", 256).alias("content_hash"))
+    indexed = found.filter("doc_id % 5 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 5 == 1, "old").otherwise(F.col("content_hash")))
+    return ingestion.changed(found.drop("doc_id"), indexed, found.filter("doc_id % 5 = 2")).select("rel_path", "why")
+
+
+@query(sql("SELECT path AS rel_path FROM corpus WHERE doc_id % 7 = 0", _FILES))
+def j02_stale_files(spark, sf_dir):
+    indexed = corpus(spark, sf_dir).select("doc_id", F.col("path").alias("rel_path"))
+    return ingestion.stale(indexed.filter("doc_id % 7 <> 0"), indexed)
+
+
+@query(sql("""
+SELECT source_id, target_id, relationship, max(weight) AS weight FROM (
+  SELECT s.id AS source_id, coalesce(t.id, r.id) AS target_id, 'imports' AS relationship, 1.0::DOUBLE AS weight
+  FROM (SELECT p_partkey, p_partkey // 2 AS to FROM part WHERE p_partkey > 1) e
+  JOIN names s ON s.q = 'm' || e.p_partkey LEFT JOIN names t ON t.q = 'm' || e.to LEFT JOIN names r ON r.q = 'src.m' || e.to) WHERE target_id IS NOT NULL GROUP BY ALL""",
+    """plan AS (SELECT 'm' || p_partkey AS q, 'n' || p_partkey AS id, p_partkey AS position FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT 'm' || p_partkey, 'x' || p_partkey, -1 FROM part WHERE p_partkey % 3 = 1),
+stored AS (SELECT CASE WHEN p_partkey % 6 = 0 THEN 'src.m' ELSE 'm' END || p_partkey AS q, 'g' || p_partkey AS id FROM part WHERE p_partkey % 2 = 0),
+own AS (SELECT q, max_by(id, position) AS id FROM plan GROUP BY q), old AS (SELECT q, min(id) AS id FROM stored GROUP BY q),
+names AS (SELECT q, coalesce(own.id, old.id) AS id FROM own FULL JOIN old USING (q))"""))
+def j01_resolve_edges(spark, sf_dir):
+    part = tables.read(spark, sf_dir, "part").select("p_partkey")
+    name = lambda prefix, c="p_partkey": F.concat(F.lit(prefix), F.col(c).cast("string"))
+    plan = part.filter("p_partkey % 3 <> 0").select(name("m").alias("qualified_name"), name("n").alias("id"), F.col("p_partkey").alias("position"))
+    plan = plan.unionByName(part.filter("p_partkey % 3 = 1").select(name("m").alias("qualified_name"), name("x").alias("id"), F.lit(-1).cast("long").alias("position")))
+    stored = part.filter("p_partkey % 2 = 0").select(F.when(F.col("p_partkey") % 6 == 0, name("src.m")).otherwise(name("m")).alias("qualified_name"), name("g").alias("id"))
+    edges = part.filter("p_partkey > 1").withColumn("to", F.floor(F.col("p_partkey") / 2)).select(name("m").alias("source_qualified_name"), name("m", "to").alias("target_qualified_name"), F.lit("imports").alias("relationship"), F.lit(1.0).alias("weight"), F.lit("python").alias("language"))
+    return ingestion.resolved(edges, plan, stored)
+
+
+@query(sql("SELECT e.source_id, e.target_id, e.relationship FROM edges e WHERE relationship = 'imports' AND target_id IN (SELECT id FROM files WHERE repo_id = 1 AND end_line > 0 AND right(id, 1) <> '1') AND source_id NOT IN (SELECT id FROM files WHERE repo_id = 1)"))
+def j04_retained_edges(spark, sf_dir):
+    replaced = tables.files(spark, sf_dir).filter("repo_id = 1").select("id")
+    return ingestion.retained(tables.edges(spark, sf_dir, ("imports",)), replaced, replaced.filter("right(id, 1) <> '1'")).select("source_id", "target_id", "relationship")
+
+
+@query(sql("SELECT type, coalesce(file_path LIKE 'Brand2/%', false) AS replaced, count(*) AS n FROM (SELECT type, file_path FROM nodes WHERE file_path IS NULL OR NOT starts_with(file_path, 'Brand2/') UNION ALL SELECT 'module', file_path FROM files WHERE starts_with(file_path, 'Brand2/')) GROUP BY ALL"))
+def i04_replace_files(spark, sf_dir):
+    changed = tables.files(spark, sf_dir).filter(F.startswith("file_path", F.lit("Brand2/")))
+    out = ingestion.replaced_files(tables.nodes(spark, sf_dir), changed.withColumn("type", F.lit("module")), changed)
+    return out.groupBy("type", F.coalesce(F.startswith("file_path", F.lit("Brand2/")), F.lit(False)).alias("replaced")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_GREEDY = """ordered AS (SELECT p_size AS repo, 'f' || lpad(p_partkey::VARCHAR, 9, '0') AS rel_path, (p_partkey % 97)::BIGINT AS entities, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS k FROM part),
+walk AS (SELECT repo, rel_path, entities, k, 0 AS batch, 1 AS items, entities AS total FROM ordered WHERE k = 1
+  UNION ALL SELECT o.repo, o.rel_path, o.entities, o.k, w.batch + full_, CASE WHEN full_ = 1 THEN 1 ELSE items + 1 END, CASE WHEN full_ = 1 THEN o.entities ELSE total + o.entities END
+  FROM (SELECT w.*, CASE WHEN items >= 32 OR total + n.entities > 512 THEN 1 ELSE 0 END AS full_ FROM walk w JOIN ordered n ON n.repo = w.repo AND n.k = w.k + 1) w JOIN ordered o ON o.repo = w.repo AND o.k = w.k + 1)"""
+
+
+@query(sql("SELECT repo, rel_path, entities, batch FROM walk", _GREEDY))
+def w07_file_batches(spark, sf_dir):
+    part = tables.read(spark, sf_dir, "part")
+    path = F.concat(F.lit("f"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
+    return ingestion.file_batches(part.select(F.col("p_size").alias("repo"), path.alias("rel_path"), (F.col("p_partkey") % 97).alias("entities")))
+
+
+@query()
+def w08_request_batches(spark, sf_dir):
+    d = tables.read(spark, sf_dir, "documents").select(F.col("source").alias("queue"), F.col("doc_id").alias("position"), F.least(F.col("n_chars"), F.lit(120_000)).alias("characters"))
+    return ingestion.request_batches(d)
+
+
+@query(sql("SELECT repo_id, id, ((row_number() OVER (PARTITION BY repo_id ORDER BY id) - 1) // 128)::INT AS chunk FROM files"))
+def w09_fixed_chunks(spark, sf_dir):
+    return ingestion.chunks(tables.files(spark, sf_dir), F.col("id"), 128, ("repo_id",)).select("repo_id", "id", "chunk")
+
+
+@query(sql("SELECT (SELECT count(*) FROM corpus) AS discovered, (SELECT count(*) FROM corpus WHERE doc_id % 5 < 2) AS changed, (SELECT count(*) FROM corpus WHERE doc_id % 7 = 0) AS deleted, (SELECT count(*) FROM files) AS entities, (SELECT count(DISTINCT (l_orderkey, l_partkey)) FROM lineitem) AS edges, (SELECT count(*) - count(DISTINCT (l_orderkey, l_partkey)) FROM lineitem) AS dropped", _FILES))
+def a15_ingestion_counters(spark, sf_dir):
+    files, line = corpus(spark, sf_dir), tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    return ingestion.result_counts(files, files.filter("doc_id % 5 < 2"), files.filter("doc_id % 7 = 0"), tables.files(spark, sf_dir), line, line.distinct())
+
+
+@query("SELECT sha, author, count(p)::INT AS paths FROM (SELECT 's' || o_orderkey AS sha, 'C' || o_custkey AS author, unnest(['a', 'b']) AS p FROM orders WHERE o_orderkey % 10 <> 0) GROUP BY ALL")
+def s13_git_log(spark, sf_dir):
+    o = tables.read(spark, sf_dir, "orders")
+    fields = lambda *c: F.concat_ws("\x1f", *c)
+    sha, who = F.concat(F.lit("s"), F.col("o_orderkey").cast("string")), F.concat(F.lit("C"), F.col("o_custkey").cast("string"))
+    head = F.when(F.col("o_orderkey") % 10 == 0, fields(sha, who)).otherwise(fields(sha, who, F.lit("a@b"), F.lit("2020-01-01"), F.lit("subject")))
+    log = o.select(F.col("o_orderkey").alias("position"), F.concat(head, F.lit("\n\na\nb\n")).alias("line"))
+    return ingestion.history(log).select("sha", "author", F.size("paths").alias("paths"))
+
+
+def _commits(spark, sf_dir):
+    o, line = tables.read(spark, sf_dir, "orders"), tables.read(spark, sf_dir, "lineitem")
+    paths = line.groupBy("l_orderkey").agg(F.collect_set(F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("paths"))
+    email = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "U").otherwise("u"), (F.col("o_custkey") % 50).cast("string"))
+    return o.join(paths, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("position"), F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("sha"), F.concat(F.lit("A"), F.col("o_custkey").cast("string")).alias("author"), email.alias("email"), F.coalesce("paths", F.array().cast("array<string>")).alias("paths"))
+
+
+@query("SELECT substr(sha256('contributor:u' || (o_custkey % 50)), 1, 32) AS id, min_by('A' || o_custkey, o_orderkey) AS name FROM orders GROUP BY o_custkey % 50")
+def i07_contributors(spark, sf_dir):
+    nodes, _ = ingestion.provenance(_commits(spark, sf_dir), tables.files(spark, sf_dir))
+    return nodes.filter("type = 'contributor'").select("id", "name")
+
+
+@query("SELECT 'P:' || l_partkey AS target_id, count(DISTINCT l_orderkey) AS commits FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey % 2 = 0 GROUP BY l_partkey")
+def j05_commit_files(spark, sf_dir):
+    files = tables.read(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("file_path"), F.concat(F.lit("P:"), F.col("p_partkey").cast("string")).alias("id"))
+    _, edges = ingestion.provenance(_commits(spark, sf_dir), files)
+    return edges.filter("relationship = 'modifies'").groupBy("target_id").agg(F.count(F.lit(1)).alias("commits"))
+
+
+@query()
+def p01_parse(spark, sf_dir):
+    """Entities of generated sources in each language, one file for each part."""
+    return parsing.parse_files(parsing.samples(tables.read(spark, sf_dir, "part"))).groupBy("language", "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("names"))
+
+
+@query("SELECT doc_id AS name, 'file' AS kind, substr(coalesce(text, ''), 1, 2048) AS content, len(regexp_extract_all(coalesce(text, ''), '\n'))::INT AS end_line FROM documents")
+def p16_text_fallback(spark, sf_dir):
+    d, text = tables.read(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
+    return d.select(F.col("doc_id").alias("name"), F.lit("file").alias("kind"), F.substring(text, 1, 2048).alias("content"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("end_line"))
+
+
+@query(sql("SELECT type, count(*) AS n, count(DISTINCT id) AS ids FROM nodes WHERE type = 'function' GROUP BY type"))
+def p17_planned_nodes(spark, sf_dir):
+    f = tables.functions(spark, sf_dir)
+    empty = F.lit(None).cast("string")
+    rows = f.select(F.col("file_path").alias("file"), F.col("type").alias("kind"), "name", "qualified_name", "start_line", "end_line", F.lit("python").alias("language"), empty.alias("signature"), empty.alias("docstring"), F.col("name").alias("raw_text"), F.array().cast("array<string>").alias("bases"), F.array().cast("array<string>").alias("imports"), F.lit(1).alias("complexity"), F.col("id").alias("pos"))
+    return ingestion.planned_nodes(rows, "repo").groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+
+
+del graph
