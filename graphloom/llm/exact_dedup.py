@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import HOT_ROWS, stash, text_or_empty
 
 SALTS = 16
+#: A name beside those of any documents.
+FLAG = "graphloom: text is null"
 
 
 def combined(rows: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -64,11 +66,11 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     body = text_or_empty()
     # The winner of each text brings its row along: salted first, then all, the text compared each time.
-    row = F.struct("doc_id", F.struct(*[F.col(c) for c in columns if c not in ("doc_id", "text")], F.col("text").isNull().alias("no_text")).alias("rest"))
+    row = F.struct("doc_id", F.struct(*[docs[c] for c in columns if c not in ("doc_id", "text")], F.col("text").isNull().alias(FLAG)).alias("rest"))
     salted = docs.select(F.unhex(F.sha2(body, 256)).alias("digest"), (F.spark_partition_id() % SALTS).alias("salt"), body.alias("body"), row.alias("row"))
     by_salt = salted.groupBy("digest", "salt", "body").agg(F.max("row").alias("row"))
     won = by_salt.groupBy("digest", "body").agg(F.max("row").alias("row"))
-    text = F.when(F.col("row.rest.no_text"), F.lit(None)).otherwise(F.col("body"))
+    text = F.when(F.col("row.rest").getField(FLAG), F.lit(None)).otherwise(F.col("body"))
     return won.select(*[text.alias(c) if c == "text" else F.col("row.doc_id") if c == "doc_id" else F.col("row.rest").getField(c).alias(c) for c in columns])
 
 

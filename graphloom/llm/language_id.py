@@ -138,11 +138,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE):
     vectors = [(at, weighted(at, c, idf), known[lang], aside) for lang, aside, at, c in data]
     w = learn([v[:3] for v in vectors if not v[3]] or [v[:3] for v in vectors], len(languages))
     apart = [v for v in vectors if v[3]]
-    t = temperature(np.array([x @ w[at] for at, x, _, _ in apart]).reshape(len(apart), -1), np.array([v[2] for v in apart], dtype=int))
+    t = temperature(np.array([x @ w[at] for at, x, _, _ in apart]).reshape(len(apart), len(languages)), np.array([v[2] for v in apart], dtype=int))
     return languages, w, idf, t
 
 
-def predict(model):
+def predict(model, names_out=("lang_pred", "score")):
     languages, w, idf, t = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def predict(model):
                 k = int(p.argmax())
                 names.append(languages[k])
                 scores.append(float(p[k]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], *names_out])
 
     return run
 
@@ -180,7 +180,8 @@ def language_id(docs: DataFrame, model=None, sample: int = SAMPLE) -> DataFrame:
 def known_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose language can be told: not those of language_id's `und`."""
     model = fit(docs)
-    text = docs.withColumn("text as read", F.col("text").cast("string"))
+    text = docs.withColumn("graphloom text", F.col("text").cast("string"))
+    names = ("graphloom lang", "graphloom score")
     fields = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
-    told = text.mapInArrow(predict(model), f"{fields}, lang_pred string, score double")
-    return told.filter(F.col("lang_pred") != UND).select(*docs.columns)
+    told = text.mapInArrow(predict(model, names), f"{fields}, `{names[0]}` string, `{names[1]}` double")
+    return told.filter(F.col(names[0]) != UND).select(*docs.columns)

@@ -108,10 +108,15 @@ def cuts(rows: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEE
     return leaf.join(cut, list(LEVELS), "left").select(*LEVELS, "supply", F.col("budget").cast("long").alias("budget"), "whole", "cut")
 
 
+def own(name: str) -> str:
+    """A column's name beside those of any documents."""
+    return f"graphloom {name}"
+
+
 def leveled(docs: DataFrame) -> DataFrame:
     """docs with the leaf's names: null sources and languages make a leaf of their own, named ''."""
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    return docs.select("*", domain(source).alias("mix_domain"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("mix_lang"), source.alias("mix_source"))
+    return docs.select("*", domain(source).alias(own("domain")), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias(own("lang")), source.alias(own("source")))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED, share=SHARE) -> DataFrame:
@@ -119,15 +124,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED
 
     A document has as many tokens as words. Rows that repeat a doc_id in a leaf have one place in the order and stand
     or fall together; documents without words have no tokens and stand if their place is before the cut. Null text,
-    lang and source count as empty, null ids as one empty id. No rows in, no rows out. Other columns pass through.
+    lang and source count as empty, null ids as one empty id. No rows in, no rows out. Other columns pass through; of two named
+    copies the last is the mix's.
     """
     named = leveled(docs)
-    rows = named.select("doc_id", *[F.col(f"mix_{c}").alias(c) for c in LEVELS], tokens().alias("n_tokens"))
-    leaf = stash(cuts(rows, weights, epochs, seed, share), "mix-cuts").select(*[F.col(c).alias(f"mix_{c}") for c in LEVELS], "whole", "cut")
+    rows = named.select("doc_id", *[F.col(own(c)).alias(c) for c in LEVELS], tokens().alias("n_tokens"))
+    leaf = stash(cuts(rows, weights, epochs, seed, share), "mix-cuts").select(*[F.col(c).alias(own(c)) for c in (*LEVELS, "whole", "cut")])
     # A row for each leaf on the right side: Spark broadcasts it if its size is small, and splits skewed leaves if not.
-    joined = named.join(leaf, [f"mix_{c}" for c in LEVELS])
-    within = F.coalesce(order(F.col("whole"), seed) <= F.col("cut"), F.lit(False)).cast("int")
-    return joined.withColumn("copies", F.col("whole") + within).filter("copies > 0").select(*docs.columns, "copies")
+    joined = named.join(leaf, [own(c) for c in LEVELS])
+    within = F.coalesce(order(F.col(own("whole")), seed) <= F.col(own("cut")), F.lit(False)).cast("int")
+    copies = F.col(own("whole")) + within
+    return joined.filter(copies > 0).select(*docs.columns, copies.alias("copies"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

@@ -1,6 +1,7 @@
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import mixing
 from tests.llm.test_dedup import SF
@@ -45,10 +46,10 @@ def budgets(supply, total, epochs):
 @pytest.mark.parametrize("epochs,share", [(2, (1, 1)), (1, (1, 2)), (3, (5, 2))])
 def test_budgets_and_prefixes(spark, epochs, share):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = mixing.leveled(docs).select("doc_id", *[f"mix_{c}" for c in mixing.LEVELS], mixing.tokens().alias("n")).collect()
+    rows = mixing.leveled(docs).select("doc_id", *[F.col(mixing.own(c)).alias(c) for c in mixing.LEVELS], mixing.tokens().alias("n")).collect()
     supply, order = {}, {}
     for r in rows:
-        leaf = tuple(r[f"mix_{c}"] for c in mixing.LEVELS)
+        leaf = tuple(r[c] for c in mixing.LEVELS)
         supply[leaf] = supply.get(leaf, 0) + r["n"]
         order.setdefault(leaf, []).append((r["doc_id"], r["n"]))
     expected = budgets(supply, sum(supply.values()) * share[0] // share[1], epochs)
