@@ -31,7 +31,7 @@ def one_of_near_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: as many tokens as there are, dealt to sources by weight; a document is there once for each of its epochs."""
     mixed = mixing.mix(docs)
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("graphloom copy")).select(*docs.columns)
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
