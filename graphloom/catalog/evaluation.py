@@ -81,3 +81,11 @@ def e07_gates(spark, sf_dir):
     names = "accuracy double, recall double, ndcg double, calls double, bytes double, least_playbook_recall double, p95_ms double, classifier_p95_ms double"
     now = spark.createDataFrame([(0.95, 0.86, 0.7, 1.0, 5000.0, 0.8, 1885.6, 501.0)], names)
     return evaluation.gates(now, spark.createDataFrame([(1.0, 0.875, 0.774, 2.0, 20265.0, 0.9, 22664.9, 0.0)], names))
+
+
+@query("SELECT conv_id AS case_id, identity, min(turn) AS rank FROM (SELECT conv_id, turn, coalesce(CASE WHEN turn % 3 = 0 THEN 'f' || length(text) END, CASE WHEN role = 'user' THEN 'q' || length(text) END, 'i' || turn) AS identity FROM conversations) GROUP BY ALL")
+def e06_identities(spark, sf_dir):
+    c = tables.read(spark, sf_dir, "conversations")
+    size = F.length("text").cast("string")
+    rows = c.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("rank"), F.when(F.col("turn") % 3 == 0, F.concat(F.lit("f"), size)).alias("file_path"), F.when(F.col("role") == "user", F.concat(F.lit("q"), size)).alias("qualified_name"), F.concat(F.lit("i"), F.col("turn").cast("string")).alias("id"))
+    return evaluation.identities(rows)

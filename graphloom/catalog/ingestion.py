@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from graphloom.catalog.registry import Registry
 from graphloom.functions import parsing
 from graphloom.operators import aggregates, discovery, graph, ingestion
-from graphloom.sources import tables
+from graphloom.sources import snapshots, tables
 from graphloom.sources.tables import sql
 
 registry = query = Registry()
@@ -191,4 +191,60 @@ def p17_planned_nodes(spark, sf_dir):
     return ingestion.planned_nodes(rows, "repo").groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
 
 
+
+@query(sql("SELECT path AS rel_path, 'python' AS language, size AS byte_size FROM corpus WHERE path = (SELECT min(path) FROM corpus WHERE ends_with(path, '.py') AND starts_with(path, 'src/') AND size < 8192)", _FILES))
+def s02_single_file(spark, sf_dir):
+    files = corpus(spark, sf_dir)
+    path = files.filter("path like 'src/%.py' and size < 8192").agg(F.min("path")).first()[0]
+    return discovery.discovered(files.filter(F.col("path") == path)).select("rel_path", "language", "byte_size")
+
+
+@query(sql("SELECT 'alias/' || doc_id AS path, path AS target FROM corpus WHERE doc_id % 4 = 1", _FILES))
+def s11_contained_aliases(spark, sf_dir):
+    files = corpus(spark, sf_dir)
+    inside = F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("x/./../"), F.col("path"))).otherwise(F.concat(F.lit("../"), F.col("path")))
+    return snapshots.contained_aliases(files, files.select(F.concat(F.lit("alias/"), F.col("doc_id").cast("string")).alias("path"), inside.alias("target")))
+
+
+@query("SELECT c_custkey AS repo, sha256(c_name || '|' || coalesce(s, '')) AS fingerprint FROM customer LEFT JOIN (SELECT user_id, string_agg(DISTINCT event_type || ' ' || (event_id % 9), chr(10) ORDER BY event_type || ' ' || (event_id % 9)) AS s FROM events GROUP BY user_id) ON user_id = c_custkey")
+def s14_state_fingerprint(spark, sf_dir):
+    heads = tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repo"), F.col("c_name").alias("head"))
+    dirty = tables.read(spark, sf_dir, "events").select(F.col("user_id").alias("repo"), F.col("event_type").alias("status"), (F.col("event_id") % 9).cast("string").alias("path"))
+    return snapshots.fingerprints(heads, dirty)
+
+
+@query("SELECT r_regionkey AS id, r_name AS root, count(c_custkey) AS files, max('2024-01-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0')) AS last_indexed FROM region LEFT JOIN customer ON c_custkey % 4 = r_regionkey GROUP BY ALL")
+def s16_saved_projects(spark, sf_dir):
+    day = F.concat(F.lit("2024-01-"), F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0"))
+    records = tables.read(spark, sf_dir, "customer").select((F.col("c_custkey") % 4).alias("project_id"), F.to_json(F.struct(day.alias("indexed_at"))).alias("value"))
+    return snapshots.saved_projects(tables.read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("root")), records)
+
+
+@query(sql("SELECT id, type, name, file_path, substr(qualified_name, 1, 1024) AS content FROM files"))
+def p19_compact_projection(spark, sf_dir):
+    from graphloom.functions.text import COMPACT
+
+    return tables.files(spark, sf_dir).select("id", "type", "name", "file_path", F.substring("qualified_name", 1, COMPACT).alias("content"))
+
+
+@query(sql("SELECT path AS rel_path, ((row_number() OVER (ORDER BY path) - 1) // 32)::INT AS chunk FROM corpus WHERE doc_id % 7 = 0", _FILES))
+def i06_delete_batches(spark, sf_dir):
+    indexed = corpus(spark, sf_dir).select("doc_id", F.col("path").alias("rel_path"))
+    gone = ingestion.stale(indexed.filter("doc_id % 7 <> 0"), indexed)
+    return ingestion.chunks(gone.withColumn("repo", F.lit("repo")), F.col("rel_path"), ingestion.DELETE_BATCH, ("repo",)).select("rel_path", "chunk")
+
+
+@query()
+def i05_parse_failures(spark, sf_dir):
+    """Every seventh generated file is broken; failures are rows."""
+    files = parsing.samples(tables.read(spark, sf_dir, "part").filter("p_partkey % 8 = 0"))
+    broken = files.withColumn("content", F.when(F.crc32(F.col("path").cast("binary")) % 7 == 0, F.concat(F.col("content"), F.lit("def ("))).otherwise(F.col("content")))
+    return parsing.parse_files(broken).groupBy((F.col("error").isNull()).alias("ok")).agg(F.countDistinct("file").alias("files"))
+
+
+@query()
+def p13_call_edges(spark, sf_dir):
+    return parsing.parse_edges(parsing.samples(tables.read(spark, sf_dir, "part"))).groupBy("language", "relationship").agg(F.count(F.lit(1)).alias("n"))
+
+
 del graph

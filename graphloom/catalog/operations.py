@@ -252,3 +252,20 @@ _CONV = "items AS (SELECT conv_id, role, turn, text FROM conversations)"
 def w04_first_position_last_value(spark, sf_dir):
     c = tables.read(spark, sf_dir, "conversations").select("conv_id", "role", F.col("turn").alias("position"), "text")
     return playbooks.deduplicated(c, ("conv_id", "role"))
+
+
+@query("SELECT role, min(conv_id * 100 + turn) AS first_seen FROM conversations GROUP BY role")
+def w03_first_seen(spark, sf_dir):
+    c = tables.read(spark, sf_dir, "conversations").select("role", (F.col("conv_id") * 100 + F.col("turn")).alias("first_seen"))
+    return lookup.last_per(c, ["role"], F.col("first_seen").asc())
+
+
+@query(f"WITH {_JOBS} SELECT id, repo, status, mode, attempts, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at FROM jobs WHERE status = 'failed'")
+def p22_job_summary(spark, sf_dir):
+    return queue(spark, sf_dir).filter("status = 'failed'").select("id", "repo", "status", "mode", "attempts", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))
+
+
+@query("SELECT event_id AS id, NOT (event_id % 4 = 0 OR event_id % 9 = 0 OR event_id % 10 = 0) AS complete FROM events")
+def o07_completeness(spark, sf_dir):
+    i = F.col("event_id")
+    return tables.read(spark, sf_dir, "events").select(i.alias("id"), (~((i % 4 == 0) | (i % 9 == 0) | (i % 10 == 0))).alias("complete"))

@@ -55,6 +55,11 @@ def nearest_rank(column: str, share: float) -> Column:
     return F.expr(f"percentile_disc({share}) within group (order by {column})")
 
 
+def identities(evidence: DataFrame) -> DataFrame:
+    """(case_id, identity, rank): what evidence (case_id, rank, file_path, qualified_name, id) is known by, once at its first rank."""
+    return evidence.groupBy("case_id", F.coalesce("file_path", "qualified_name", "id").alias("identity")).agg(F.min("rank").alias("rank"))
+
+
 def unsupported(identities: DataFrame, judgments: DataFrame, k: int) -> DataFrame:
     """By case: the share of the first k different identities (rank, identity) that no judgment has."""
     first = identities.groupBy("case_id", "identity").agg(F.min("rank").alias("rank"))

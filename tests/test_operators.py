@@ -204,3 +204,24 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert burst.count() <= changes.bursts(looks, "10 minutes").count()
     hours = _streamed(spark, tmp_path / "c", looks.selectExpr("ts", "fingerprint as method", "1.0D as duration_ms", "'ok' as status"), lambda s: changes.stream_hourly(s, "1 minute"), "streamed_hours")
     assert set(hours.columns) == {"hour", "method", "calls", "duration_ms", "max_ms"}
+
+
+def test_suite_is_read_strictly(spark, tmp_path):
+    import json
+
+    from graphloom.sources import snapshots
+
+    good = {"name": "s", "cases": [{"query": "find it", "relevant": [{"qualified_name": "a.b", "relevance": 2}, {"qualified_name": "c", "file_path": "f.py", "relevance": 1}]}]}
+    (tmp_path / "good.json").write_text(json.dumps(good))
+    found = snapshots.suite(spark, str(tmp_path / "good.json")).collect()
+    assert [(r["pos"], r["qualified_name"], r["file_path"], r["grade"]) for r in found] == [(0, "a.b", None, 2), (1, "c", "f.py", 1)]
+    (tmp_path / "bad.json").write_text("{]")
+    with pytest.raises(Exception):  # noqa: B017
+        snapshots.suite(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_paths_that_lead_out_have_no_normal_form(spark):
+    from graphloom.sources.snapshots import normalized
+
+    for path, expected in {"a/./b//../c": "a/c", "../a": None, "a/../..": None, "": ""}.items():
+        assert one(spark, normalized(F.lit(path))) == expected
