@@ -13,6 +13,7 @@ totals of the cells' counts, so one length may hold any share of all rows.
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import zlib
@@ -28,6 +29,8 @@ from graphloom.llm.common import partitions, stash
 ROOM = 4096
 #: Id put after each document's last token.
 END = 1
+#: Characters of text that are tokenized at once.
+CHUNK = 2_000_000
 #: Runs of characters whose ids a Python worker remembers.
 MEMO = 400_000
 
@@ -136,24 +139,46 @@ class Ids:
     """A text's ids as little-endian bytes. Ids of MEMO runs or words are remembered; others are found again."""
 
     def __init__(self, path: str):
+        # One thread: all cores of an executor have tasks of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, text: str) -> bytes:
-        if PLAIN.fullmatch(text) and "<|" not in text:
-            found = RUNS.findall(text.lower())
-        else:
-            # The tokenizer splits at white space, so that a word has the same ids wherever it stands.
-            found = WORDS.findall(text)
-        known = self.known
-        if new := [w for w in set(found) if w not in known]:
-            ids = {w: np.array(e.ids, dtype="<u4").tobytes() for k in range(0, len(new), 20_000) for w, e in zip(new[k : k + 20_000], self.tokenizer.encode_batch(new[k : k + 20_000], add_special_tokens=False), strict=True)}
-            if len(known) < MEMO:
-                known.update(ids)
-            else:
-                return b"".join([known[w] if w in known else ids[w] for w in found])
-        return b"".join([known[w] for w in found])
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def runs(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of plain runs: tokenized as one text and parted after each id that ends a run."""
+        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(new):
+            return self.words(new)
+        raw, out, start = ids.tobytes(), {}, 0
+        for run, end in zip(new, (4 * ends).tolist(), strict=True):
+            out[run] = raw[start:end]
+            start = end
+        return out
+
+    def words(self, new: list[str]) -> dict[str, bytes]:
+        return {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; what several texts need is found at once."""
+        plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        # The tokenizer splits at white space, so that a word has the same ids wherever it stands.
+        found = [RUNS.findall(t.lower()) if p else WORDS.findall(t) for t, p in zip(texts, plain, strict=True)]
+        known, ids = self.known, {}
+        for kind, find in ((True, self.runs), (False, self.words)):
+            new = list(set().union(*[f for f, p in zip(found, plain, strict=True) if p is kind]) - known.keys() - ids.keys())
+            for k in range(0, len(new), 5_000):
+                ids |= find(new[k : k + 5_000])
+        known.update(ids)
+        out = [b"".join([known[w] for w in f]) for f in found]
+        if len(known) > MEMO:
+            for w in ids:
+                del known[w]
+        return out
 
 
 def tokenize(path: str, room: int = ROOM, end: int = END):
@@ -167,11 +192,18 @@ def tokenize(path: str, room: int = ROOM, end: int = END):
         ids_of = vars(sys).setdefault("graphloom_ids", {}).get(path) or vars(sys)["graphloom_ids"].setdefault(path, Ids(path))
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = ids_of(text.as_py() or "") + end.to_bytes(4, "little")
-                for piece, at in enumerate(range(0, len(ids), 4 * room)):
-                    part = ids[at : at + 4 * room]
-                    out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), task))
+            doc_ids, lo = batch.column(0).to_pylist(), 0
+            while lo < batch.num_rows:
+                texts, size = [], 0
+                while lo + len(texts) < batch.num_rows and size < CHUNK:
+                    texts.append(batch.column(1)[lo + len(texts)].as_py() or "")
+                    size += len(texts[-1])
+                for doc_id, ids in zip(doc_ids[lo:], ids_of(texts), strict=False):
+                    ids += end.to_bytes(4, "little")
+                    for piece, at in enumerate(range(0, len(ids), 4 * room)):
+                        part = ids[at : at + 4 * room]
+                        out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), task))
+                lo += len(texts)
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task"])
