@@ -26,10 +26,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again, which cuts its lineage and outlives lost executors."""
+    """df written as Parquet to the shared folder and read again, which cuts its lineage and outlives lost executors.
+
+    The shuffles behind it can't be reached any more then. Spark deletes their files when the driver's garbage is
+    collected; a driver with room to spare may not do so for long, while executors' disks fill, so it is asked to.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

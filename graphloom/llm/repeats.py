@@ -87,7 +87,8 @@ def repeated(docs: DataFrame, reader: Reader, window: int, gram: int, compare: C
     found = stash(found.join(often, "anchor", "left_semi"), "pieces").withColumn("shape", F.col("place") % 65536)
     spot = F.struct("uid", F.shiftright("place", 16).alias("at"))
     whole = stash(found.groupBy("anchor", "content", "shape").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("times")), "whole-pieces")
-    kinds = whole.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor")
+    # Tables, not aggregates, below the joins: so Spark can split their hot keys.
+    kinds = stash(whole.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor"), "branching-anchors")
     _, n, lead = unpacked("shape")
     branching = stash(whole.join(kinds, "anchor", "left_semi").select("anchor", F.col("first.uid").alias("uid"), F.col("first.at").alias("at"), n, lead), "branching")
     again = whole.filter("times > 1").select("anchor", "content", "shape", "first")

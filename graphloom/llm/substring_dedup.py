@@ -57,6 +57,7 @@ def edges(window: int):
 def compare(pieces: DataFrame, texts: DataFrame, window: int = WINDOW) -> DataFrame:
     single = stash(looked_up(pieces, texts, edges(window), "h1 long, h2 long, uid long, at long"), "edges")
     first = single.groupBy("h1", "h2").agg(F.min(F.struct("uid", "at")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    first = stash(first.drop("times"), "first-edges")  # a table, not an aggregate below the join, so that Spark can split hot edges
     return single.join(first, ["h1", "h2"]).filter(F.struct("uid", "at") != F.col("first")).select("uid", "at")
 
 
