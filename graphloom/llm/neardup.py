@@ -12,7 +12,7 @@
    order, and a representative whose other values suffice for the above isn't listed under them at all.
 3. No list emits all its pairs. First each member meets the list's least member. The union sketch estimates their
    similarity, the full sets decide, and verified links make components. Then only members that the component of most of
-   the list's members doesn't have meet the others, in blocks, those of other components than their own. A pair that is
+   the list's members doesn't have meet the others (in short lists directly, in long ones in blocks), those of other components than their own. A pair that is
    never met is in one component already or is met in the second round; so components are those of all links.
 """
 
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import HOT_ROWS, stash
@@ -119,6 +119,15 @@ def close(n: int, a: np.ndarray, m: int, b: np.ndarray, k: int, least: int) -> b
     return share >= t - 7 * (t * (1 - t) / len(union)) ** 0.5
 
 
+def shares(a: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The union sketch's share of common values for a sketch and each of many, all of them with as many values."""
+    k = len(a)
+    both = np.sort(np.concatenate([np.broadcast_to(a, many.shape), many], axis=1).astype(np.int64).view(U), axis=1)
+    twice = both[:, 1:] == both[:, :-1]
+    place = np.cumsum(np.concatenate([np.ones((len(many), 1), bool), ~twice], axis=1), axis=1)  # of different values
+    return (twice & (place[:, 1:] <= k)).sum(axis=1) / k
+
+
 def same(a: bytes, b: bytes, least: int) -> bool:
     x, y = np.frombuffer(a, U), np.frombuffer(b, U)
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -140,10 +149,11 @@ def components(links: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = links.union(links.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Tables, not aggregates, below the joins: so Spark can split the nodes that have very many links.
+        least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stash(large.distinct(), "large-star")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = stash(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(lowest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         links = stash(small.distinct(), "small-star")
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -154,7 +164,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def first_round(lists: DataFrame) -> DataFrame:
     """Pairs of each list's least member with the others."""
-    least = lists.groupBy("value").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    least = stash(lists.groupBy("value").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "list-heads")
     return lists.join(least, "value").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
 
 
@@ -165,26 +175,63 @@ def second_round(lists: DataFrame, roots: DataFrame, sketches: DataFrame, k: int
     # A list's largest component; members outside it are the ones to place.
     sizes = member.groupBy("value", "root").agg(F.count(F.lit(1)).alias("n"))
     top = sizes.groupBy("value").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).filter("kinds > 1 and all > 2")
-    member = member.join(top.select("value", F.col("top.root").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("others")), "value")
+    top = stash(top, "open-lists")
+    # Short lists: their pairs of different components, LONG / 2 a member at most. The least member has met all others.
+    short = member.join(top.filter(F.col("all") <= LONG).select("value"), "value", "left_semi")
+    short = stash(short.withColumn("head", F.min("doc_id").over(Window.partitionBy("value"))).filter("doc_id <> head").drop("head"), "short-lists")
+    one, two = (short.select("value", F.col("doc_id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    near = one.join(two, "value").filter("a < b and root_a <> root_b").select("a", "b").distinct()
+    maybe = estimate(k, least)
+    left, right = (sketches.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
+    near = near.join(left, "a").join(right, "b").filter(f"100 * least(n_a, n_b) >= {least} * greatest(n_a, n_b)").filter(maybe("n_a", "s_a", "n_b", "s_b")).select("a", "b")
+    # Long lists: blocks.
+    member = member.join(top.filter(F.col("all") > LONG).select("value", F.col("top.root").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("others")), "value")
     n_blocks, n_own = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("all", "others"))
     block = F.pmod(F.xxhash64("doc_id"), n_blocks).cast("int")
     ask = F.pmod(F.xxhash64(F.lit(7), "doc_id"), n_own).cast("int")
     slim = member.select("value", "doc_id", "root", "main", block.alias("block"), ask.alias("ask"), n_blocks.alias("blocks"), n_own.alias("asks"))
     asking = slim.filter("root <> main").select("value", "doc_id", "root", "ask", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks_"))
     asked = slim.select("value", "doc_id", "root", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"), "block", F.lit(False).alias("asks_"))
-    rows = asking.unionByName(asked).join(sketches.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    rows = asking.unionByName(asked).join(sketches.select("doc_id", "n_shingles", "sketch", "listed"), "doc_id")
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         one, two = group[group.asks_], group[~group.asks_]
         found = []
         n2, r2, d2, s2 = two.n_shingles.to_numpy(), two.root.to_numpy(), two.doc_id.to_numpy(), list(two.sketch)
-        for d, r, n, s in zip(one.doc_id, one.root, one.n_shingles, one.sketch, strict=True):
-            for i in np.flatnonzero((r2 != r) & (100 * np.minimum(n, n2) >= least * np.maximum(n, n2))):
-                if close(n, s, n2[i], s2[i], k, least):
-                    found.append((min(d, d2[i]), max(d, d2[i])))
+        # Common values with all of the block's sketches at once; few pairs have enough of them to be looked at.
+        held = np.concatenate([np.asarray(s, np.int64) for s in s2]) if len(s2) else np.zeros(0, np.int64)
+        of = np.repeat(np.arange(len(s2)), [len(s) for s in s2])
+        order = np.argsort(held, kind="stable")
+        held, of = held[order], of[order]
+        length = np.bincount(of, minlength=len(s2))
+        under = np.concatenate([np.asarray(s, np.int64) for s in two.listed]) if len(s2) else held
+        under_of = np.repeat(np.arange(len(s2)), [len(s) for s in two.listed])
+        order = np.argsort(under, kind="stable")
+        under, under_of = under[order], under_of[order]
+        this = group.value.iloc[0]
+        for d, r, n, s, u in zip(one.doc_id, one.root, one.n_shingles, one.sketch, one.listed, strict=True):
+            # Two that share several lists meet in that of the least value only. All lists that they share are open, as
+            # they are in different components; so that one is among those looked at.
+            earlier = np.zeros(len(s2), bool)
+            for v in np.sort(np.asarray(u, np.int64)):
+                if v >= this:
+                    break
+                earlier[under_of[np.searchsorted(under, v, "left") : np.searchsorted(under, v, "right")]] = True
+            own = np.asarray(s, np.int64)
+            lo, hi = np.searchsorted(held, own, "left"), np.searchsorted(held, own, "right")
+            both = np.bincount(np.concatenate([of[a:b] for a, b in zip(lo, hi, strict=True)]), minlength=len(s2))
+            union = np.minimum(k, np.maximum(length, len(own)))  # at least so many values are in the union's sketch
+            t = least / 100
+            enough = both >= np.where((n <= len(own)) & (n2 <= length), least * np.maximum(n, n2) / 100, (t - 7 * np.sqrt(t * (1 - t) / union)) * union)
+            near = np.flatnonzero(enough & ~earlier & (r2 != r) & (100 * np.minimum(n, n2) >= least * np.maximum(n, n2)))
+            whole = near[(length[near] == k) & (n2[near] > k)] if len(own) == k and n > k else near[:0]
+            good = [i for i in np.setdiff1d(near, whole) if close(n, s, n2[i], s2[i], k, least)]
+            if len(whole):
+                good += whole[shares(own, np.stack([s2[i] for i in whole])) >= t - 7 * (t * (1 - t) / k) ** 0.5].tolist()
+            found += [(min(d, d2[i]), max(d, d2[i])) for i in good]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("value", "ask", "block").applyInPandas(meet, "a long, b long").distinct()
+    return rows.groupBy("value", "ask", "block").applyInPandas(meet, "a long, b long").unionByName(near).distinct()
 
 
 def sketched(docs: DataFrame, size: int, k: int) -> DataFrame:
@@ -209,12 +256,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, k: int = K)
     values = reps.select("doc_id", F.explode("sketch").alias("value"))
     often = stash(values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LONG).select("value"), "common-values")
     common = values.join(often, "value", "left_semi").groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("value").alias("common"))  # k at most
-    under = reps.join(common, F.col("doc_id") == F.col("of"), "left").select("doc_id", F.explode(listed(least)("n_shingles", "sketch", "common")).alias("value"))
-    lists = stash(under, "lists")
-    lists = stash(lists.join(lists.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("value"), "value", "left_semi"), "shared-lists")
+    reps = stash(reps.join(common, F.col("doc_id") == F.col("of"), "left").withColumn("listed", listed(least)("n_shingles", "sketch", "common")).drop("of", "common"), "listed")
+    lists = reps.select("doc_id", F.explode("listed").alias("value"))
+    several = stash(lists.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("value"), "shared-values")
+    lists = stash(lists.join(several, "value", "left_semi"), "shared-lists")
     maybe = estimate(k, least)
     left, right = (reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
-    pairs = first_round(lists).join(left, "a").join(right, "b").filter(maybe("n_a", "s_a", "n_b", "s_b")).select("a", "b")
+    pairs = first_round(lists).join(left, "a").join(right, "b").filter(f"100 * least(n_a, n_b) >= {least} * greatest(n_a, n_b)").filter(maybe("n_a", "s_a", "n_b", "s_b")).select("a", "b")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     links = verified(stash(pairs, "pairs-1"), texts, size, least)
     # Rows that repeat a doc_id with different sets tie those sets' classes together.
