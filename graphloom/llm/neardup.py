@@ -1,7 +1,8 @@
 """Near-duplicate classes by bottom-k sketches from one hash function.
 
 1. Each text's shingles are hashed once; the K least distinct hashes are its sketch. Texts with equal sets make a class
-   of their own at once (a 128-bit sum over the whole set), represented by the smallest doc_id.
+   of their own at once (a 128-bit sum over the whole set) and are one node; its text is one of the smallest doc_id's.
+   A doc_id that repeats with different sets has a node for each; ids come back in only when components are named.
 2. Inverted lists of retained values give candidates. A representative is listed under its first few values only:
    - Sets of up to K shingles are their own sketch. A set that is similar enough lacks at most floor((1-t)*s) of a
      set's s values, so of two linked sets the first floor((1-t)*s) + 1 values of each (in one order of all values) share
@@ -60,7 +61,7 @@ def sketch(size: int, k: int):
                 total.append(found.sum(dtype=U).tobytes() + mixed(found ^ U(0x9E3779B97F4A7C15)).sum(dtype=U).tobytes() + len(found).to_bytes(4, "little"))
                 rows.append(signed(found[:k]))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.binary()), lists], names=["doc_id", "n_shingles", "content", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(total, pa.binary()), lists], names=["doc_id", "tag", "n_shingles", "content", "sketch"])
 
     return run
 
@@ -69,7 +70,7 @@ def full_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [found.tobytes() for _, found in shingle_sets(batch.column(1), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["node", "shingles"])
 
     return run
 
@@ -134,12 +135,14 @@ def same(a: bytes, b: bytes, least: int) -> bool:
     return 100 * both >= least * (len(x) + len(y) - both)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, least: int) -> DataFrame:
-    """Of pairs (a, b), those whose full sets are linked."""
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    sets = stash(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(full_sets(size), "doc_id long, shingles binary"), "sets")
+def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, least: int) -> DataFrame:
+    """Of pairs (a, b) of nodes, those whose full sets are linked. A node's text is the one with its doc_id and tag."""
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+    wanted = reps.select("node", "doc_id", "tag").join(wanted, "node", "left_semi")
+    own = texts.join(wanted, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]).select("node", "text")
+    sets = stash(own.mapInArrow(full_sets(size), "node long, shingles binary"), "sets")
     decide = F.pandas_udf(lambda x, y: pd.Series([same(p, q, least) for p, q in zip(x, y, strict=True)]), "boolean")
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
     return stash(pairs.join(left, "a").join(right, "b").filter(decide("of_a", "of_b")).select("a", "b"), "links")
 
 
@@ -164,13 +167,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def first_round(lists: DataFrame) -> DataFrame:
     """Pairs of each list's least member with the others."""
-    least = stash(lists.groupBy("value").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "list-heads")
-    return lists.join(least, "value").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    least = stash(lists.groupBy("value").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "list-heads")
+    return lists.join(least, "value").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
 def second_round(lists: DataFrame, roots: DataFrame, sketches: DataFrame, k: int, least: int) -> DataFrame:
     """Pairs within a list that are in different components so far and whose sketches don't rule out a link."""
-    member = lists.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    member = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     member = stash(member, "members")
     # A list's largest component; members outside it are the ones to place.
     sizes = member.groupBy("value", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -178,26 +181,26 @@ def second_round(lists: DataFrame, roots: DataFrame, sketches: DataFrame, k: int
     top = stash(top, "open-lists")
     # Short lists: their pairs of different components, LONG / 2 a member at most. The least member has met all others.
     short = member.join(top.filter(F.col("all") <= LONG).select("value"), "value", "left_semi")
-    short = stash(short.withColumn("head", F.min("doc_id").over(Window.partitionBy("value"))).filter("doc_id <> head").drop("head"), "short-lists")
-    one, two = (short.select("value", F.col("doc_id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    short = stash(short.withColumn("head", F.min("node").over(Window.partitionBy("value"))).filter("node <> head").drop("head"), "short-lists")
+    one, two = (short.select("value", F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
     near = one.join(two, "value").filter("a < b and root_a <> root_b").select("a", "b").distinct()
     maybe = estimate(k, least)
-    left, right = (sketches.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
+    left, right = (sketches.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
     near = near.join(left, "a").join(right, "b").filter(f"100 * least(n_a, n_b) >= {least} * greatest(n_a, n_b)").filter(maybe("n_a", "s_a", "n_b", "s_b")).select("a", "b")
     # Long lists: blocks.
     member = member.join(top.filter(F.col("all") > LONG).select("value", F.col("top.root").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("others")), "value")
     n_blocks, n_own = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("all", "others"))
-    block = F.pmod(F.xxhash64("doc_id"), n_blocks).cast("int")
-    ask = F.pmod(F.xxhash64(F.lit(7), "doc_id"), n_own).cast("int")
-    slim = member.select("value", "doc_id", "root", "main", block.alias("block"), ask.alias("ask"), n_blocks.alias("blocks"), n_own.alias("asks"))
-    asking = slim.filter("root <> main").select("value", "doc_id", "root", "ask", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks_"))
-    asked = slim.select("value", "doc_id", "root", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"), "block", F.lit(False).alias("asks_"))
-    rows = asking.unionByName(asked).join(sketches.select("doc_id", "n_shingles", "sketch", "listed"), "doc_id")
+    block = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
+    ask = F.pmod(F.xxhash64(F.lit(7), "node"), n_own).cast("int")
+    slim = member.select("value", "node", "root", "main", block.alias("block"), ask.alias("ask"), n_blocks.alias("blocks"), n_own.alias("asks"))
+    asking = slim.filter("root <> main").select("value", "node", "root", "ask", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks_"))
+    asked = slim.select("value", "node", "root", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"), "block", F.lit(False).alias("asks_"))
+    rows = asking.unionByName(asked).join(sketches.select("node", "n_shingles", "sketch", "listed"), "node")
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         one, two = group[group.asks_], group[~group.asks_]
         found = []
-        n2, r2, d2, s2 = two.n_shingles.to_numpy(), two.root.to_numpy(), two.doc_id.to_numpy(), list(two.sketch)
+        n2, r2, d2, s2 = two.n_shingles.to_numpy(), two.root.to_numpy(), two.node.to_numpy(), list(two.sketch)
         # Common values with all of the block's sketches at once; few pairs have enough of them to be looked at.
         held = np.concatenate([np.asarray(s, np.int64) for s in s2]) if len(s2) else np.zeros(0, np.int64)
         of = np.repeat(np.arange(len(s2)), [len(s) for s in s2])
@@ -209,7 +212,7 @@ def second_round(lists: DataFrame, roots: DataFrame, sketches: DataFrame, k: int
         order = np.argsort(under, kind="stable")
         under, under_of = under[order], under_of[order]
         this = group.value.iloc[0]
-        for d, r, n, s, u in zip(one.doc_id, one.root, one.n_shingles, one.sketch, one.listed, strict=True):
+        for d, r, n, s, u in zip(one.node, one.root, one.n_shingles, one.sketch, one.listed, strict=True):
             # Two that share several lists meet in that of the least value only. All lists that they share are open, as
             # they are in different components; so that one is among those looked at.
             earlier = np.zeros(len(s2), bool)
@@ -234,8 +237,30 @@ def second_round(lists: DataFrame, roots: DataFrame, sketches: DataFrame, k: int
     return rows.groupBy("value", "ask", "block").applyInPandas(meet, "a long, b long").unionByName(near).distinct()
 
 
-def sketched(docs: DataFrame, size: int, k: int) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sketch(size, k), "doc_id long, n_shingles long, content binary, sketch array<long>")
+def tagged(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of the text, which tells texts that repeat a doc_id apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("tag"))
+
+
+def sketched(texts: DataFrame, size: int, k: int) -> DataFrame:
+    return texts.mapInArrow(sketch(size, k), "doc_id long, tag binary, n_shingles long, content binary, sketch array<long>")
+
+
+def tied(real: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of each doc_id that repeats with different sets."""
+    several = real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    sets = real.select("doc_id", "content").join(several, "doc_id", "left_semi").distinct()
+    nodes = stash(sets.join(classes.select("content", "node"), "content").select("doc_id", F.col("node").alias("b")), "nodes-of-repeated-ids")
+    heads = stash(nodes.groupBy("doc_id").agg(F.min("b").alias("a")), "heads-of-repeated-ids")
+    return nodes.join(heads, "doc_id").filter("a <> b").select("a", "b")
+
+
+def named(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, component (the smallest doc_id of all nodes that have its root) of each node in roots."""
+    members = stash(roots.union(roots.select("root", "root")).distinct(), "members-of-components")
+    least = stash(classes.select("node", "rep").join(members, "node").groupBy("root").agg(F.min("rep").alias("component")), "names-of-components")
+    return members.join(least, "root").select("node", "component")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, k: int = K) -> DataFrame:
@@ -247,34 +272,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, k: int = K)
     node that has each of their sets; null ids are linked with nothing and are kept. No rows in, no rows out; other
     columns are ignored.
     """
-    every = stash(sketched(docs, size, k), "sketches")
+    texts = tagged(docs)
+    every = stash(sketched(texts, size, k), "sketches")
     real = every.filter("n_shingles > 0 and doc_id is not null")
-    classes = stash(real.groupBy("content").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
-    reps = real.join(classes.select(F.col("content").alias("of"), "rep"), (F.col("content") == F.col("of")) & (F.col("doc_id") == F.col("rep"))).select("doc_id", "n_shingles", "content", "sketch")
-    reps = stash(reps.dropDuplicates(["doc_id"]), "representatives")
+    classes = stash(real.groupBy("content").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = real.join(classes.select(F.col("content").alias("of"), "rep", "node"), (F.col("content") == F.col("of")) & (F.col("doc_id") == F.col("rep"))).select("node", "doc_id", "tag", "n_shingles", "sketch")
+    reps = stash(reps.dropDuplicates(["node"]), "representatives")
     # Values on long lists, and whom they belong to.
-    values = reps.select("doc_id", F.explode("sketch").alias("value"))
+    values = reps.select("node", F.explode("sketch").alias("value"))
     often = stash(values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LONG).select("value"), "common-values")
-    common = values.join(often, "value", "left_semi").groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("value").alias("common"))  # k at most
-    reps = stash(reps.join(common, F.col("doc_id") == F.col("of"), "left").withColumn("listed", listed(least)("n_shingles", "sketch", "common")).drop("of", "common"), "listed")
-    lists = reps.select("doc_id", F.explode("listed").alias("value"))
+    common = values.join(often, "value", "left_semi").groupBy(F.col("node").alias("of")).agg(F.collect_list("value").alias("common"))  # k at most
+    reps = stash(reps.join(common, F.col("node") == F.col("of"), "left").withColumn("listed", listed(least)("n_shingles", "sketch", "common")).drop("of", "common"), "listed")
+    lists = reps.select("node", F.explode("listed").alias("value"))
     several = stash(lists.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("value"), "shared-values")
     lists = stash(lists.join(several, "value", "left_semi"), "shared-lists")
     maybe = estimate(k, least)
-    left, right = (reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
+    left, right = (reps.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
     pairs = first_round(lists).join(left, "a").join(right, "b").filter(f"100 * least(n_a, n_b) >= {least} * greatest(n_a, n_b)").filter(maybe("n_a", "s_a", "n_b", "s_b")).select("a", "b")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    links = verified(stash(pairs, "pairs-1"), texts, size, least)
-    # Rows that repeat a doc_id with different sets tie those sets' classes together.
-    ties = real.join(real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "doc_id", "left_semi")
-    ties = ties.join(classes, "content").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
+    links = verified(stash(pairs, "pairs-1"), reps, texts, size, least)
+    ties = tied(real, classes)
     roots = stash(components(links.unionByName(ties)), "roots-1")
     more = stash(second_round(lists, roots, reps, k, least), "pairs-2")
     if not more.isEmpty():
-        links = links.unionByName(verified(more, texts, size, least))
+        links = links.unionByName(verified(more, reps, texts, size, least))
         roots = stash(components(links.unionByName(ties)), "roots-2")
     # Back to the rows: classes of one that nothing links to need no look-up.
-    placed = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("root", "rep")).filter("size > 1 or component <> rep")
+    placed = classes.join(named(classes, roots), "node", "left").withColumn("component", F.coalesce("component", "rep")).filter("size > 1 or component <> rep")
     placed = stash(placed.select("content", "size", "component"), "placed")
     hot = placed.orderBy(F.desc("size"), "content").limit(HOT_ROWS)  # all other classes have under 1/HOT_ROWS of the rows
     out = every.select("doc_id", "n_shingles", "content").join(F.broadcast(hot.select("content", F.col("component").alias("hot"))), "content", "left")

@@ -88,6 +88,26 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
     assert found == [(-1, None, True), (2, 2, True), (3, 3, True), (3, 3, True), (4, 4, True), (5, 3, False), (9, 3, False)]
 
 
+def test_near_copies_of_each_text_of_a_repeated_id(spark):
+    rng = random.Random(11)
+    long = lambda: [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    edited = lambda words: " ".join([*words[:150], "other", *words[151:]])
+    rows, expected = [], []
+    for n in range(20):
+        first, second, third, low = long(), long(), long(), 10 * n
+        texts = [" ".join(first), " ".join(second), " ".join(third)]
+        rng.shuffle(texts)
+        rows += [(low + 3, t) for t in texts] + [(low + 9, edited(first)), (low + 8, edited(second)), (low + 7, edited(third)), (low + 5, " ".join(long()))]
+        # An id's other text may be that of a lower id.
+        rows += [(low + 8, " ".join(first[:280])), (low + 4, edited(second[:290]))]
+        expected += [(low + 3, low + 3, True)] * 3 + [(low + k, low + 3, False) for k in (4, 7, 8, 8, 9)] + [(low + 5, low + 5, True)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect())
+    assert found == sorted(expected)
+    assert sorted(r["doc_id"] for r in neardup.without_near_copies(docs).collect()) == sorted(d for d, _, kept in expected if kept)
+
+
 def test_exact_dedup(spark, documents):
     docs = spark.createDataFrame([(4, "a"), (2, "a"), (None, "a"), (3, None), (1, ""), (7, "A"), (7, "A")], SCHEMA)
     found = sorted(((r["doc_id"] or 0), r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs).collect())
