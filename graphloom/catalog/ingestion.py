@@ -183,6 +183,13 @@ def p16_text_fallback(spark, sf_dir):
     return d.select(F.col("doc_id").alias("name"), F.lit("file").alias("kind"), F.substring(text, 1, 2048).alias("content"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("end_line"))
 
 
+@query("SELECT doc_id || '.txt' AS name, doc_id || '.txt' AS qualified_name, 'file' AS kind, 0 AS start_line, len(regexp_extract_all(coalesce(text, ''), '\n'))::INT AS end_line, coalesce(text, '') AS docstring, coalesce(text, '') AS raw_text FROM documents")
+def p16_whole_text_fallback(spark, sf_dir):
+    """The entity that a text file is: its source is whole, the cut belongs to the node it becomes (P17)."""
+    files = tables.read(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel_path"), F.coalesce("text", F.lit("")).alias("content"))
+    return ingestion.text_entities(files)
+
+
 @query(sql("SELECT type, count(*) AS n, count(DISTINCT id) AS ids FROM nodes WHERE type = 'function' GROUP BY type"))
 def p17_planned_nodes(spark, sf_dir):
     f = tables.functions(spark, sf_dir)

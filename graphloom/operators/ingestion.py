@@ -35,6 +35,13 @@ def occurrences(entities: DataFrame, keys: tuple[str, ...] = ("file", "kind", "q
     return entities.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
 
 
+def text_entities(files: DataFrame) -> DataFrame:
+    """Text files (rel_path, content) as one entity each, with the whole source; end_line counts line ends."""
+    lines = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))
+    path, source = F.col("rel_path"), F.col("content")
+    return files.select(path.alias("name"), path.alias("qualified_name"), F.lit("file").alias("kind"), F.lit(0).alias("start_line"), lines.alias("end_line"), source.alias("docstring"), source.alias("raw_text"))
+
+
 def planned_nodes(entities: DataFrame, repo: str) -> DataFrame:
     """Parsed entities as nodes: id, content, and the metadata that isn't empty."""
     rows = occurrences(entities)

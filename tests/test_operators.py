@@ -226,3 +226,13 @@ def test_paths_that_lead_out_have_no_normal_form(spark):
 
     for path, expected in {"a/./b//../c": "a/c", "../a": None, "a/../..": None, "": ""}.items():
         assert one(spark, normalized(F.lit(path))) == expected
+
+
+def test_text_fallback_keeps_the_whole_source(spark):
+    from graphloom import catalog
+
+    source = "line ä\n" * 1000
+    row = ingestion.text_entities(spark.createDataFrame([("a/b.txt", source)], "rel_path string, content string")).first()
+    assert (row["name"], row["qualified_name"], row["kind"], row["start_line"], row["end_line"]) == ("a/b.txt", "a/b.txt", "file", 0, 1000)
+    assert row["docstring"] == row["raw_text"] == source
+    assert "p16_whole_text_fallback" in catalog.ORACLES
