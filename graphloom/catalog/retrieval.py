@@ -51,6 +51,18 @@ def v02_many_vectors(spark, sf_dir):
     return search.by_vectors(vectors, queries, 8).select("query_index", "rank", "node_id", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
+@query(sql("""
+SELECT query_index, rank::INT AS rank, node_id, round(distance, 6) + 0.0 AS distance FROM (
+  SELECT q.vec_id AS query_index, v.node_id, 1 - list_dot_product(v.vector, q.vector) / (sqrt(list_dot_product(v.vector, v.vector)) * sqrt(list_dot_product(q.vector, q.vector))) AS distance,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_dot_product(v.vector, q.vector) / (sqrt(list_dot_product(v.vector, v.vector)) * sqrt(list_dot_product(q.vector, q.vector))), 9), v.node_id) AS rank
+  FROM vectors v, vectors q WHERE q.vec_id % 50 = 0) WHERE rank <= 8"""))
+def v02_every_fiftieth_vector(spark, sf_dir):
+    """Queries that grow with the table: each vector whose id is divisible by 50, against all."""
+    vectors = tables.embeddings(spark, sf_dir)
+    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_index"), F.col("vector").alias("query"))
+    return search.by_vectors(vectors, queries, 8).select("query_index", "rank", "node_id", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
 @query(sql("""
 SELECT id, type, name FROM (
   SELECT *, max(exact) OVER () AS any_exact FROM (

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Limits and the constant of reciprocal-rank fusion.
 MAX_LIMIT, MIN_CANDIDATES, FACTOR, RRF = 200, 20, 4, 60
 MAX_QUERIES = 5
+# Distances that are equal so far are ties.
+DIGITS = 9
 
 
 def candidates(limit: int) -> int:
@@ -63,14 +65,16 @@ def by_vector(embeddings: DataFrame, query: list[float], limit: int, metric: str
 
 
 def by_vectors(embeddings: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """For each of a few queries (query_index, query) its `limit` nearest: rank, distance. Queries are a stated, small set."""
-    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(dot(c, c)))
-    pairs = embeddings.withColumn("unit", unit(F.col("vector"))).join(F.broadcast(queries.withColumn("q", unit(F.col("query")))), F.lit(True))
-    near = pairs.withColumn("distance", 1 - dot(F.col("unit"), F.col("q")))
-    # A sketch of the nearest per task first: rows beyond a task's own `limit` never shuffle.
-    own = near.groupBy("query_index", F.spark_partition_id().alias("part")).agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "node_id"))), 1, limit).alias("near"))
-    rows = own.select("query_index", F.explode("near").alias("n")).select("query_index", "n.*")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_index").orderBy("distance", "node_id"))).filter(F.col("rank") <= limit)
+    """For each query (query_index, query) its `limit` nearest: rank, distance. Ties (to 9 digits) go by id.
+
+    Partitions of queries meet partitions of rows, neither side need be small; a task hands on `limit` rows a query.
+    """
+    rows = embeddings.select("node_id", "vector", F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("length"))
+    asked = queries.select("query_index", "query", F.sqrt(dot(F.col("query"), F.col("query"))).alias("query_length"))
+    distance = 1 - dot(F.col("vector"), F.col("query")) / (F.col("length") * F.col("query_length"))
+    near = rows.crossJoin(asked).select("query_index", distance.alias("distance"), "node_id")
+    by = Window.partitionBy("query_index").orderBy(F.round("distance", DIGITS), "node_id")
+    return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit)
 
 
 def ranked(df: DataFrame, *order: Column, by: tuple[str, ...] = ()) -> DataFrame:

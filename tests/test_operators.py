@@ -246,3 +246,19 @@ def test_parse_failures_over_all_parts_and_languages(spark):
     assert {language for language, _ in found} == set(parsing.LANGUAGES[k] for k in parsing.SAMPLES)
     assert sum(found.values()) == parts
     assert found["python", True] > found["python", False] > 0
+
+
+def test_many_queries_keep_ties_by_id_and_few_rows_a_task(spark):
+    from graphloom import catalog
+
+    # Each direction ten times: only ties, over several tasks.
+    vectors = spark.createDataFrame([(f"n{i:03d}", [float(1 + i % 11), 1.0]) for i in range(110)], "node_id string, vector array<double>").repartition(5)
+    queries = spark.createDataFrame([(q, [float(q + 1), 1.0]) for q in range(11)], "query_index int, query array<double>")
+    near = search.by_vectors(vectors, queries, 4)
+    plan = near._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "collect_list" not in plan
+    found = near.collect()
+    assert sorted((r["query_index"], r["rank"], r["node_id"]) for r in found) == [(q, k + 1, f"n{q + 11 * k:03d}") for q in range(11) for k in range(4)]
+    sf_dir = "/root/testdata/sf0.1"
+    asked = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id % 50 = 0").count()
+    assert catalog.QUERIES["v02_every_fiftieth_vector"](spark, sf_dir).count() == 8 * asked
