@@ -126,7 +126,7 @@ def w07_file_batches(spark, sf_dir):
 
 @query()
 def w08_request_batches(spark, sf_dir):
-    d = tables.read(spark, sf_dir, "documents").select(F.col("source").alias("queue"), F.col("doc_id").alias("position"), F.least(F.col("n_chars"), F.lit(120_000)).alias("characters"))
+    d = tables.read(spark, sf_dir, "documents").select(F.col("source").alias("queue"), F.col("doc_id").alias("position"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("characters"))
     return ingestion.request_batches(d)
 
 

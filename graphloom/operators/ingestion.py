@@ -110,9 +110,11 @@ def file_batches(files: DataFrame) -> DataFrame:
 
 
 def request_batches(texts: DataFrame, items: int = EMBED_BATCH, characters: int = REQUEST_CHARACTERS) -> DataFrame:
-    """Inputs (queue, position, characters) in requests; one that is too long for any is an error."""
-    bad = F.assert_true(F.col("characters") <= characters, F.lit("an input is too long for a request"))
-    return greedy(texts.filter(bad.isNull()), "queue", "position", "characters", items, characters)
+    """Inputs (queue, position, characters) in requests; one that is too long for any is a row with an error and no batch."""
+    fits = F.col("characters") <= characters
+    batches = greedy(texts.filter(fits), "queue", "position", "characters", items, characters)
+    bad = texts.filter(~fits).select("queue", "position", "characters", F.lit(None).cast("int").alias("batch"), F.lit("an input is too long for a request").alias("error"))
+    return batches.withColumn("error", F.lit(None).cast("string")).unionByName(bad)
 
 
 def chunks(df: DataFrame, order: Column, size: int, by: tuple[str, ...] = ()) -> DataFrame:

@@ -262,3 +262,19 @@ def test_many_queries_keep_ties_by_id_and_few_rows_a_task(spark):
     sf_dir = "/root/testdata/sf0.1"
     asked = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id % 50 = 0").count()
     assert catalog.QUERIES["v02_every_fiftieth_vector"](spark, sf_dir).count() == 8 * asked
+
+
+def test_inputs_too_long_for_a_request_are_error_rows(spark):
+    from graphloom import catalog
+
+    sizes = [60_000, 60_000, 120_001, 1, 120_000, 500_000, 0]
+    texts = spark.createDataFrame([("q", k, n) for k, n in enumerate(sizes)], "queue string, position int, characters long")
+    found = sorted(ingestion.request_batches(texts).collect(), key=lambda r: r["position"])
+    assert [r["characters"] for r in found] == sizes
+    assert [r["batch"] for r in found] == [0, 0, None, 1, 2, None, 2]
+    assert [r["error"] is None for r in found] == [r["batch"] is not None for r in found]
+    sf_dir = "/root/testdata/sf0.1"
+    lengths = {r[0]: len(r[1] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    rows = catalog.QUERIES["w08_request_batches"](spark, sf_dir).collect()
+    assert {r["position"]: r["characters"] for r in rows} == lengths
+    assert [r["characters"] > 120_000 for r in rows] == [r["error"] is not None for r in rows]
