@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -178,8 +179,14 @@ def language_id(docs: DataFrame, model=None, sample: int = SAMPLE) -> DataFrame:
 
 
 def known_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose language can be told: not those of language_id's `und`."""
+    """The rows of docs, all columns, whose language can be told: not those of language_id's `und`.
+
+    Where nothing was there to learn from, all rows with a letter.
+    """
     model = fit(docs)
+    if not model[0]:
+        lettered = F.pandas_udf(lambda texts: pd.Series([t is not None and LETTER.search(t) is not None for t in texts], dtype=bool), "boolean")
+        return docs.filter(lettered(F.col("text").cast("string")))
     text = docs.withColumn("graphloom text", F.col("text").cast("string"))
     names = ("graphloom lang", "graphloom score")
     fields = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)

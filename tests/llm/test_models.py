@@ -30,6 +30,12 @@ def test_undetermined_language(spark):
     assert language_id.language_id(nothing.filter("false")).count() == 0
 
 
+def test_documents_with_letters_stay_when_no_language_is_known(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 !?", None), (3, None, None), (4, "", None), (5, "Ä", None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in language_id.known_documents(docs).collect()) == [1, 5]
+    assert language_id.known_documents(docs).dtypes == docs.dtypes
+
+
 def test_fingerprints_of_documents(spark):
     for docs in (spark.read.parquet(f"{SF}/documents.parquet"), spark.createDataFrame(odd_rows(), SCHEMA), spark.createDataFrame([(4, "abc")], SCHEMA)):
         rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
