@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
 from typing import NamedTuple
 
 #: Elements by how HTML treats them.
@@ -42,6 +43,8 @@ def blocks(page: str) -> list[Block]:
     tags: list[str] = []
     path: list[str] = []
     held: list[str] = []
+    places: dict[str, list[int]] = {}  # of each tag's open elements, from the outermost
+    solid: list[int] = []  # places of those that aren't inline
     linked, links, at, n = 0, 0, 0, len(page)
 
     def flush() -> None:
@@ -56,9 +59,17 @@ def blocks(page: str) -> list[Block]:
 
     def close(k: int) -> None:
         nonlocal links
-        links -= tags[k:].count("a")
+        for tag in tags[k:]:
+            places[tag].pop()
+            if tag not in INLINE:
+                solid.pop()
+            links -= tag == "a"
         del tags[k:], path[k:]
 
+    def last(tag: str) -> int:
+        found = places.get(tag)
+        return found[-1] if found else -1
+
     while at < n:
         m = TOKEN.search(page, at)
         if m is None:
@@ -81,12 +92,9 @@ def blocks(page: str) -> list[Block]:
             held.append(" ")
         if m[1] or m[4]:
             # An end tag closes its element and all in it; without one it does nothing.
-            for k in range(len(tags) - 1, max(-1, len(tags) - 400), -1):
-                if tags[k] == tag:
-                    if tag in INLINE and any(t not in INLINE for t in tags[k + 1 :]):
-                        break
-                    close(k)
-                    break
+            k = last(tag)
+            if k >= 0 and not (tag in INLINE and solid and solid[-1] > k):
+                close(k)
             continue
         attributes = m[3] if m[2] else m[6]
         if tag in VOID or attributes.endswith("/") and tag in SILENT:
@@ -95,17 +103,19 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        if tag == "body" and "head" in tags:
-            close(tags.index("head"))
-        if tag in ENDS_P and "p" in tags[-12:]:
-            k = len(tags) - 1 - tags[::-1].index("p")
-            if all(t in INLINE for t in tags[k + 1 :]):
-                close(k)
-        for k in range(len(tags) - 1, max(-1, len(tags) - 40), -1):
-            if tags[k] in ENDS_OWN.get(tag, ()):
-                close(k)
-            elif tags[k] in HOLDS.get(tag, ()) or tag not in ENDS_OWN:
-                break
+        if tag == "body" and places.get("head"):
+            close(places["head"][0])
+        if tag in ENDS_P and places.get("p") and solid[-1] == last("p"):
+            close(solid[-1])
+        if tag in ENDS_OWN:
+            # The outermost element of its own kind inside the nearest one that holds such.
+            holder = max(last(t) for t in HOLDS[tag])
+            own = [found[k] for t in ENDS_OWN[tag] if (found := places.get(t)) and (k := bisect(found, holder)) < len(found)]
+            if own:
+                close(min(own))
+        places.setdefault(tag, []).append(len(tags))
+        if tag not in INLINE:
+            solid.append(len(tags))
         tags.append(tag)
         path.append(element(tag, attributes))
         links += tag == "a"

@@ -79,6 +79,17 @@ def test_blocks_of_malformed_markup():
     assert text("") == text("<div></div>") == []
 
 
+def test_open_elements_are_found_at_any_depth():
+    paths = lambda page: [b.path for b in html_blocks.blocks(page)]
+    assert paths("<nav>" + "<div>" * 2000 + "menu</nav><main>text") == [("nav", *["div"] * 2000), ("main",)]
+    assert paths("<p>" + "<b>" * 100 + "one<p>two")[1] == ("p",)
+    assert paths("<ul><li>" + "<div>" * 100 + "one<li>two")[1] == ("ul", "li")
+    assert paths("<table><tr><td>" + "<div>" * 100 + "one<tr><td>two")[1] == ("table", "tr", "td")
+    # Cells of a table within a cell, and a link's end beyond a block, leave what is outside open.
+    assert paths("<table><tr><td><table><tr><td>one<td>two</table>three")[1:] == [("table", "tr", "td", "table", "tr", "td"), ("table", "tr", "td")]
+    assert paths("<a><div>one</a>two</div>") == [("a", "div")]
+
+
 def test_main_text_of_generated_and_given_pages(spark):
     model = html_extraction.train()
     rng, right, total = random.Random(77), 0, 0
