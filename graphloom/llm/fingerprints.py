@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import partitions
-from graphloom.llm.symbols import FACTORS, Ranges, U, mixed
+from graphloom.llm.symbols import Names, U, mixed
 
 #: Levels whose phrases are kept: about 10, 30 and 100 bytes long.
 LEVELS = (2, 3, 4)
@@ -29,7 +29,7 @@ KEEP = 64
 #: Hexadecimal digits of a name in a fingerprint.
 DIGITS = 8
 #: Bytes parsed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _toss_table(size: int) -> np.ndarray:
@@ -88,7 +88,7 @@ def level_up(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     begin[head] = True
     start = np.flatnonzero(begin)
     values = mixed(one.astype(U) + run.astype(U) * U(0x9E3779B97F4A7C15) + U(1))
-    names = Ranges(values, FACTORS[0])(start, np.append(start[1:], len(at)))
+    names = Names(values)(start, np.append(start[1:], len(at)))
     return names, np.searchsorted(at[start], offsets)
 
 

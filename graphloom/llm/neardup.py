@@ -1,76 +1,79 @@
 """Near-duplicate classes by bottom-k sketches from one hash function.
 
-1. Each text's shingles are hashed once; the K least distinct hashes are its sketch. Texts with equal sets make a class
-   of their own at once (a 128-bit sum over the whole set) and are one node; its text is one of the smallest doc_id's.
-   A doc_id that repeats with different sets has a node for each; ids come back in only when components are named.
-2. Inverted lists of retained values give candidates. A representative is listed under its first few values only:
+1. Each text's shingles are hashed once; the K least distinct hashes are its sketch. Texts of the same words in the same
+   order (by a 128-bit digest of them) are one node; its text is one of the smallest doc_id's. A doc_id that repeats with
+   different words has a node for each; ids come back in only when components are named.
+2. Inverted lists of retained values give overlaps. A node is listed under its first few values only:
    - Sets of up to K shingles are their own sketch. A set that is similar enough lacks at most floor((1-t)*s) of a
      set's s values, so of two linked sets the first floor((1-t)*s) + 1 values of each (in one order of all values) share
      one. This is exact.
    - Of larger sets the first FIRST values are listed. All of them miss a linked set with a probability of at most
      (1-t)^FIRST, 7e-12 for t = 0.8.
    Values on more than LONG lists' entries are common (a shared passage, a large group of copies). They come last in the
-   order, and a representative whose other values suffice for the above isn't listed under them at all.
-3. No list emits all its pairs. First each member meets the list's least member. The union sketch estimates their
-   similarity, the full sets decide, and verified links make components. Then only members that the component of most of
-   the list's members doesn't have meet the others (in short lists directly, in long ones in blocks), those of other components than their own. A pair that is
-   never met is in one component already or is met in the second round; so components are those of all links.
+   order, and a node whose other values suffice for the above isn't listed under them at all.
+3. Members of a list meet in one task, those of a list of more than BLOCK members in a task for each two blocks. The union
+   sketch estimates their similarities; what leaves a task is a spanning forest of the pairs that may be linked, so a
+   list gives fewer rows than it has entries and blocks. The forests' components are clusters of candidates.
+4. A cluster's texts meet in one task, those of a large one in a task for each two blocks, and the shingles themselves,
+   not hashes, decide: an exact prefix filter inside the task (elements rare there come first) gives pairs, and what
+   leaves it is a spanning forest of the linked pairs. Their components are those of all links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import HOT_ROWS, stash
-from graphloom.llm.symbols import FACTORS, Ranges, U, chunks, mixed, signed, word_hashes, words
+from graphloom.llm.common import HOT_ROWS, discard, partitions, stash
+from graphloom.llm.symbols import LOWER, U, chunks, signed, windows, word_array, word_codes, words
 
 K = 64
 FIRST = 16
 #: Of a larger set's K values, so many may be common before it is listed under common ones too.
 COMMON = 16
 LONG = 40
-BLOCK = 256
+#: Members that one task compares with as many others, and bytes of their texts.
+BLOCK = 1024
+BLOCK_BYTES = 4 << 20
+
+_LOWER = LOWER.tobytes()
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) for each text."""
     for lo, hi, data, offsets in chunks(texts):
         starts, ends, places = words(data, offsets)
-        ranges = Ranges(word_hashes(data, starts, ends, lower=True), FACTORS[1]) if len(starts) else None
+        codes = word_codes(data, starts, ends, lower=True)[0]
+        every = windows(codes, size)
         for r in range(lo, hi):
             a, b = int(places[r - lo]), int(places[r - lo + 1])
-            if a == b:
-                yield r, np.zeros(0, U)
-                continue
-            start = np.arange(a, max(a, b - size) + 1)
-            yield r, np.unique(ranges(start, np.minimum(start + size, b)))
+            if b - a >= size:
+                yield r, np.unique(every[a : b - size + 1])
+            else:
+                yield r, windows(codes[a:b], b - a) if b > a else np.zeros(0, U)
 
 
 def sketch(size: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, total, rows = [], [], []
+            n, rows = [], []
             for _, found in shingle_sets(batch.column(1), size):
                 n.append(len(found))
-                total.append(found.sum(dtype=U).tobytes() + mixed(found ^ U(0x9E3779B97F4A7C15)).sum(dtype=U).tobytes() + len(found).to_bytes(4, "little"))
                 rows.append(signed(found[:k]))
+            same, long = [], []
+            for text in batch.column(1):
+                raw = (text.as_py() or "").encode()
+                long.append(len(raw))
+                same.append(hashlib.blake2b(b" ".join(raw.translate(_LOWER).split()), digest_size=16).digest())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(total, pa.binary()), lists], names=["doc_id", "tag", "n_shingles", "content", "sketch"])
-
-    return run
-
-
-def full_sets(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [found.tobytes() for _, found in shingle_sets(batch.column(1), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(long, pa.int64()), pa.array(n, pa.int64()), pa.array(same, pa.binary()), lists], names=["doc_id", "tag", "n_bytes", "n_shingles", "content", "sketch"])
 
     return run
 
@@ -97,58 +100,267 @@ def listed(least: int):
     return F.pandas_udf(values, "array<long>")
 
 
-def estimate(k: int, least: int):
-    """A pandas function: whether two sketches may be of linked sets."""
-
-    def maybe(n: pd.Series, a: pd.Series, m: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([close(*x, k, least) for x in zip(n, a, m, b, strict=True)])
-
-    return F.pandas_udf(maybe, "boolean")
+def shares(a: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The union sketch's share of common values for a sketch and each of many, all of them with as many values."""
+    k = len(a)
+    both = np.sort(np.concatenate([np.broadcast_to(a, many.shape), many], axis=1), axis=1)
+    twice = both[:, 1:] == both[:, :-1]
+    place = np.cumsum(np.concatenate([np.ones((len(many), 1), bool), ~twice], axis=1), axis=1)  # of different values
+    return (twice & (place[:, 1:] <= k)).sum(axis=1) / k
 
 
 def close(n: int, a: np.ndarray, m: int, b: np.ndarray, k: int, least: int) -> bool:
-    """Exact for sets that are their own sketches; else the union sketch's share of common values with a margin of 7 deviations."""
-    if 100 * min(n, m) < least * max(n, m):
-        return False
-    a, b = np.asarray(a, np.int64).view(U), np.asarray(b, np.int64).view(U)
+    """Whether sets of n and m shingles with sketches a and b may be linked: exact for sets that are their own sketches;
+    else by the union sketch's share of common values, with a margin of 7 deviations."""
     both = np.intersect1d(a, b, assume_unique=True)
     if n <= len(a) and m <= len(b):
         return 100 * len(both) >= least * (n + m - len(both))
     union = np.union1d(a, b)[:k]
     share = np.searchsorted(both, union[-1], side="right") / len(union)
+    return share >= lowest(least, len(union))
+
+
+def lowest(least: int, values) -> np.ndarray:
     t = least / 100
-    return share >= t - 7 * (t * (1 - t) / len(union)) ** 0.5
+    return t - 7 * np.sqrt(t * (1 - t) / values)
+
+
+def spanned(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of a graph on 0 ... n - 1. near(x, free): those of the free that x is linked with."""
+    free, links = np.ones(n, bool), []
+    for s in range(n):
+        if free[s]:
+            free[s], todo = False, [s]
+            while todo:
+                x = todo.pop()
+                found = near(x, free)
+                free[found] = False
+                links += [(x, y) for y in found.tolist()]
+                todo += found.tolist()
+    return links
+
+
+def flat_ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All places of some ranges, one range after the other."""
+    n = hi - lo
+    return np.repeat(hi - np.cumsum(n), n) + np.arange(int(n.sum()))
+
+
+def likely(n: np.ndarray, flat: np.ndarray, offsets: np.ndarray, k: int, least: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of some sketches (their set sizes, values, offsets) that may be linked."""
+    size = np.diff(offsets)
+    own = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    whole = (size == k) & (n > k)
+    of = np.repeat(np.arange(len(n)), size)
+    order = np.argsort(flat, kind="stable")
+    state = [flat[order], of[order], len(n)]  # postings of the free, and how many were free then
+
+    def near(x: int, free: np.ndarray) -> np.ndarray:
+        left = int(free.sum())
+        if not left:
+            return np.zeros(0, np.int64)
+        if 2 * left < state[2]:
+            state[0], state[1] = state[0][free[state[1]]], state[1][free[state[1]]]
+            state[2] = left
+        held, who = state[0], state[1]
+        both = np.bincount(who[flat_ranges(np.searchsorted(held, own[x], "left"), np.searchsorted(held, own[x], "right"))], minlength=len(n))
+        union = np.minimum(k, np.maximum(size, size[x]))  # at least so many values are in the union's sketch
+        short = (n[x] <= size[x]) & (n <= size)
+        enough = both >= np.where(short, least * np.maximum(n, n[x]) / 100, lowest(least, union) * union)
+        found = np.flatnonzero(free & enough & (100 * np.minimum(n, n[x]) >= least * np.maximum(n, n[x])))
+        if not len(found):
+            return found
+        good = np.zeros(len(found), bool)
+        rest = np.ones(len(found), bool)
+        if whole[x]:
+            rest = ~whole[found]
+            if not rest.all():
+                good[~rest] = shares(own[x], np.stack([own[y] for y in found[~rest]])) >= lowest(least, k)
+        good[rest] = [close(n[x], own[x], n[y], own[y], k, least) for y in found[rest]]
+        return found[good]
+
+    return spanned(len(n), near)
+
+
+def linked(flat: np.ndarray, offsets: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """A spanning forest of the linked pairs of some sets (their elements as numbers, and offsets)."""
+    n, size = len(offsets) - 1, np.diff(offsets)
+    of = np.repeat(np.arange(n), size)
+    _, code, often = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    often = np.sort(often, kind="stable")  # by rank
+    element = rank[code]
+    element = element[np.lexsort((element, of))]  # each set's elements, those rare here first
+    first = np.arange(len(element)) - np.repeat(offsets[:-1], size) < np.repeat(size * (100 - least) // 100 + 1, size)
+    first &= often[element] > 1
+    held, who = element[first], of[first]
+    begin = np.searchsorted(who, np.arange(n + 1))
+    order = np.argsort(held, kind="stable")
+    posted, posted_of = held[order], who[order]
+    mark = np.zeros(len(often), np.int64)
+
+    def near(x: int, free: np.ndarray) -> np.ndarray:
+        mine = held[begin[x] : begin[x + 1]]
+        found = np.unique(posted_of[flat_ranges(np.searchsorted(posted, mine, "left"), np.searchsorted(posted, mine, "right"))])
+        found = found[free[found] & (100 * np.minimum(size[found], size[x]) >= least * np.maximum(size[found], size[x]))]
+        if not len(found):
+            return found
+        own = element[offsets[x] : offsets[x + 1]]
+        mark[own] = 1
+        at = np.concatenate([[0], np.cumsum(size[found])[:-1]])
+        both = np.add.reduceat(mark[element[flat_ranges(offsets[found], offsets[found + 1])]], at)
+        mark[own] = 0
+        return found[100 * both >= least * (size[found] + size[x] - both)]
+
+    return spanned(n, near)
+
+
+def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct shingles as numbers that are equal for equal shingles of these texts only, and n + 1 offsets."""
+    data = np.frombuffer(texts.buffers()[2], np.uint8)
+    kind = np.int64 if pa.types.is_large_binary(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data, offsets = LOWER[data[offsets[0] : offsets[-1]]], offsets - offsets[0]
+    starts, ends, places = words(data, offsets)
+    word = word_array(data, starts, ends).dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    # Texts of fewer words than a shingle are filled up with 0, which is no word.
+    n = np.diff(places)
+    room = np.maximum(n, size)
+    begin = np.concatenate([[0], np.cumsum(room)])
+    filled = np.zeros(begin[-1], np.int64)
+    filled[np.repeat(begin[:-1], n) + np.arange(len(word)) - np.repeat(places[:-1], n)] = word
+    base, name = int(word.max(initial=0)) + 1, filled
+    for k in range(1, size):
+        name = np.unique(name[: len(filled) - k] * base + filled[k:], return_inverse=True)[1]
+    at = flat_ranges(begin[:-1], begin[1:] - size + 1)
+    of = np.repeat(np.arange(len(n)), room - size + 1)
+    top = int(name.max(initial=0)) + 1
+    own = np.unique(of * top + name[at])
+    return own % top, np.searchsorted(own, np.arange(len(n) + 1) * top)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Some whole groups at a time (rows that share the first `keys` columns; they come one after the other), and n + 1 offsets."""
+
+    def parted(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        new = np.zeros(t.num_rows - 1, bool)
+        for c in range(keys):
+            v = t.column(c).to_numpy()
+            new |= v[1:] != v[:-1]
+        return t, np.concatenate([[0], np.flatnonzero(new) + 1, [t.num_rows]])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            t, offsets = parted([*held, batch])
+            if len(offsets) > 2:
+                yield t.slice(0, int(offsets[-2])), offsets[:-1]
+            held = t.slice(int(offsets[-2])).to_batches()
+    if held:
+        yield parted(held)
+
+
+def roots_of(links: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Those of the links that a forest needs."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    for a, b in links:
+        x, y = top(a), top(b)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            yield a, b
+
+
+def pairs_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    a = np.array(links, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(a.min(axis=1)), pa.array(a.max(axis=1))], names=["a", "b"])
+
+
+def meet(k: int, least: int):
+    """For mapInArrow over (value, i, j, node, n_shingles, sketch): forests of the pairs that may be linked."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, offsets in grouped(batches, 3):
+            t = t.combine_chunks()
+            node, n = (t.column(c).to_numpy().astype(np.int64) for c in ("node", "n_shingles"))
+            lists = t.column("sketch").chunk(0)
+            at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy().astype(np.int64))])
+            flat = lists.flatten().to_numpy().view(U)
+            found = []
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                if b - a == 2:
+                    p, q = n[a], n[a + 1]
+                    if 100 * min(p, q) >= least * max(p, q) and close(p, flat[at[a] : at[a + 1]], q, flat[at[a + 1] : at[b]], k, least):
+                        found.append((node[a], node[a + 1]))
+                elif b - a > 2:
+                    found += [(node[a + x], node[a + y]) for x, y in likely(n[a:b], flat[at[a] : at[b]], at[a : b + 1] - at[a], k, least)]
+            yield pairs_batch(list(roots_of(found)))
+
+    return run
 
-def shares(a: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """The union sketch's share of common values for a sketch and each of many, all of them with as many values."""
-    k = len(a)
-    both = np.sort(np.concatenate([np.broadcast_to(a, many.shape), many], axis=1).astype(np.int64).view(U), axis=1)
-    twice = both[:, 1:] == both[:, :-1]
-    place = np.cumsum(np.concatenate([np.ones((len(many), 1), bool), ~twice], axis=1), axis=1)  # of different values
-    return (twice & (place[:, 1:] <= k)).sum(axis=1) / k
 
+def decide(size: int, least: int):
+    """For mapInArrow over (root, i, j, node, text): forests of the linked pairs."""
 
-def same(a: bytes, b: bytes, least: int) -> bool:
-    x, y = np.frombuffer(a, U), np.frombuffer(b, U)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= least * (len(x) + len(y) - both)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, offsets in grouped(batches, 3):
+            node = t.column("node").to_numpy()
+            texts = t.column("text").combine_chunks()
+            upto = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))])[offsets]
+            g = 0
+            while g < len(offsets) - 1:  # some groups at a time, by their bytes
+                h = max(g + 1, int(np.searchsorted(upto, upto[g] + BLOCK_BYTES, side="right")) - 1)
+                lo, own = int(offsets[g]), offsets[g : h + 1] - offsets[g]
+                flat, at = shingles(texts.slice(lo, int(own[-1])), size)
+                found = []
+                for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True):
+                    if b - a > 1:
+                        found += [(node[lo + a + x], node[lo + a + y]) for x, y in linked(flat[at[a] : at[b]], at[a : b + 1] - at[a], least)]
+                yield pairs_batch(found)
+                g = h
+
+    return run
+
+
+def together(members: DataFrame, key: str, n: Column, *columns: str) -> DataFrame:
+    """Rows (key, i, j, node, columns) dealt so that any two members of a key share an (i, j); n: the key's blocks."""
+    block = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
+    other = F.explode(F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda j: j != F.col("block"))))
+    dealt = members.withColumn("n", n.cast("int")).withColumn("block", block).withColumn("other", other)
+    dealt = dealt.select(key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", *columns)
+    return dealt.repartition(partitions(members.sparkSession), key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, least: int) -> DataFrame:
-    """Of pairs (a, b) of nodes, those whose full sets are linked. A node's text is the one with its doc_id and tag."""
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-    wanted = reps.select("node", "doc_id", "tag").join(wanted, "node", "left_semi")
-    own = texts.join(wanted, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]).select("node", "text")
-    sets = stash(own.mapInArrow(full_sets(size), "node long, shingles binary"), "sets")
-    decide = F.pandas_udf(lambda x, y: pd.Series([same(p, q, least) for p, q in zip(x, y, strict=True)]), "boolean")
-    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
-    return stash(pairs.join(left, "a").join(right, "b").filter(decide("of_a", "of_b")).select("a", "b"), "links")
+def candidates(lists: DataFrame, reps: DataFrame, k: int, least: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose components hold all pairs that share a list and may be linked."""
+    sizes = stash(lists.groupBy("value").agg(F.count(F.lit(1)).alias("entries")).filter("entries > 1"), "shared-values")
+    members = lists.join(sizes, "value").join(reps.select("node", "n_shingles", "sketch"), "node")
+    dealt = together(members, "value", F.ceil(F.col("entries") / BLOCK), "n_shingles", "sketch")
+    return stash(dealt.mapInArrow(meet(k, least), "a long, b long").distinct(), "candidates")
+
+
+def verified(clusters: DataFrame, reps: DataFrame, texts: DataFrame, size: int, least: int) -> DataFrame:
+    """Links (a, b) whose components are those of all linked pairs within the clusters (node, root)."""
+    members = clusters.union(clusters.select("root", "root")).distinct().join(reps.select("node", "doc_id", "tag", "n_bytes"), "node")
+    members = stash(members, "members-of-clusters")
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).alias("blocks"))
+    sizes = stash(sizes, "sizes-of-clusters")
+    # Rows that share id and tag are equal; one of them is enough.
+    own = texts.join(members.drop("n_bytes"), ["doc_id", "tag"]).dropDuplicates(["node"]).select("node", "root", F.encode("text", "UTF-8").alias("text"))
+    dealt = together(stash(own, "texts-of-clusters").join(sizes, "root"), "root", F.col("blocks"), "text")
+    return stash(dealt.mapInArrow(decide(size, least), "a long, b long").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, root (the least node it reaches) of links (a, b), by large-star and small-star rounds of joins."""
-    links = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    links = stash(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links-to-lower")
     seen = None
     while True:
         both = links.union(links.select("v", "u"))
@@ -158,85 +370,14 @@ def components(links: DataFrame) -> DataFrame:
         large = stash(large.distinct(), "large-star")
         lowest = stash(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(lowest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        links = stash(small.distinct(), "small-star")
+        before, links = links, stash(small.distinct(), "small-star")
+        discard(before, least, large, lowest)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == seen:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
 
 
-def first_round(lists: DataFrame) -> DataFrame:
-    """Pairs of each list's least member with the others."""
-    least = stash(lists.groupBy("value").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "list-heads")
-    return lists.join(least, "value").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-
-
-def second_round(lists: DataFrame, roots: DataFrame, sketches: DataFrame, k: int, least: int) -> DataFrame:
-    """Pairs within a list that are in different components so far and whose sketches don't rule out a link."""
-    member = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    member = stash(member, "members")
-    # A list's largest component; members outside it are the ones to place.
-    sizes = member.groupBy("value", "root").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.groupBy("value").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).filter("kinds > 1 and all > 2")
-    top = stash(top, "open-lists")
-    # Short lists: their pairs of different components, LONG / 2 a member at most. The least member has met all others.
-    short = member.join(top.filter(F.col("all") <= LONG).select("value"), "value", "left_semi")
-    short = stash(short.withColumn("head", F.min("node").over(Window.partitionBy("value"))).filter("node <> head").drop("head"), "short-lists")
-    one, two = (short.select("value", F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-    near = one.join(two, "value").filter("a < b and root_a <> root_b").select("a", "b").distinct()
-    maybe = estimate(k, least)
-    left, right = (sketches.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
-    near = near.join(left, "a").join(right, "b").filter(f"100 * least(n_a, n_b) >= {least} * greatest(n_a, n_b)").filter(maybe("n_a", "s_a", "n_b", "s_b")).select("a", "b")
-    # Long lists: blocks.
-    member = member.join(top.filter(F.col("all") > LONG).select("value", F.col("top.root").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("others")), "value")
-    n_blocks, n_own = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("all", "others"))
-    block = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
-    ask = F.pmod(F.xxhash64(F.lit(7), "node"), n_own).cast("int")
-    slim = member.select("value", "node", "root", "main", block.alias("block"), ask.alias("ask"), n_blocks.alias("blocks"), n_own.alias("asks"))
-    asking = slim.filter("root <> main").select("value", "node", "root", "ask", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks_"))
-    asked = slim.select("value", "node", "root", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"), "block", F.lit(False).alias("asks_"))
-    rows = asking.unionByName(asked).join(sketches.select("node", "n_shingles", "sketch", "listed"), "node")
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        one, two = group[group.asks_], group[~group.asks_]
-        found = []
-        n2, r2, d2, s2 = two.n_shingles.to_numpy(), two.root.to_numpy(), two.node.to_numpy(), list(two.sketch)
-        # Common values with all of the block's sketches at once; few pairs have enough of them to be looked at.
-        held = np.concatenate([np.asarray(s, np.int64) for s in s2]) if len(s2) else np.zeros(0, np.int64)
-        of = np.repeat(np.arange(len(s2)), [len(s) for s in s2])
-        order = np.argsort(held, kind="stable")
-        held, of = held[order], of[order]
-        length = np.bincount(of, minlength=len(s2))
-        under = np.concatenate([np.asarray(s, np.int64) for s in two.listed]) if len(s2) else held
-        under_of = np.repeat(np.arange(len(s2)), [len(s) for s in two.listed])
-        order = np.argsort(under, kind="stable")
-        under, under_of = under[order], under_of[order]
-        this = group.value.iloc[0]
-        for d, r, n, s, u in zip(one.node, one.root, one.n_shingles, one.sketch, one.listed, strict=True):
-            # Two that share several lists meet in that of the least value only. All lists that they share are open, as
-            # they are in different components; so that one is among those looked at.
-            earlier = np.zeros(len(s2), bool)
-            for v in np.sort(np.asarray(u, np.int64)):
-                if v >= this:
-                    break
-                earlier[under_of[np.searchsorted(under, v, "left") : np.searchsorted(under, v, "right")]] = True
-            own = np.asarray(s, np.int64)
-            lo, hi = np.searchsorted(held, own, "left"), np.searchsorted(held, own, "right")
-            both = np.bincount(np.concatenate([of[a:b] for a, b in zip(lo, hi, strict=True)]), minlength=len(s2))
-            union = np.minimum(k, np.maximum(length, len(own)))  # at least so many values are in the union's sketch
-            t = least / 100
-            enough = both >= np.where((n <= len(own)) & (n2 <= length), least * np.maximum(n, n2) / 100, (t - 7 * np.sqrt(t * (1 - t) / union)) * union)
-            near = np.flatnonzero(enough & ~earlier & (r2 != r) & (100 * np.minimum(n, n2) >= least * np.maximum(n, n2)))
-            whole = near[(length[near] == k) & (n2[near] > k)] if len(own) == k and n > k else near[:0]
-            good = [i for i in np.setdiff1d(near, whole) if close(n, s, n2[i], s2[i], k, least)]
-            if len(whole):
-                good += whole[shares(own, np.stack([s2[i] for i in whole])) >= t - 7 * (t * (1 - t) / k) ** 0.5].tolist()
-            found += [(min(d, d2[i]), max(d, d2[i])) for i in good]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return rows.groupBy("value", "ask", "block").applyInPandas(meet, "a long, b long").unionByName(near).distinct()
-
-
 def tagged(docs: DataFrame) -> DataFrame:
     """doc_id, text and a hash of the text, which tells texts that repeat a doc_id apart."""
     text = F.col("text").cast("string")
@@ -244,7 +385,7 @@ def tagged(docs: DataFrame) -> DataFrame:
 
 
 def sketched(texts: DataFrame, size: int, k: int) -> DataFrame:
-    return texts.mapInArrow(sketch(size, k), "doc_id long, tag binary, n_shingles long, content binary, sketch array<long>")
+    return texts.mapInArrow(sketch(size, k), "doc_id long, tag binary, n_bytes long, n_shingles long, content binary, sketch array<long>")
 
 
 def tied(real: DataFrame, classes: DataFrame) -> DataFrame:
@@ -276,26 +417,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, k: int = K)
     every = stash(sketched(texts, size, k), "sketches")
     real = every.filter("n_shingles > 0 and doc_id is not null")
     classes = stash(real.groupBy("content").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")).withColumn("node", F.monotonically_increasing_id()), "classes")
-    reps = real.join(classes.select(F.col("content").alias("of"), "rep", "node"), (F.col("content") == F.col("of")) & (F.col("doc_id") == F.col("rep"))).select("node", "doc_id", "tag", "n_shingles", "sketch")
+    reps = real.join(classes.select(F.col("content").alias("of"), "rep", "node"), (F.col("content") == F.col("of")) & (F.col("doc_id") == F.col("rep"))).select("node", "doc_id", "tag", "n_bytes", "n_shingles", "sketch")
     reps = stash(reps.dropDuplicates(["node"]), "representatives")
     # Values on long lists, and whom they belong to.
     values = reps.select("node", F.explode("sketch").alias("value"))
     often = stash(values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LONG).select("value"), "common-values")
     common = values.join(often, "value", "left_semi").groupBy(F.col("node").alias("of")).agg(F.collect_list("value").alias("common"))  # k at most
-    reps = stash(reps.join(common, F.col("node") == F.col("of"), "left").withColumn("listed", listed(least)("n_shingles", "sketch", "common")).drop("of", "common"), "listed")
-    lists = reps.select("node", F.explode("listed").alias("value"))
-    several = stash(lists.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("value"), "shared-values")
-    lists = stash(lists.join(several, "value", "left_semi"), "shared-lists")
-    maybe = estimate(k, least)
-    left, right = (reps.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
-    pairs = first_round(lists).join(left, "a").join(right, "b").filter(f"100 * least(n_a, n_b) >= {least} * greatest(n_a, n_b)").filter(maybe("n_a", "s_a", "n_b", "s_b")).select("a", "b")
-    links = verified(stash(pairs, "pairs-1"), reps, texts, size, least)
-    ties = tied(real, classes)
-    roots = stash(components(links.unionByName(ties)), "roots-1")
-    more = stash(second_round(lists, roots, reps, k, least), "pairs-2")
-    if not more.isEmpty():
-        links = links.unionByName(verified(more, reps, texts, size, least))
-        roots = stash(components(links.unionByName(ties)), "roots-2")
+    lists = reps.join(common, F.col("node") == F.col("of"), "left").select("node", F.explode(listed(least)("n_shingles", "sketch", "common")).alias("value"))
+    lists = stash(lists, "lists")
+    pairs = candidates(lists, reps, k, least)
+    clusters = stash(components(pairs), "clusters")
+    discard(lists, pairs)
+    links = verified(clusters, reps, texts, size, least)
+    roots = stash(components(links.unionByName(tied(real, classes))), "roots")
     # Back to the rows: classes of one that nothing links to need no look-up.
     placed = classes.join(named(classes, roots), "node", "left").withColumn("component", F.coalesce("component", "rep")).filter("size > 1 or component <> rep")
     placed = stash(placed.select("content", "size", "component"), "placed")

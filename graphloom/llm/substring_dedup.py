@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import stash
 from graphloom.llm.repeats import looked_up, repeated, struct_columns
-from graphloom.llm.symbols import BYTES, FACTORS, Ranges, chunks, covered, signed, words
+from graphloom.llm.symbols import Names, chunks, covered, signed, word_codes, words
 
 WINDOW = 20
 #: Words of an anchor.
@@ -30,7 +30,7 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 def reader(data: np.ndarray, offsets: np.ndarray):
     starts, ends, places = words(data, offsets)
-    return tuple(Ranges(BYTES[k][data], FACTORS[k])(starts, ends) for k in (0, 1)), places
+    return word_codes(data, starts, ends), places
 
 
 def edges(window: int):
@@ -48,7 +48,7 @@ def edges(window: int):
                 at = first + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 row = np.repeat(row, n)
                 start = places[row - lo] + at
-                h = [pa.array(signed(Ranges(symbols[k], FACTORS[1 - k])(start, start + window))) for k in (0, 1)]
+                h = [pa.array(signed(Names(symbols[k])(start, start + window))) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*h, batch.column(0).take(pa.array(row)), pa.array(at)], names=["h1", "h2", "uid", "at"])
 
     return run

@@ -1,7 +1,15 @@
-"""Vectorised hashing over the texts of an Arrow batch: words, runs of symbols, and anchored pieces of repeated strings."""
+"""Vectorised hashing over the texts of an Arrow batch: words, runs of symbols, and anchored pieces of repeated strings.
+
+Two kinds of hashes. `Ranges` (a polynomial modulo 2^64) is quick and only chooses places: strings of two symbols that
+follow the Thue-Morse sequence collide in it from some hundred symbols on, whatever the multiplier, so no result may rest
+on it. Where equal hashes stand for equal strings, words are named by a keyed BLAKE2b digest, fixed-size runs of them by
+`windows` (a nonlinear step for each doubling), and ranges by `Names` (two polynomials modulo the prime 2^31 - 1: two
+different ranges of n symbols agree in both for at most (n / 2^31)^2 of all pairs of multipliers).
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +18,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text that are worked on at once, if no single text is longer.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _MASK = (1 << 64) - 1
 
 
@@ -22,10 +30,10 @@ def _odd(seed: int) -> int:
     return int(np.random.default_rng(seed).integers(1 << 62, 1 << 63, dtype=U)) * 2 % (1 << 64) | 5
 
 
-#: Two independent hash functions: a number for each byte, and a multiplier.
+#: Two tables with a number for each byte, and a multiplier for each.
 BYTES, FACTORS = (_table(11), _table(23)), (_odd(31), _odd(47))
-#: The same with A-Z as a-z.
-LOWER = tuple(np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), t[(np.arange(256) + 32) % 256], t) for t in BYTES)
+#: A-Z as a-z.
+LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -61,6 +69,67 @@ class Ranges:
         return mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(U))
 
 
+PRIME = U((1 << 31) - 1)
+_residues: dict[int, np.ndarray] = {}
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """A number under 2^32 + 2^31 that is x modulo 2^31 - 1."""
+    return (x & PRIME) + (x >> U(31))
+
+
+def residue(x: np.ndarray) -> np.ndarray:
+    x = folded(folded(x))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def residues(base: int, n: int) -> np.ndarray:
+    """base^0 ... base^(n-1) modulo 2^31 - 1."""
+    have = _residues.get(base, np.ones(1, U))
+    if len(have) < n:
+        while len(have) < max(n, CHUNK + 4096):
+            have = np.concatenate([have, residue(have * U(pow(base, len(have), int(PRIME))))])
+        _residues[base] = have
+    return have[:n]
+
+
+class Names:
+    """62-bit names of any ranges of a sequence of 64-bit numbers: two polynomials modulo the prime 2^31 - 1."""
+
+    BASES = (1_168_352_819, 1_640_531_527 - 97)
+
+    def __init__(self, values: np.ndarray):
+        n, self.lanes = len(values), []
+        for base, part in zip(self.BASES, (values, values >> U(33)), strict=True):
+            sums = np.zeros(n + 1, dtype=U)
+            np.cumsum(folded((part & PRIME) * residues(base, n)), dtype=U, out=sums[1:])
+            self.lanes.append((sums, residues(pow(base, -1, int(PRIME)), n + 1)))
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        one, two = (residue(folded(folded(sums[end] - sums[start])) * back[start]) for sums, back in self.lanes)
+        return mixed((one << U(31) | two) * U(0x9E3779B97F4A7C15) + (end - start).astype(U))
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mixed(a * U(0xA0761D6478BD642F) + b * U(0xE7037ED1A0B428DB))
+
+
+def windows(values: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit name for each `size` successive 64-bit numbers."""
+    n, have, at, out = len(values) - size + 1, 1, 0, None
+    if n <= 0:
+        return np.zeros(0, U)
+    while True:
+        if size & have:
+            part = values[at : at + n]
+            out = part if out is None else paired(out, part)
+            at += have
+        if 2 * have > size:
+            return out
+        values = paired(values[:-have], values[have:])
+        have *= 2
+
+
 def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, their bytes, n + 1 offsets in these) of the texts, null as empty."""
     texts = pc.fill_null(texts, "") if texts.null_count else texts
@@ -90,8 +159,27 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data, starts, ends, which: int = 0, lower: bool = False) -> np.ndarray:
-    return Ranges((LOWER if lower else BYTES)[which][data], FACTORS[which])(starts, ends)
+def word_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The words' bytes; they are all that isn't white space."""
+    plain, offsets = data[~SPACE[data]], np.concatenate([[0], np.cumsum(ends - starts)])
+    wide = len(plain) >= 1 << 31
+    return pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64 if wide else np.int32)), pa.py_buffer(plain)])
+
+
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers for each word, from a digest that is taken once for each different word."""
+    if not len(starts):
+        return np.zeros(0, U), np.zeros(0, U)
+    found = word_array(LOWER[data] if lower else data, starts, ends).dictionary_encode()
+    digests = b"".join([hashlib.blake2b(w, digest_size=16, key=b"graphloom word").digest() for w in found.dictionary.to_pylist()])
+    codes = np.frombuffer(digests, dtype="<u8").reshape(-1, 2)
+    at = found.indices.to_numpy()
+    return codes[at, 0], codes[at, 1]
+
+
+def word_hashes(data, starts, ends, lower: bool = False) -> np.ndarray:
+    """A quick hash of each word, for buckets."""
+    return Ranges(BYTES[0][LOWER[data] if lower else data], FACTORS[0])(starts, ends)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -110,14 +198,14 @@ def pieces(symbols: tuple[np.ndarray, np.ndarray], offsets: np.ndarray, window:
     A window's anchor is the leftmost of its least-hashed runs of `gram` symbols, so equal windows have their anchor at
     the same place in them, wherever they stand. A piece is a maximal run of successive windows with the same anchor.
     Of each piece: row, at (first window's start in the row), n (windows), lead (symbols before the anchor), anchor and
-    content (64-bit hashes of the anchor's run and of all the piece's symbols, by different functions).
+    content (64-bit hashes of the anchor's run and of all the piece's symbols; the latter is a name).
     """
     total = int(offsets[-1])
     first, last = offsets[:-1], offsets[1:] - window  # of window starts in each row
     if total < window or not (last >= first).any():
         empty = np.zeros(0, np.int64)
         return dict.fromkeys(("row", "at", "n", "lead"), empty) | {"anchor": empty.astype(U), "content": empty.astype(U)}
-    one, two = Ranges(symbols[0], FACTORS[0]), Ranges(symbols[1], FACTORS[1])
+    one, two = Ranges(symbols[0], FACTORS[0]), Names(symbols[1])
     at = np.arange(total - gram + 1)
     grams = one(at, at + gram)
     bits = max(1, int(total).bit_length())

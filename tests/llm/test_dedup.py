@@ -117,3 +117,21 @@ def test_exact_dedup(spark, documents):
     assert kept.columns == documents.columns
     assert kept.count() == documents.select("text").distinct().count()
     assert sorted((r["doc_id"], r["text"]) for r in exact_dedup.kept_documents(docs).collect()) == [(3, None), (4, "a"), (7, "A")]
+
+
+def thue_morse(n, one="a", two="b"):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join(two if b else one for b in bits[:n])
+
+
+@pytest.mark.parametrize("size", [512, 1024, 4096])
+def test_words_that_polynomials_modulo_a_power_of_two_confuse(spark, size):
+    rest = [f"w{i}" for i in range(19)]
+    rows = [(1, " ".join([thue_morse(size), *rest])), (2, " ".join([thue_morse(size, "b", "a"), *rest])), (3, " ".join([thue_morse(size), "x y z"])), (4, " ".join([thue_morse(size, "b", "a"), "x y z"]))]
+    rows += [(5, " ".join(thue_morse(size))), (6, " ".join(thue_morse(size, "b", "a")))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert by_id(neardup.near_duplicates(docs, size=4)) == brute.near_duplicates(rows)
+    assert by_id(substring_dedup.substring_dedup(docs)) == brute.substring_dedup(rows)
+    assert by_id(suffix_dedup.suffix_dedup(docs)) == brute.suffix_dedup(rows)
