@@ -6,7 +6,8 @@ Capacities add up to the number of rows and differ by one row at most (law "rows
 
 The ring is walked over counts of the arcs between points (shards * VNODES numbers, whatever the input), not over rows.
 Rows then need only their rank in their arc: ranks come from windows over small cells of an arc (place on the ring,
-input partition) plus running totals of the cells' counts, so that no arc or repeated key meets in one task.
+writing task) plus running totals of the cells' counts, so that no arc or repeated key meets in one task. The rows' small
+columns are written once before that: counts and ranks both read the written cells, however the input is dealt.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import partitions, text_or_empty
+from graphloom.llm.common import partitions, stash, text_or_empty
 
 VNODES = 64
 #: Places of the ring.
@@ -67,7 +68,9 @@ def shard(docs: DataFrame, shards: int = 16, vnodes: int = VNODES) -> DataFrame:
 
     size: UTF-8 bytes of the text (null: none) plus 1. home_shard: the shard that the ring alone would give. Rows that
     repeat a doc_id have one place and may part where a shard is full; a null doc_id counts as an empty key. No rows in,
-    no rows out; columns other than doc_id and text are ignored.
+    no rows out; columns other than doc_id and text are ignored. Equal texts are a group only in that they have one
+    text_crc32 and size: this law places by doc_id, so copies part as their ids do, and no shard holds more than its
+    share of a large group.
     """
     spark = docs.sparkSession
     ring = points(shards, vnodes)
@@ -79,7 +82,7 @@ def shard(docs: DataFrame, shards: int = 16, vnodes: int = VNODES) -> DataFrame:
     rows = docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), place().alias("place"), (F.spark_partition_id() % 64).alias("task")
     ).withColumn("arc", arc("place"))
-    rows = rows.withColumn("cell", (F.col("place") % cells) * 64 + F.col("task"))
+    rows = stash(rows.withColumn("cell", (F.col("place") % cells) * 64 + F.col("task")).drop("task"), "shard-rows")
     counted = rows.groupBy("arc", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("arc").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     start = counted.select("arc", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
