@@ -119,13 +119,13 @@ def leveled(docs: DataFrame) -> DataFrame:
     return docs.select("*", domain(source).alias(own("domain")), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias(own("lang")), source.alias(own("source")))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED, share=SHARE) -> DataFrame:
-    """docs' rows of the mix: all their columns and `copies`, how many epochs of its leaf have the row.
+def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED, share=SHARE, copies_as: str = "copies") -> DataFrame:
+    """docs' rows of the mix: all their columns and `copies_as`, how many epochs of its leaf have the row.
 
     A document has as many tokens as words. Rows that repeat a doc_id in a leaf have one place in the order and stand
     or fall together; documents without words have no tokens and stand if their place is before the cut. Null text,
-    lang and source count as empty, null ids as one empty id. No rows in, no rows out. Other columns pass through; of two named
-    copies the last is the mix's.
+    lang and source count as empty, null ids as one empty id. No rows in, no rows out. Other columns pass through; a column of
+    docs named as copies_as needs another name there.
     """
     named = leveled(docs)
     rows = named.select("doc_id", *[F.col(own(c)).alias(c) for c in LEVELS], tokens().alias("n_tokens"))
@@ -134,7 +134,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED
     joined = named.join(leaf, [own(c) for c in LEVELS])
     within = F.coalesce(order(F.col(own("whole")), seed) <= F.col(own("cut")), F.lit(False)).cast("int")
     copies = F.col(own("whole")) + within
-    return joined.filter(copies > 0).select(*docs.columns, copies.alias("copies"))
+    return joined.filter(copies > 0).select(*docs.columns, copies.alias(copies_as))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
