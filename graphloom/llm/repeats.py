@@ -1,15 +1,12 @@
-"""What the operators on repeated strings share: finding the windows of symbols that also start earlier.
-
-1. Successive windows with one anchor (a content-chosen run of symbols inside each window) form a piece. Pieces whose
-   anchor occurs once in the corpus are left: none of their windows repeats.
-2. A whole piece that occurs again, symbol for symbol, has all its windows repeated after its first occurrence. The
-   first occurrence is a partial aggregate, so a passage or a text that a third of all rows share is a row per map task;
-   the join that follows has no aggregate above it, so that Spark can split its hot keys.
-3. Only anchors that stand in different pieces (where shared strings begin, end or branch) need a look at single
-   windows. Each different piece takes part once, by its first occurrence. How windows are compared is the operator's own.
-
-Two 64-bit hashes by different functions stand for a piece's content. Rows are named by a number, `uid`, in the order
-that decides which of two equal strings is earlier.
+"""What the operators on repeated strings share: finding the pieces of texts that may hold a repeated window of symbols.
+
+Successive windows with one anchor (a content-chosen run of symbols inside each window) form a piece, so equal windows lie
+in pieces of one anchor, at the same place to it. Pieces whose anchor occurs once in the corpus are left: none of their
+windows repeats. A piece has the names of its first and its last window - 1 symbols, its source and its target. As it has
+fewer windows than a window has symbols, these two cover all of it: equal pieces have equal anchors, sources, targets and
+shapes (number of windows, and place of the anchor), which stand for their content with 186 bits of names.
+
+Rows are named by a number, `uid`, in the order that decides which of two equal strings is earlier.
 """
 
 from __future__ import annotations
@@ -21,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import partitions, stash
-from graphloom.llm.symbols import chunks, pieces, signed
+from graphloom.llm.common import discard, partitions, stash
+from graphloom.llm.symbols import Names, chunks, pieces, signed
 
-#: Turns the bytes of some texts into two 64-bit numbers for each symbol and the texts' n + 1 symbol offsets.
-Reader = Callable[[np.ndarray, np.ndarray], tuple[tuple[np.ndarray, np.ndarray], np.ndarray]]
+#: Turns the bytes of some texts into quick hashes of their symbols, the texts' n + 1 symbol offsets, and a function that
+#: gives a 64-bit name for each symbol.
+Reader = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, Callable[[], np.ndarray]]]
+PIECE = ["anchor", "source", "target", "shape"]
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -60,41 +59,52 @@ def scan(reader: Reader, window: int, gram: int, only_anchor: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _hi, data, offsets in chunks(batch.column(1)):
-                p = pieces(*reader(data, offsets), window, gram)
+                symbols, places, names = reader(data, offsets)
+                p = pieces(symbols, places, window, gram)
                 if not len(p["row"]):
                     continue
                 anchor = pa.array(signed(p["anchor"]))
                 if only_anchor:
                     yield pa.RecordBatch.from_arrays([anchor], names=["anchor"])
                 else:
+                    name, end = Names(names()), p["start"] + p["n"]
+                    nodes = [pa.array(signed(name(at, at + window - 1))) for at in (p["start"], end)]
                     uid = batch.column(0).take(pa.array(p["row"] + lo))
-                    yield pa.RecordBatch.from_arrays([anchor, pa.array(signed(p["content"])), uid, pa.array(packed(p["at"], p["n"], p["lead"]))], names=["anchor", "content", "uid", "place"])
+                    yield pa.RecordBatch.from_arrays([anchor, *nodes, uid, pa.array(packed(p["at"], p["n"], p["lead"]))], names=["anchor", "source", "target", "uid", "place"])
 
     return run
 
 
-def repeated(docs: DataFrame, reader: Reader, window: int, gram: int, compare: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """docs as uid, doc_id, text, spans: array of (at, n), the starts of windows that also start earlier (null: none).
-
-    compare(pieces, texts) gets pieces (anchor, uid, at, n, lead) to look into and the texts (uid, text), and gives
-    (uid, at) of each of the pieces' windows that starts earlier in one of the pieces.
-    """
-    rows = named(docs)
+def found_pieces(rows: DataFrame, reader: Reader, window: int, gram: int) -> DataFrame:
+    """PIECE, uid, place of the pieces of rows (uid, text) whose anchor occurs again."""
     texts = rows.select("uid", "text")
     anchors = texts.mapInArrow(scan(reader, window, gram, True), "anchor long")
     often = stash(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor"), "anchors")
-    found = texts.mapInArrow(scan(reader, window, gram, False), "anchor long, content long, uid long, place long")
-    found = stash(found.join(often, "anchor", "left_semi"), "pieces").withColumn("shape", F.col("place") % 65536)
+    found = texts.mapInArrow(scan(reader, window, gram, False), "anchor long, source long, target long, uid long, place long")
+    out = stash(found.join(often, "anchor", "left_semi"), "pieces")
+    discard(often)
+    return out.withColumn("shape", F.col("place") % 65536)
+
+
+def different(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each different piece once: PIECE, first (uid, at), times; and as (anchor, uid, at, n, lead) those whose anchor
+    stands in different pieces: where shared strings begin, end or branch.
+
+    The first occurrence is a partial aggregate, so a passage or a text that a third of all rows share is a row per map
+    task. Both are tables, so that Spark can split hot keys of joins with them.
+    """
     spot = F.struct("uid", F.shiftright("place", 16).alias("at"))
-    whole = stash(found.groupBy("anchor", "content", "shape").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("times")), "whole-pieces")
-    # Tables, not aggregates, below the joins: so Spark can split their hot keys.
+    whole = stash(found.groupBy(*PIECE).agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("times")), "whole-pieces")
     kinds = stash(whole.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor"), "branching-anchors")
     _, n, lead = unpacked("shape")
     branching = stash(whole.join(kinds, "anchor", "left_semi").select("anchor", F.col("first.uid").alias("uid"), F.col("first.at").alias("at"), n, lead), "branching")
-    again = whole.filter("times > 1").select("anchor", "content", "shape", "first")
-    later = found.join(again, ["anchor", "content", "shape"]).filter(spot != F.col("first")).select("uid", *unpacked()[:2])
-    single = compare(branching, texts).select("uid", "at", F.lit(1).alias("n"))
-    spans = later.unionByName(single).groupBy("uid").agg(F.collect_list(F.struct("at", "n")).alias("spans"))  # a document's own, no more than its symbols
+    discard(kinds)
+    return whole, branching
+
+
+def with_spans(rows: DataFrame, repeats: DataFrame) -> DataFrame:
+    """rows (uid, doc_id, text) with spans: array of (at, n), the starts of windows that also start earlier (null: none)."""
+    spans = repeats.groupBy("uid").agg(F.collect_list(F.struct("at", "n")).alias("spans"))  # a document's own, no more than its symbols
     return rows.join(spans.withColumnRenamed("uid", "of"), F.col("uid") == F.col("of"), "left").select("uid", "doc_id", "text", "spans")
 
 

@@ -1,10 +1,17 @@
 """Substring dedup by De Bruijn compaction over words.
 
-A window of WINDOW words is an edge of the graph. Runs of edges with a common anchor are compacted to one piece while
-the texts are read, and joins over (anchor, content) find the pieces that stand for a nonbranching repeated path: all
-their edges repeat together, so one row of coordinates stands for the path in each source. Where paths branch (an anchor
-in different pieces) the pieces are opened into single edges, which meet by a 128-bit hash with the coordinates of their
-first source. The sources' coordinates then decide: an edge whose first source is another place is a repeat.
+The graph's nodes are contexts of WINDOW - 1 words, its edges the windows (k-mers) that occur again; only repeated ones are
+ever rows of their own. As usual for graphs beyond one machine's memory, texts are read as runs of windows with a common
+anchor (repeats.py):
+
+1. A run that occurs again, word for word, is a path of edges that are walked together: one edge of n windows from its
+   first to its last context. Runs whose anchor stands in different runs are opened into single windows, once for each
+   different run, and the windows that occur again are edges of one window.
+2. Joins on contexts give each edge the edges that end where it begins. Where one edge comes in and one goes out (the
+   context doesn't branch) and the first sources' coordinates say that the second edge goes on where the first ends, the
+   two are compacted; a path is a maximal chain of these. Its first source is one place: a document and a start.
+3. All sources of a path's edges are joined with it. A source's coordinates, less the edge's place in the path, say where
+   the path would begin there; if that isn't the path's first source, the span is a repeat and goes.
 """
 
 from __future__ import annotations
@@ -14,12 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stash
-from graphloom.llm.repeats import looked_up, repeated, struct_columns
-from graphloom.llm.symbols import Names, chunks, covered, signed, word_codes, words
+from graphloom.llm.common import discard, stash
+from graphloom.llm.repeats import PIECE, different, found_pieces, looked_up, named, struct_columns, unpacked, with_spans
+from graphloom.llm.symbols import BYTES, FACTORS, Names, Ranges, chunks, covered, signed, word_codes, words
 
 WINDOW = 20
 #: Words of an anchor.
@@ -30,17 +37,18 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 def reader(data: np.ndarray, offsets: np.ndarray):
     starts, ends, places = words(data, offsets)
-    return word_codes(data, starts, ends), places
+    return Ranges(BYTES[0][data], FACTORS[0])(starts, ends), places, lambda: word_codes(data, starts, ends)[0]
 
 
-def edges(window: int):
-    """For mapInArrow: the pieces' single windows, named by two hashes."""
+def single_windows(window: int):
+    """For mapInArrow: the windows of the runs to look into, each with its two contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists, p = struct_columns(batch.column(2))
             for lo, hi, data, offsets in chunks(batch.column(1)):
-                symbols, places = reader(data, offsets)
+                starts, ends, places = words(data, offsets)
+                name = Names(word_codes(data, starts, ends)[0])
                 own = slice(lists[lo], lists[hi])
                 row = np.repeat(np.arange(lo, hi), np.diff(lists[lo : hi + 1]))
                 n = p["n"][own].astype(np.int64)
@@ -48,17 +56,23 @@ def edges(window: int):
                 at = first + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 row = np.repeat(row, n)
                 start = places[row - lo] + at
-                h = [pa.array(signed(Names(symbols[k])(start, start + window))) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*h, batch.column(0).take(pa.array(row)), pa.array(at)], names=["h1", "h2", "uid", "at"])
+                nodes = [pa.array(signed(name(a, a + window - 1))) for a in (start, start + 1)]
+                yield pa.RecordBatch.from_arrays([*nodes, batch.column(0).take(pa.array(row)), pa.array(at)], names=["source", "target", "uid", "at"])
 
     return run
 
 
-def compare(pieces: DataFrame, texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    single = stash(looked_up(pieces, texts, edges(window), "h1 long, h2 long, uid long, at long"), "edges")
-    first = single.groupBy("h1", "h2").agg(F.min(F.struct("uid", "at")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    first = stash(first.drop("times"), "first-edges")  # a table, not an aggregate below the join, so that Spark can split hot edges
-    return single.join(first, ["h1", "h2"]).filter(F.struct("uid", "at") != F.col("first")).select("uid", "at")
+def compacted(edges: DataFrame) -> DataFrame:
+    """edges (source, target, n, single, first: uid, at) with `start`: where, in its first source, the edge's path begins."""
+    # What comes into each context: how many edges, and where the only one ends.
+    into = stash(edges.groupBy(F.col("target").alias("node")).agg(F.count(F.lit(1)).alias("ins"), F.min(F.struct(F.col("first.uid").alias("uid"), (F.col("first.at") + F.col("n")).alias("at"), "single")).alias("end")), "contexts-in")
+    out = stash(edges.groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("outs")), "contexts-out")
+    met = edges.join(into, F.col("source") == into["node"], "left").drop("node").join(out, F.col("source") == out["node"]).drop("node")
+    goes_on = (F.col("ins") == 1) & (F.col("outs") == 1) & (F.col("end") == F.struct(F.col("first.uid").alias("uid"), F.col("first.at").alias("at"), "single"))
+    met = met.withColumn("begins", F.when(F.coalesce(goes_on, F.lit(False)), F.lit(None)).otherwise(F.col("first.at")))
+    # A path's edges follow each other in one document: the last begin so far is theirs.
+    along = Window.partitionBy("first.uid", "single").orderBy("first.at")
+    return met.withColumn("start", F.last("begins", ignorenulls=True).over(along)).select(*edges.columns, "start")
 
 
 def keep_words(window: int):
@@ -89,5 +103,23 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     id, by the text's digest), or earlier in the same row. Rows equal in doc_id and text don't count as earlier than
     each other. Texts with fewer words than a window keep all. No rows in, no rows out; other columns are ignored.
     """
-    found = repeated(docs, reader, window, gram, lambda p, t: compare(p, t, window))
-    return found.select("doc_id", "text", "spans").mapInArrow(keep_words(window), RESULT)
+    rows = named(docs)
+    found = found_pieces(rows, reader, window, gram)
+    whole, branching = different(found)
+    single = stash(looked_up(branching, rows.select("uid", "text"), single_windows(window), "source long, target long, uid long, at long"), "single-windows")
+    discard(branching)
+    ones = single.groupBy("source", "target").agg(F.min(F.struct("uid", "at")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    n = unpacked("shape")[1]
+    runs = whole.filter("times > 1").select("anchor", "shape", "source", "target", n, "first", F.lit(False).alias("single"))
+    none = F.lit(None).cast("long")
+    edges = runs.unionByName(ones.select(none.alias("anchor"), none.alias("shape"), "source", "target", F.lit(1).alias("n"), "first", F.lit(True).alias("single")))
+    edges = stash(edges, "edges")
+    paths = stash(compacted(edges), "paths")
+    discard(whole, edges)
+    # Where an edge's path begins in a source of the edge, and in the path's first source.
+    path = [F.col("first.uid").alias("path_uid"), F.col("start").alias("path_at"), (F.col("first.at") - F.col("start")).alias("along")]
+    at, n, _ = unpacked()
+    walked = found.join(paths.filter(~F.col("single")).select(*PIECE, *path), PIECE).select("uid", at, n, "path_uid", "path_at", "along")
+    alone = single.join(paths.filter("single").select("source", "target", *path), ["source", "target"]).select("uid", "at", F.lit(1).alias("n"), "path_uid", "path_at", "along")
+    later = walked.unionByName(alone).filter((F.col("uid") != F.col("path_uid")) | (F.col("at") - F.col("along") != F.col("path_at"))).select("uid", "at", "n")
+    return with_spans(rows, later).select("doc_id", "text", "spans").mapInArrow(keep_words(window), RESULT)

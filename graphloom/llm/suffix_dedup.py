@@ -18,9 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from graphloom.llm.common import partitions
-from graphloom.llm.repeats import looked_up, repeated, struct_columns
+from graphloom.llm.repeats import PIECE, different, found_pieces, looked_up, named, struct_columns, unpacked, with_spans
 from graphloom.llm.symbols import BYTES, chunks, covered
 
 WINDOW = 100
@@ -34,7 +35,7 @@ STRETCH = "anchor long, uid long, at long, n int, lead int, body binary"
 
 
 def reader(data: np.ndarray, offsets: np.ndarray):
-    return (BYTES[0][data], BYTES[1][data]), offsets
+    return BYTES[0][data], offsets, lambda: BYTES[1][data]
 
 
 def stretches(window: int):
@@ -178,5 +179,11 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     same row. Rows equal in doc_id and text don't count as earlier than each other. Texts shorter than a window keep
     all. No rows in, no rows out; columns other than doc_id and text are ignored.
     """
-    found = repeated(docs, reader, window, gram, lambda p, t: compare(p, t, window))
-    return found.select("doc_id", "text", "spans").mapInArrow(keep_bytes(window), RESULT)
+    rows = named(docs)
+    found = found_pieces(rows, reader, window, gram)
+    whole, branching = different(found)
+    again = whole.filter("times > 1").select(*PIECE, "first")
+    at, n, _ = unpacked()
+    later = found.join(again, PIECE).select("uid", at, n, "first").filter(F.struct("uid", "at") != F.col("first")).drop("first")
+    single = compare(branching, rows.select("uid", "text"), window).select("uid", "at", F.lit(1).alias("n"))
+    return with_spans(rows, later.unionByName(single)).select("doc_id", "text", "spans").mapInArrow(keep_bytes(window), RESULT)

@@ -159,6 +159,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
+#: Words whose digests a Python worker remembers, those of one chunk aside.
+MEMO = 100_000
+_digests: dict[bytes, bytes] = {}
+
+
 def word_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The words' bytes; they are all that isn't white space."""
     plain, offsets = data[~SPACE[data]], np.concatenate([[0], np.cumsum(ends - starts)])
@@ -171,8 +176,13 @@ def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     if not len(starts):
         return np.zeros(0, U), np.zeros(0, U)
     found = word_array(LOWER[data] if lower else data, starts, ends).dictionary_encode()
-    digests = b"".join([hashlib.blake2b(w, digest_size=16, key=b"graphloom word").digest() for w in found.dictionary.to_pylist()])
-    codes = np.frombuffer(digests, dtype="<u8").reshape(-1, 2)
+    if len(_digests) > MEMO:
+        _digests.clear()
+    own = found.dictionary.to_pylist()
+    for w in own:
+        if w not in _digests:
+            _digests[w] = hashlib.blake2b(w, digest_size=16, key=b"graphloom word").digest()
+    codes = np.frombuffer(b"".join([_digests[w] for w in own]), dtype="<u8").reshape(-1, 2)
     at = found.indices.to_numpy()
     return codes[at, 0], codes[at, 1]
 
@@ -192,20 +202,20 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def pieces(symbols: tuple[np.ndarray, np.ndarray], offsets: np.ndarray, window: int, gram: int) -> dict[str, np.ndarray]:
+def pieces(symbols: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> dict[str, np.ndarray]:
     """All windows of `window` symbols, grouped into pieces.
 
     A window's anchor is the leftmost of its least-hashed runs of `gram` symbols, so equal windows have their anchor at
     the same place in them, wherever they stand. A piece is a maximal run of successive windows with the same anchor.
-    Of each piece: row, at (first window's start in the row), n (windows), lead (symbols before the anchor), anchor and
-    content (64-bit hashes of the anchor's run and of all the piece's symbols; the latter is a name).
+    Of each piece: row, at (first window's start in the row), n (windows), lead (symbols before the anchor), anchor (a
+    quick hash of its run) and start (the first window's, among all symbols).
     """
     total = int(offsets[-1])
     first, last = offsets[:-1], offsets[1:] - window  # of window starts in each row
     if total < window or not (last >= first).any():
         empty = np.zeros(0, np.int64)
-        return dict.fromkeys(("row", "at", "n", "lead"), empty) | {"anchor": empty.astype(U), "content": empty.astype(U)}
-    one, two = Ranges(symbols[0], FACTORS[0]), Names(symbols[1])
+        return dict.fromkeys(("row", "at", "n", "lead", "start"), empty) | {"anchor": empty.astype(U)}
+    one = Ranges(symbols, FACTORS[0])
     at = np.arange(total - gram + 1)
     grams = one(at, at + gram)
     bits = max(1, int(total).bit_length())
@@ -220,7 +230,7 @@ def pieces(symbols: tuple[np.ndarray, np.ndarray], offsets: np.ndarray, window:
     stop[:-1] &= new[1:] | ~good[1:]
     n = np.flatnonzero(stop) + 1 - starts
     anchor = best[starts]
-    return {"row": row[starts], "at": starts - offsets[row[starts]], "n": n, "lead": anchor - starts, "anchor": grams[anchor], "content": two(starts, starts + n + window - 1)}
+    return {"row": row[starts], "at": starts - offsets[row[starts]], "n": n, "lead": anchor - starts, "anchor": grams[anchor], "start": starts}
 
 
 def signed(h: np.ndarray) -> np.ndarray:
