@@ -2,6 +2,12 @@
 
 Stages get (spark, docs, sf_dir) and return a DataFrame. run() writes each stage's result to the shared folder and reads
 it again as the next one's docs. All but the last return documents with their columns.
+
+Odd rows, by stage: a null text or one without a letter goes in the first. Null ids are documents like others: exact dedup
+keeps one row of a text, with a null id only if no other has it; near-dedup links them with nothing; mixing places them
+by an empty id. Rows that repeat an id are documents of their own, except that near-dedup takes them as one node and keeps
+all or none of them. Rows equal in id and text are one after exact dedup. No rows in, no rows out. Other columns pass
+through whatever their names are.
 """
 
 from __future__ import annotations
@@ -12,6 +18,9 @@ from pyspark.sql import functions as F
 from graphloom.llm import exact_dedup, language_id, mixing, neardup, packing
 from graphloom.llm.common import read, stash
 
+#: A name beside those of any documents.
+COPIES = "graphloom copies"
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents whose language can't be told (no letters, no text) go."""
@@ -30,8 +39,8 @@ def one_of_near_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: as many tokens as there are, dealt to sources by weight; a document is there once for each of its epochs."""
-    mixed = mixing.mix(docs)
-    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("graphloom copy")).select(*docs.columns)
+    mixed = mixing.mix(docs, copies_as=COPIES)
+    return mixed.withColumn(COPIES, F.explode(F.sequence(F.lit(1), F.col(COPIES)))).select(*docs.columns)
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
