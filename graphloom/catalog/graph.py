@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from graphloom.catalog.registry import Registry
-from graphloom.operators import graph, lookup, search
+from graphloom.operators import graph, search
 from graphloom.plans import context
 from graphloom.sources import tables
 from graphloom.sources.tables import sql
@@ -96,7 +96,10 @@ def g08_inspect_file_edges(spark, sf_dir):
     return _inspected(spark, sf_dir)[1].select("id", "source_id", "target_id", "relationship", "truncated")
 
 
-_CHANGED = "changed AS (SELECT id FROM nodes WHERE file_path IN (SELECT file_path FROM files WHERE starts_with(file_path, 'Brand2/'))), found AS (SELECT source_id AS id, string_agg(DISTINCT relationship, ',' ORDER BY relationship) AS relationships, count(*) AS links FROM edges WHERE relationship IN ('calls', 'imports', 'inherits', 'implements', 'references') AND target_id IN (SELECT id FROM changed) AND source_id NOT IN (SELECT id FROM changed) GROUP BY source_id)"
+_CHANGED = """changed AS (SELECT n.id FROM nodes n JOIN (SELECT DISTINCT file_path FROM files WHERE starts_with(file_path, 'Brand2/')) p ON p.file_path = n.file_path),
+found AS (SELECT e.source_id AS id, string_agg(DISTINCT e.relationship, ',' ORDER BY e.relationship) AS relationships, count(*) AS links
+  FROM edges e JOIN (SELECT DISTINCT id FROM changed) t ON t.id = e.target_id LEFT JOIN (SELECT DISTINCT id AS own FROM changed) s ON s.own = e.source_id
+  WHERE e.relationship IN ('calls', 'imports', 'inherits', 'implements', 'references') AND s.own IS NULL GROUP BY e.source_id)"""
 
 
 @query(sql("SELECT f.id, n.type, n.name, f.relationships, f.links, coalesce(contains(n.file_path, 'tests/') OR contains(n.file_path, 'test/') OR contains(n.file_path, 'test_'), false) AS is_test, (SELECT count(*) FROM found) AS total_dependents FROM (SELECT * FROM found ORDER BY id LIMIT 1000) f JOIN nodes n ON n.id = f.id", _CHANGED))
@@ -139,5 +142,3 @@ def g14_delete_edge(spark, sf_dir):
     e = tables.edges(spark, sf_dir)
     return e.filter(edge_id(F.col("source_id"), F.col("target_id"), F.col("relationship")) != gone).groupBy("relationship").agg(F.count(F.lit(1)).alias("n"))
 
-
-del lookup

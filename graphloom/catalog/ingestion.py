@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from graphloom.catalog.registry import Registry
 from graphloom.functions import parsing
-from graphloom.operators import aggregates, discovery, graph, ingestion
+from graphloom.operators import aggregates, discovery, ingestion
 from graphloom.sources import snapshots, tables
 from graphloom.sources.tables import sql
 
@@ -124,9 +124,16 @@ def w07_file_batches(spark, sf_dir):
     return ingestion.file_batches(part.select(F.col("p_size").alias("repo"), path.alias("rel_path"), (F.col("p_partkey") % 97).alias("entities")))
 
 
-@query()
+_REQUESTS = """inputs AS (SELECT coalesce(source, '') AS queue, doc_id AS position, length(coalesce(text, ''))::BIGINT AS characters FROM documents),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY position) AS k FROM inputs WHERE characters <= 120000),
+walk AS (SELECT queue, position, characters, k, 0 AS batch, 1 AS items, characters AS total FROM ordered WHERE k = 1
+  UNION ALL SELECT queue, position, characters, k, batch + full_, CASE WHEN full_ = 1 THEN 1 ELSE items + 1 END, CASE WHEN full_ = 1 THEN characters ELSE total + characters END
+  FROM (SELECT n.*, w.batch, w.items, w.total, CASE WHEN w.items >= 128 OR w.total + n.characters > 120000 THEN 1 ELSE 0 END AS full_ FROM walk w JOIN ordered n ON n.queue = w.queue AND n.k = w.k + 1))"""
+
+
+@query(sql("SELECT queue, position, characters, batch, NULL::VARCHAR AS error FROM walk UNION ALL SELECT queue, position, characters, NULL, 'an input is too long for a request' FROM inputs WHERE characters > 120000", _REQUESTS))
 def w08_request_batches(spark, sf_dir):
-    d = tables.read(spark, sf_dir, "documents").select(F.col("source").alias("queue"), F.col("doc_id").alias("position"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("characters"))
+    d = tables.read(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("queue"), F.col("doc_id").alias("position"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("characters"))
     return ingestion.request_batches(d)
 
 
@@ -190,13 +197,14 @@ def p16_whole_text_fallback(spark, sf_dir):
     return ingestion.text_entities(files)
 
 
-@query(sql("SELECT type, count(*) AS n, count(DISTINCT id) AS ids FROM nodes WHERE type = 'function' GROUP BY type"))
+@query(sql("""
+SELECT type, name, file_path, substr(name, 1, 2048) AS content, substr(sha256(CASE WHEN k = 0 THEN '' ELSE 'occurrence:' || k || ':' END || 'repo:' || file_path || ':' || type || ':' || qualified_name), 1, 32) AS id
+FROM (SELECT *, row_number() OVER (PARTITION BY file_path, type, qualified_name ORDER BY id) - 1 AS k FROM nodes WHERE file_path IS NOT NULL)"""))
 def p17_planned_nodes(spark, sf_dir):
-    f = tables.functions(spark, sf_dir)
+    f = tables.nodes(spark, sf_dir).filter("file_path is not null")
     empty = F.lit(None).cast("string")
     rows = f.select(F.col("file_path").alias("file"), F.col("type").alias("kind"), "name", "qualified_name", "start_line", "end_line", F.lit("python").alias("language"), empty.alias("signature"), empty.alias("docstring"), F.col("name").alias("raw_text"), F.array().cast("array<string>").alias("bases"), F.array().cast("array<string>").alias("imports"), F.lit(1).alias("complexity"), F.col("id").alias("pos"))
-    return ingestion.planned_nodes(rows, "repo").groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
-
+    return ingestion.planned_nodes(rows, "repo").select("id", "type", "name", "file_path", "content")
 
 
 @query(sql("SELECT path AS rel_path, 'python' AS language, size AS byte_size FROM corpus WHERE path = (SELECT min(path) FROM corpus WHERE ends_with(path, '.py') AND starts_with(path, 'src/') AND size < 8192)", _FILES))
@@ -258,5 +266,3 @@ def i05_parse_failures(spark, sf_dir):
 def p13_call_edges(spark, sf_dir):
     return parsing.parse_edges(parsing.samples(tables.read(spark, sf_dir, "part"))).groupBy("language", "relationship").agg(F.count(F.lit(1)).alias("n"))
 
-
-del graph

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from graphloom.catalog.registry import Registry
 from graphloom.functions import ids
-from graphloom.operators import aggregates, lookup, search
+from graphloom.operators import aggregates, lookup
 from graphloom.sources import tables
 from graphloom.sources.tables import sql
 
@@ -126,9 +126,9 @@ def v06_vectors_absent(spark, sf_dir):
 
 @query(sql("""
 SELECT source_id, target_id, relationship, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id
-FROM (SELECT *, sha1(from_hex('a1b2c3d4e5f67890abcdef1234567890') || encode(source_id || ':' || target_id || ':' || relationship)) AS h FROM edges WHERE relationship = 'inherits')"""))
+FROM (SELECT *, sha1(from_hex('a1b2c3d4e5f67890abcdef1234567890') || encode(source_id || ':' || target_id || ':' || relationship)) AS h FROM edges)"""))
 def id01_edge_ids(spark, sf_dir):
-    e = tables.edges(spark, sf_dir, ("inherits",))
+    e = tables.edges(spark, sf_dir)
     return e.select("source_id", "target_id", "relationship", ids.edge_id(F.col("source_id"), F.col("target_id"), F.col("relationship")).alias("id"))
 
 
@@ -148,9 +148,16 @@ def id02_record_ids(spark, sf_dir):
     return c.select("c_custkey", ids.contributor_id(F.col("c_name")).alias("contributor"), ids.file_id(F.lit("repo"), F.col("c_name")).alias("file"), ids.store_id(F.col("c_name")).alias("store"))
 
 
-@query()
+def _hmac_sql(key: bytes, value: str) -> str:
+    inner, outer = (bytes(b ^ pad for b in key.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    return f"substr(sha256(from_hex('{outer}') || from_hex(sha256(from_hex('{inner}') || encode({value})))), 1, 16)"
+
+
+@query(f"SELECT c_custkey, CASE WHEN coalesce(n, '') = '' THEN '' ELSE {_hmac_sql(b'key', 'n')} END AS h FROM (SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN c_name END AS n FROM customer)")
 def id03_keyed_hash(spark, sf_dir):
-    return tables.read(spark, sf_dir, "region").select("r_name", ids.keyed_hash(b"key", F.col("r_name")).alias("h"))
+    """A ninth of the names are absent."""
+    name = F.when(F.col("c_custkey") % 9 != 0, F.col("c_name"))
+    return tables.read(spark, sf_dir, "customer").select("c_custkey", ids.keyed_hash(b"key", name).alias("h"))
 
 
 @query(sql("SELECT id, type, name, coalesce(qualified_name, name) AS label, file_path FROM nodes WHERE type IN ('file', 'class')"))
@@ -158,5 +165,3 @@ def p20_evidence(spark, sf_dir):
     nodes = tables.files(spark, sf_dir).unionByName(tables.classes(spark, sf_dir))
     return nodes.select("id", "type", "name", F.coalesce("qualified_name", "name").alias("label"), "file_path")
 
-
-del search

@@ -208,7 +208,7 @@ def w05_topic_sequence(spark, sf_dir):
     return changes.sequenced(e).select("topic", "id", "sequence")
 
 
-@query()
+@query("SELECT event_id AS id, 'repo_path=<redacted> query=<redacted> limit=' || (event_id % 50) || ' plain' AS detail FROM events")
 def a16_redaction(spark, sf_dir):
     e = tables.read(spark, sf_dir, "events")
     detail = F.concat(F.lit("repo_path=/Users/u"), F.col("user_id").cast("string"), F.lit(" query=secret limit="), (F.col("event_id") % 50).cast("string"), F.lit("  /etc/x plain"))

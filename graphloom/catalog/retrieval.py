@@ -111,9 +111,17 @@ def h06_rerank(spark, sf_dir):
     return search.reranked(fused, fused.select("id", score.cast("int").alias("rerank_score")), 10).select("id", "rerank_score")
 
 
-@query()
+_ANSWERS = """answers AS (SELECT user_id AS case_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT AS position, (event_id % 23)::INT - 1 AS index, CASE WHEN event_id % 29 = 0 THEN NULL ELSE value END AS score FROM events),
+flagged AS (SELECT *, lag(score) OVER (PARTITION BY case_id ORDER BY position) AS before, count(*) OVER (PARTITION BY case_id, index) AS times FROM answers)"""
+
+
+@query(f"""WITH {_ANSWERS} SELECT * FROM (SELECT case_id, position, CASE WHEN index < 0 OR index >= 21 THEN 'index out of range' WHEN times > 1 THEN 'index repeats' WHEN score IS NULL OR NOT isfinite(score) THEN 'score not finite' WHEN score > before THEN 'scores increase' END AS problem FROM flagged) WHERE problem IS NOT NULL
+UNION ALL SELECT case_id, NULL, 'wrong number of results' FROM answers GROUP BY case_id HAVING count(*) <> 10""")
 def h07_rerank_contract(spark, sf_dir):
-    return search.rerank_errors(spark.createDataFrame([(0, 2, 0.9), (1, 1, 0.95), (2, 1, 0.5), (3, 9, 0.1)], "position int, index int, score double"), 5)
+    """Each user's events as an answer about 21 documents of which 10 were asked for."""
+    e, i = tables.read(spark, sf_dir, "events"), F.col("event_id")
+    position = search.ranked(e, i, by=("user_id",)).select(F.col("user_id").alias("case_id"), (F.col("rank") - 1).alias("position"), ((i % 23).cast("int") - 1).alias("index"), F.when(i % 29 != 0, F.col("value")).alias("score"))
+    return search.rerank_errors(position, 21, 10)
 
 
 @query(sql("""
@@ -150,7 +158,7 @@ def p15_embed_text(spark, sf_dir):
     return d.select("doc_id", text.embed_text(F.lit("file"), none, F.col("doc_id").cast("string"), none, F.col("text"), none).alias("embed"))
 
 
-@query()
+@query("SELECT doc_id, substr(t, 1, list_max(list_filter(range(0, 512), lambda k: strlen(substr(t, 1, k)) <= 511))) AS head FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def p14_truncate_bytes(spark, sf_dir):
     d = tables.read(spark, sf_dir, "documents")
     return d.select("doc_id", text.cut_bytes(F.coalesce("text", F.lit("")), 511).alias("head"))

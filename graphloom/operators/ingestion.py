@@ -81,7 +81,7 @@ def retained(edges: DataFrame, replaced: DataFrame, recreated: DataFrame) -> Dat
 
 def replaced_files(nodes: DataFrame, new: DataFrame, files: DataFrame) -> DataFrame:
     """nodes with those of the files (file_path) replaced by the new ones."""
-    return nodes.join(files.select("file_path").distinct(), "file_path", "left_anti").unionByName(new)
+    return nodes.join(files.select("file_path").distinct(), "file_path", "left_anti").select(*nodes.columns).unionByName(new)
 
 
 def greedy(sizes: DataFrame, by: str, order: str, size: str, max_items: int, max_size: int) -> DataFrame:

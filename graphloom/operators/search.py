@@ -107,18 +107,21 @@ def reranked(fused_rows: DataFrame, scores: DataFrame, limit: int) -> DataFrame:
     return fused_rows.join(scores, "id").orderBy(F.desc("rerank_score"), "id").limit(limit)
 
 
-def rerank_errors(answer: DataFrame, documents: int) -> DataFrame:
-    """What is wrong with an answer (position, index, score): nothing, if empty."""
-    before = F.lag("score").over(Window.orderBy("position"))
-    twice = F.count(F.lit(1)).over(Window.partitionBy("index"))
-    rows = answer.withColumn("before", before).withColumn("times", twice)
+def rerank_errors(answers: DataFrame, documents: int, asked: int) -> DataFrame:
+    """What is wrong with each answer (case_id, position, index, score) about so many documents of which so many were
+    asked for: nothing, if empty. A wrong number of results has no position."""
+    before = F.lag("score").over(Window.partitionBy("case_id").orderBy("position"))
+    twice = F.count(F.lit(1)).over(Window.partitionBy("case_id", "index"))
+    rows = answers.withColumn("before", before).withColumn("times", twice)
     problem = (
         F.when((F.col("index") < 0) | (F.col("index") >= documents), "index out of range")
         .when(F.col("times") > 1, "index repeats")
         .when(F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf")), "score not finite")
         .when(F.col("score") > F.col("before"), "scores increase")
     )
-    return rows.select("position", problem.alias("problem")).filter("problem is not null")
+    wrong = rows.select("case_id", "position", problem.alias("problem")).filter("problem is not null")
+    counts = answers.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") != min(asked, documents))
+    return wrong.unionByName(counts.select("case_id", F.lit(None).cast("int").alias("position"), F.lit("wrong number of results").alias("problem")))
 
 
 def neighbors_of_results(results: DataFrame, edges: DataFrame, cap: int = 20) -> DataFrame:
