@@ -251,12 +251,12 @@ def i06_delete_batches(spark, sf_dir):
 
 @query()
 def i05_parse_failures(spark, sf_dir):
-    """About every seventh generated file of each language is broken; failures are rows.
+    """About every seventh generated file of each language has a NUL in it; failures are rows.
 
     Python's parser fails on those; the declaration scanners of the other languages read past what is broken.
     """
     files = parsing.samples(tables.read(spark, sf_dir, "part"))
-    broken = files.withColumn("content", F.when(F.crc32(F.col("path").cast("binary")) % 7 == 0, F.concat(F.col("content"), F.lit("def ("))).otherwise(F.col("content")))
+    broken = files.withColumn("content", F.when(F.crc32(F.col("path").cast("binary")) % 7 == 0, F.concat(F.col("content"), F.lit("\0"))).otherwise(F.col("content")))
     names = F.create_map(*[F.lit(x) for pair in parsing.LANGUAGES.items() for x in pair])
     language = F.coalesce("language", names[F.substring_index("file", ".", -1)])  # a failure has none
     return parsing.parse_files(broken).groupBy(language.alias("language"), F.col("error").isNull().alias("ok")).agg(F.countDistinct("file").alias("files"))

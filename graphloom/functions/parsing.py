@@ -29,7 +29,9 @@ class Entity(NamedTuple):
     docstring: str = ""
     raw_text: str = ""
     bases: tuple[str, ...] = ()
-    complexity: int = 1
+    complexity: int | None = None
+    imports: tuple[str, ...] = ()
+    parent: str | None = None
 
 
 class Edge(NamedTuple):
@@ -46,16 +48,52 @@ def module_name(path: str) -> str:
 
 # ---- Python -------------------------------------------------------------------------------------------------------
 
-_DECISIONS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.match_case, ast.Assert, ast.With, ast.AsyncWith)
+_DECISIONS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp, ast.Assert, ast.With, ast.AsyncWith)
+
+# Calls to these never name a project's entity; limits of a raw text's bytes.
+BLOCKED = {
+    "python": """print len range str int float bool list dict set tuple type isinstance issubclass super getattr setattr hasattr delattr
+        enumerate zip map filter sorted reversed any all min max sum abs round open format repr id hash iter next input vars dir callable
+        classmethod staticmethod property object bytes bytearray memoryview frozenset complex hex oct bin ord chr ascii exec eval compile
+        globals locals breakpoint exit quit help __import__ ValueError TypeError KeyError IndexError AttributeError RuntimeError Exception
+        NotImplementedError StopIteration OSError IOError""",
+    "typescript": """console Math JSON Object Array String Number Boolean Promise setTimeout setInterval clearTimeout clearInterval parseInt
+        parseFloat require fetch alert confirm prompt Error TypeError RangeError SyntaxError ReferenceError Map Set WeakMap WeakSet Symbol
+        Proxy Reflect RegExp Date Intl URL URLSearchParams TextEncoder TextDecoder atob btoa structuredClone queueMicrotask
+        requestAnimationFrame cancelAnimationFrame addEventListener removeEventListener log warn error info debug trace assert""",
+    "rust": """println eprintln print eprint format write writeln vec todo unimplemented unreachable assert assert_eq assert_ne panic dbg cfg
+        include include_str include_bytes env concat stringify file line column module_path compile_error option_env matches Ok Err Some
+        None Box Arc Rc Vec String HashMap HashSet BTreeMap BTreeSet""",
+    "go": "append cap clear close complex copy delete imag len make max min new panic print println real recover",
+    "swift": """print debugPrint dump fatalError precondition preconditionFailure assert assertionFailure abs min max stride zip type
+        unsafeBitCast withUnsafePointer withUnsafeMutablePointer MemoryLayout Mirror Optional Result DispatchQueue NSLog""",
+    "elixir": """if unless cond case with try rescue catch after for receive raise throw exit def defp defmodule defmacro defmacrop defguard
+        defguardp defprotocol defimpl defstruct defexception defdelegate defoverridable use import alias require quote unquote
+        unquote_splicing fn do end when and or not in is_atom is_binary is_bitstring is_boolean is_float is_function is_integer is_list
+        is_map is_nil is_number is_pid is_port is_reference is_tuple put_in get_in update_in pop_in inspect to_string to_charlist to_atom
+        spawn spawn_link spawn_monitor send self apply""",
+}
+BLOCKED = {k: frozenset(v.split()) for k, v in BLOCKED.items()}
+BLOCKED["tsx"] = BLOCKED["jsx"] = BLOCKED["javascript"] = BLOCKED["typescript"]
+RAW_BYTES, SMALL_BYTES = 2048, 512
+
+
+def cut(text: str, limit: int) -> str:
+    """The longest prefix of whole characters with no more than `limit` UTF-8 bytes."""
+    return text.encode("utf-8", "replace")[:limit].decode("utf-8", "ignore")
 
 
 def complexity(node: ast.AST) -> int:
-    """One more than the places where control branches; each further operand of and/or counts."""
-    n = 1
-    for x in ast.walk(node):
+    """One more than the places where control branches: a comprehension counts once, each further operand of and/or too."""
+    n, todo = 1, [node]
+    while todo:
+        x = todo.pop()
         n += isinstance(x, _DECISIONS)
         if isinstance(x, ast.BoolOp):
             n += len(x.values) - 1
+        # Decorators stand before a definition, not in it.
+        own = getattr(x, "decorator_list", ()) if x is node else ()
+        todo += [c for c in ast.iter_child_nodes(x) if not any(c is d for d in own)]
     return n
 
 
@@ -64,57 +102,129 @@ def _callee(call: ast.Call) -> str | None:
     return f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
 
 
-# Calls to these never name a project's entity.
-BUILTINS = frozenset(n for n in dir(__builtins__ if not isinstance(__builtins__, dict) else __import__("builtins")) if n[0].islower())
+def _recovered(source: str) -> ast.Module:
+    """The syntax tree; a top-level statement that isn't Python is read as blank lines, and the rest goes on."""
+    lines = source.split("\n")
+    for _ in range(len(lines) + 1):
+        try:
+            return ast.parse("\n".join(lines))
+        except SyntaxError as e:
+            at = min(max((e.lineno or 1) - 1, 0), len(lines) - 1)
+            while at > 0 and (not lines[at].strip() or lines[at][0] in " \t)]}#"):
+                at -= 1
+            end = at + 1
+            while end < len(lines) and (not lines[end].strip() or lines[end][0] in " \t)]}"):
+                end += 1
+            if not any(x.strip() for x in lines[at:end]):
+                raise
+            lines[at:end] = [""] * (end - at)
+    raise ValueError("not Python")
 
 
-def python(source: str, path: str) -> tuple[list[Entity], list[Edge]]:
-    tree = ast.parse(source)
-    lines, module = source.split("\n"), module_name(path)
-    text = lambda node: "\n".join(lines[node.lineno - 1 : node.end_lineno])
-    entities = [Entity("file", path.rsplit("/", 1)[-1], module, 0, max(0, len(lines) - 1), docstring=ast.get_docstring(tree) or "", raw_text=source)]
-    edges: list[Edge] = []
+_STRINGS = r"(?P<q>\"{3}|'{3}).*?(?P=q)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|#[^\n]*"
 
-    def visit(body: list[ast.stmt], scope: str, inside: bool) -> None:
+
+class _Python:
+    """One file's entities and edges."""
+
+    def __init__(self, source: str, path: str):
+        tree = _recovered(source)
+        self.lines = [line.encode("utf-8", "surrogatepass") for line in source.split("\n")]
+        self.module = path.replace("/", ".").removesuffix(".py") if path.endswith(".py") else path
+        self.entities = [Entity("file", path, self.module, 0, len(source.splitlines()), raw_text=f"file: {path}")]
+        self.edges: list[Edge] = []
+        self.walk(tree.body, self.module, False)
+
+    def between(self, a: tuple[int, int], b: tuple[int, int]) -> str:
+        """The source from (line, byte) to (line, byte)."""
+        rows = self.lines[a[0] - 1 : b[0]]
+        rows[-1] = rows[-1][: b[1]]
+        rows[0] = rows[0][a[1] :]
+        return b"\n".join(rows).decode("utf-8", "replace")
+
+    def text(self, node: ast.AST) -> str:
+        return self.between((node.lineno, node.col_offset), (node.end_lineno, node.end_col_offset))
+
+    def docstring(self, body: list[ast.stmt]) -> str:
+        """The first statement's string, passes aside, without its quotes."""
+        for x in body:
+            if isinstance(x, ast.Pass):
+                continue
+            if isinstance(x, ast.Expr) and isinstance(x.value, ast.Constant) and isinstance(x.value.value, str):
+                text = self.text(x.value)
+                for quote in ('"""', "'''"):
+                    if text.startswith(quote) and text.endswith(quote) and len(text) >= 6:
+                        return text[3:-3].strip()
+                return text.strip("\"'").strip()
+            break
+        return ""
+
+    def parameters(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
+        """The parameter list as it is written."""
+        body = node.body[0]
+        text = self.between((node.lineno, node.col_offset), (body.lineno, body.col_offset))
+        written, text = text, re.sub(_STRINGS, lambda m: "_" * len(m[0]), text, flags=re.S)
+        at, depth = text.index(node.name, text.index("def") + 3) + len(node.name), 0
+        for k in range(at, len(text)):
+            if text[k] in "([{":
+                if not depth and text[k] == "(":
+                    at = k
+                depth += 1
+            elif text[k] in ")]}":
+                depth -= 1
+                if not depth and text[k] == ")":
+                    return written[at : k + 1]
+        return "()"
+
+    def add(self, kind: str, name: str, qualified_name: str, node: ast.AST, parent: str, **more) -> None:
+        self.entities.append(Entity(kind, name, qualified_name, node.lineno - 1, node.end_lineno - 1, parent=parent, **more))
+
+    def imported(self, node: ast.AST, name: str, target: str) -> None:
+        qualified = f"{self.module}.import.{target}"
+        self.add("import", name, qualified, node, self.module, imports=(target,))
+        self.edges += [Edge(self.module, qualified, "contains"), Edge(self.module, target, "imports")]
+
+    def walk(self, body: list[ast.stmt], scope: str, inside: bool) -> None:
         for node in body:
             if isinstance(node, ast.ClassDef):
                 name = f"{scope}.{node.name}"
-                bases = tuple(ast.unparse(b) for b in node.bases)
-                entities.append(Entity("class", node.name, name, node.lineno - 1, node.end_lineno - 1, f"class {node.name}" + (f"({', '.join(bases)})" if bases else ""), ast.get_docstring(node) or "", text(node), bases))
-                edges.append(Edge(scope, name, "contains"))
-                edges.extend(Edge(name, b, "inherits") for b in bases)
-                visit(node.body, name, True)
+                bases = tuple(self.text(b) for b in node.bases if isinstance(b, ast.Name | ast.Attribute))
+                self.add("class", node.name, name, node, scope, docstring=self.docstring(node.body), raw_text=cut(self.text(node), RAW_BYTES), bases=bases)
+                self.edges += [Edge(scope, name, "contains"), *(Edge(name, b, "inherits") for b in bases)]
+                self.walk(node.body, name, True)
             elif isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
                 name = f"{scope}.{node.name}"
-                arrow = f" -> {ast.unparse(node.returns)}" if node.returns else ""
-                signature = f"{'async ' * isinstance(node, ast.AsyncFunctionDef)}def {node.name}({ast.unparse(node.args)}){arrow}"
-                entities.append(Entity("method" if inside else "function", node.name, name, node.lineno - 1, node.end_lineno - 1, signature, ast.get_docstring(node) or "", text(node), complexity=complexity(node)))
-                edges.append(Edge(scope, name, "contains"))
-                called = dict.fromkeys(c for x in ast.walk(node) if isinstance(x, ast.Call) and (c := _callee(x)) and c not in BUILTINS)
-                edges.extend(Edge(name, c, "calls") for c in called)
-            elif isinstance(node, ast.Import | ast.ImportFrom):
-                # Renamed names have no node of their own; nor has what a package's own dot brings in.
-                names = [a.name for a in node.names if not a.asname]
-                if isinstance(node, ast.ImportFrom):
-                    if not node.module:
-                        entities.extend(Entity("import", n, f"{scope}.import.{n}", node.lineno - 1, node.end_lineno - 1, raw_text=text(node)) for n in names[:1])
-                        continue
-                    targets = [(n, f"{node.module}.{n}") for n in names]
-                else:
-                    targets = [(n, n) for n in names]
-                for n, target in targets:
-                    entities.append(Entity("import", n, f"{scope}.import.{target}", node.lineno - 1, node.end_lineno - 1, raw_text=text(node)))
-                    edges.append(Edge(module, target, "imports"))
+                signature = self.parameters(node) + (f" -> {self.text(node.returns)}" if node.returns else "")
+                self.add("method" if inside else "function", node.name, name, node, scope, signature=signature, docstring=self.docstring(node.body), raw_text=cut(self.text(node), RAW_BYTES), complexity=complexity(node))
+                calls = (_callee(x) for part in node.body for x in ast.walk(part) if isinstance(x, ast.Call))
+                self.edges += [Edge(scope, name, "contains"), *(Edge(name, c, "calls") for c in dict.fromkeys(calls) if c and c not in BLOCKED["python"])]
+            elif isinstance(node, ast.Import):
+                for a in node.names:
+                    if not a.asname:
+                        self.imported(node, a.name, a.name)
+            elif isinstance(node, ast.ImportFrom) and node.module != "__future__":
+                # Renamed names have no node. After leading dots the first name stands for the module.
+                names = [a.name for a in node.names if not a.asname and a.name != "*"]
+                module = node.module
+                if node.level:
+                    module, names = (names or [""])[0], names[1:]
+                for n in names:
+                    self.imported(node, n, f"{module}.{n}")
             elif not inside and isinstance(node, ast.Assign | ast.AnnAssign):
-                for t in node.targets if isinstance(node, ast.Assign) else [node.target]:
-                    if isinstance(t, ast.Name) and len(t.id) >= 2:
-                        entities.append(Entity("constant" if t.id.isupper() else "variable", t.id, f"{scope}.{t.id}", node.lineno - 1, node.end_lineno - 1, text(node), raw_text=text(node)))
-                        edges.append(Edge(scope, f"{scope}.{t.id}", "contains"))
+                # The first plain name of two bytes or more on either side of one equals sign.
+                sides = [node.targets[0], *([node.value] if len(node.targets) == 1 else [])] if isinstance(node, ast.Assign) else [node.target, node.value]
+                for n in [x.id for x in sides if isinstance(x, ast.Name) and len(x.id.encode()) >= 2][:1]:
+                    raw = cut(self.text(node), SMALL_BYTES)
+                    constant = re.fullmatch("[A-Z][A-Z0-9_]*", n)
+                    self.add("constant" if constant else "variable", n, f"{self.module}.{n}", node, self.module, signature=raw, raw_text=raw)
+                    self.edges.append(Edge(scope, f"{self.module}.{n}", "contains"))
             elif isinstance(node, ast.TypeAlias):
-                entities.append(Entity("type_alias", node.name.id, f"{scope}.{node.name.id}", node.lineno - 1, node.end_lineno - 1, raw_text=text(node)))
+                self.add("type_alias", node.name.id, f"{self.module}.{node.name.id}", node, self.module, raw_text=cut(self.text(node), SMALL_BYTES))
 
-    visit(tree.body, module, False)
-    return entities, edges
+
+def python(source: str, path: str) -> tuple[list[Entity], list[Edge]]:
+    found = _Python(source, path)
+    return found.entities, found.edges
 
 
 # ---- Other languages ----------------------------------------------------------------------------------------------
@@ -148,6 +258,7 @@ SCANNED: dict[str, Language] = {
     "typescript": TS,
     "tsx": TS,
     "javascript": TS,
+    "jsx": TS,
     "rust": Language(
         r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])'",
         (
@@ -232,6 +343,28 @@ def _uses(path: str) -> list[str]:
     return out
 
 
+#: What may stand before an opening parenthesis without being called.
+KEYWORDS = frozenset("if for while switch catch return function func fn def defp match guard sizeof typeof await async new else in is as where unless cond case with do super init constructor self".split())
+CALL = re.compile(r"(?P<dot>(?:\.|::|\?\.)\s*)?(?P<name>[A-Za-z_$][\w$]*[?!]?)\s*(?:::)?(?:<[\w\s,:<>]*>)?\(")
+
+
+def calls(body: str, language: str) -> list[tuple[str, bool]]:
+    """(name, whether it stands alone) of what a blanked body calls, each once: the last name before a parenthesis.
+
+    A name in front of `!` (a macro) isn't a call, nor is a declaration's own name.
+    """
+    found = {}
+    for m in CALL.finditer(body):
+        name = m["name"]
+        if language == "rust" and name.endswith("!") or language != "elixir" and name[-1] in "?!":
+            continue
+        before = body[: m.start()].rstrip()
+        if name in KEYWORDS and not m["dot"] or name in BLOCKED.get(language, ()) or re.search(r"\b(?:function|func|fn|defp?|defmacrop?)$", before):
+            continue
+        found.setdefault((name, not m["dot"]))
+    return list(found)
+
+
 def scanned(source: str, path: str, language: str) -> tuple[list[Entity], list[Edge]]:
     spec = SCANNED[language]
     clean, module = blanked(source, spec.comments), module_name(path)
@@ -252,7 +385,7 @@ def scanned(source: str, path: str, language: str) -> tuple[list[Entity], list[E
         for m in re.finditer(rf"^[ \t]*(?:@\w+(?:\([^)]*\))?\s+)*{pattern}", clean, re.M):
             found.append((m.start() + len(m[0]) - len(m[0].lstrip()), kind, m))
     found.sort(key=lambda x: x[0])
-    taken, scopes, ends = set(), [], []  # scopes: (name, kind, depth)
+    taken, scopes = set(), []  # scopes: (name, kind, depth)
     marks = sorted([(m.start(), 1 if m["open_"] else -1) for m in token.finditer(clean)])
     k = depth = 0
     for at, kind, m in found:
@@ -297,7 +430,13 @@ def scanned(source: str, path: str, language: str) -> tuple[list[Entity], list[E
                 edges.extend(Edge(name if language == "elixir" else own, b, "implements") for b in bases)
             if kind != "impl" or language == "elixir":
                 body = blanked(raw, spec.comments)
-                entities.append(Entity(real, one, own, line, last, raw.split("\n")[0].rstrip(" {"), "", raw, () if kind == "impl" else bases, 1 + len(re.findall(spec.branches, body)) if real in ("function", "method") else 1))
+                works = real in ("function", "method")
+                entities.append(Entity(real, one, own, line, last, raw.split("\n")[0].rstrip(" {"), "", cut(raw, RAW_BYTES), () if kind == "impl" else bases, 1 + len(re.findall(spec.branches, body)) if works else None, (one,) if kind == "import" else (), scope))
+                if works and language in BLOCKED:
+                    # What a method's head calls itself is its declaration.
+                    head = body.find("do" if language == "elixir" else "{")
+                    for name_, alone in calls(body[head:] if head >= 0 else "", language):
+                        edges.append(Edge(own, f"{module}.{name_}" if language == "go" and alone else name_, "calls"))
                 if kind == "import":
                     edges.append(Edge(module, one, "imports"))
                 elif kind != "type_alias":
@@ -306,20 +445,42 @@ def scanned(source: str, path: str, language: str) -> tuple[list[Entity], list[E
                     edges.extend(Edge(own, b, "inherits") for b in bases)
         if opened:
             scopes.append((own, kind, depth))
-    if language in ("typescript", "tsx", "javascript"):
+    if language in ("typescript", "tsx", "javascript", "jsx"):
         for m in re.finditer(r"""^\s*import\s+(?:[^'"]*?\sfrom\s+)?['"]([^'"]+)['"]""", source, re.M):
             line = source.count("\n", 0, m.end())
-            entities.append(Entity("import", m[1], f"{module}.import.{m[1]}", line, line, raw_text=m[0].strip()))
+            entities.append(Entity("import", m[1], f"{module}.import.{m[1]}", line, line, imports=(m[1],), parent=module))
             edges.append(Edge(module, m[1], "imports"))
     if language == "go":
+        _go_members(clean, source, module, entities, edges)
         for m in re.finditer(r"""^import\s+(?:\w+\s+)?"([^"]+)"|^import\s*\(([^)]*)\)""", source, re.M):
             for one in [m[1]] if m[1] else re.findall(r'"([^"]+)"', m[2]):
-                entities.append(Entity("import", one, f"{module}.import.{one}", source.count("\n", 0, m.start()), source.count("\n", 0, m.end())))
+                entities.append(Entity("import", one, f"{module}.import.{one}", source.count("\n", 0, m.start()), source.count("\n", 0, m.end()), imports=(one,), parent=module))
                 edges.append(Edge(module, one, "imports"))
-    del ends
     return entities, edges
 
 
+def _go_members(clean: str, source: str, module: str, entities: list[Entity], edges: list[Edge]) -> None:
+    """Fields and embedded types of structs, methods and embedded types of interfaces."""
+    for m in re.finditer(r"^type\s+(\w+)(?:\[[^\]]*\])?\s+(struct|interface)\s*\{", clean, re.M):
+        own, level, end = f"{module}.{m[1]}", 1, m.end()
+        while end < len(clean) and level:
+            level += (clean[end] == "{") - (clean[end] == "}")
+            end += 1
+        at = m.end()
+        for line in clean[m.end() : end - 1].split("\n"):
+            row, text = source.count("\n", 0, at), line.strip()
+            at += len(line) + 1
+            if base := re.fullmatch(r"\*?(?:\w+\.)?(\w+)(?:\[[^\]]*\])?", text):
+                edges.append(Edge(own, base[1], "inherits"))
+            elif m[2] == "interface" and (method := re.match(r"(\w+)\s*\(", text)):
+                entities.append(Entity("method", method[1], f"{own}.{method[1]}", row, row, text, raw_text=text, parent=own))
+                edges.append(Edge(own, f"{own}.{method[1]}", "contains"))
+            elif m[2] == "struct" and (fields := re.match(r"(\w+(?:\s*,\s*\w+)*)\s+\S", text)):
+                for name in re.split(r"\s*,\s*", fields[1]):
+                    entities.append(Entity("variable", name, f"{own}.{name}", row, row, text, raw_text=text, parent=own))
+                    edges.append(Edge(own, f"{own}.{name}", "contains"))
+
+
 def css(source: str, path: str) -> tuple[list[Entity], list[Edge]]:
     """Selectors of top-level rules and of at-rules' bodies, each once; keyframes, custom properties, imports."""
     clean, module = blanked(source, r"/\*.*?\*/"), module_name(path)
@@ -376,7 +537,7 @@ def parse(source: str, path: str) -> tuple[str, list[Entity], list[Edge]] | None
     return language, *found
 
 
-ENTITY = "file string, pos int, language string, kind string, name string, qualified_name string, start_line int, end_line int, signature string, docstring string, raw_text string, bases array<string>, complexity int, error string"
+ENTITY = "file string, pos int, language string, kind string, name string, qualified_name string, start_line int, end_line int, signature string, docstring string, raw_text string, bases array<string>, imports array<string>, complexity int, parent string, error string"
 
 
 def parse_files(files: DataFrame) -> DataFrame:
@@ -389,10 +550,10 @@ def parse_files(files: DataFrame) -> DataFrame:
                 try:
                     found = parse(content, path)
                 except (SyntaxError, ValueError, RecursionError) as e:
-                    rows.append((path, 0, None, "error", None, None, 0, 0, None, None, None, None, 0, type(e).__name__))
+                    rows.append((path, 0, None, "error", None, None, 0, 0, None, None, None, None, None, None, None, type(e).__name__))
                     continue
                 if found:
-                    rows += [(path, k, found[0], e.kind, e.name, e.qualified_name, e.start_line, e.end_line, e.signature, e.docstring, e.raw_text, list(e.bases), e.complexity, None) for k, e in enumerate(found[1])]
+                    rows += [(path, k, found[0], e.kind, e.name, e.qualified_name, e.start_line, e.end_line, e.signature, e.docstring, e.raw_text, list(e.bases), list(e.imports), e.complexity, e.parent, None) for k, e in enumerate(found[1])]
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in ENTITY.split(", ")])
 
     return files.select("path", "content").mapInPandas(run, ENTITY)
@@ -419,7 +580,7 @@ def parse_edges(files: DataFrame) -> DataFrame:
 
 #: One source of each language for a number and a name, as a format.
 SAMPLES = {
-    "py": 'import os\nfrom a.b import c\n\nLIMIT = 3\n\nclass K{n}(Base):\n    """Doc."""\n\n    def go(self, x):\n        if x and self:\n            return helper(x)\n\ndef {w}(y):\n    return K{n}(y)\n',
+    "py": 'import os\nfrom a.b import c\nfrom . import d, e\n\nLIMIT = 3\n\nclass K{n}(Base):\n    """Doc."""\n\n    def go(self, x):\n        if x and self:\n            return helper(x)\n\ndef {w}(y):\n    return K{n}(y)\n',
     "ts": "import {{ a }} from './m';\nexport interface I{n} {{ x: number }}\nexport class K{n} extends Base {{\n  go(x: number): void {{ if (x) {{ y(); }} }}\n}}\nexport function {w}() {{}}\nconst v{n} = 1;\n",
     "rs": "use std::{{fmt, io::{{self, Read}}}};\npub struct K{n} {{ x: i32 }}\ntrait T{n}: Clone {{}}\nimpl T{n} for K{n} {{\n    fn go(&self) {{ if true {{}} }}\n}}\npub fn {w}() -> i32 {{ 1 }}\nconst LIMIT: i32 = 3;\n",
     "go": 'package main\n\nimport "fmt"\n\ntype K{n} struct {{\n\tx int\n}}\n\nfunc (k K{n}) Go() {{\n\tif true {{\n\t}}\n}}\n\nfunc {w}() {{}}\n',

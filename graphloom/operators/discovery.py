@@ -14,7 +14,7 @@ GENERATED_PARTS = (".generated.", ".min.", ".bundle.", ".map")
 MAX_FILE_BYTES, SNIFF, MAX_FILES, MAX_BYTES, SAMPLE, GENERATED_SHARE = 1_048_576, 8192, 10_000, 536_870_912, 64, 0.8
 # Languages by extension.
 LANGUAGES = {
-    "py": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "tsx", "rs": "rust", "swift": "swift",
+    "py": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "rs": "rust", "swift": "swift",
     "ex": "elixir", "exs": "elixir", "sh": "bash", "bash": "bash", "css": "css", "go": "go",
 }
 
