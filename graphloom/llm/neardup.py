@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import HOT_ROWS, discard, partitions, stash
-from graphloom.llm.symbols import LOWER, U, chunks, signed, windows, word_array, word_codes, words
+from graphloom.llm.symbols import LOWER, SPACE, U, chunks, signed, windows, word_array, word_names, words
 
 K = 64
 FIRST = 16
@@ -43,37 +43,36 @@ LONG = 40
 BLOCK = 1024
 BLOCK_BYTES = 4 << 20
 
-_LOWER = LOWER.tobytes()
 
-
-def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes) for each text."""
+def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, bytes]]:
+    """Each text's sorted distinct shingle hashes, and a digest of its words: of their bytes and lengths."""
     for lo, hi, data, offsets in chunks(texts):
         starts, ends, places = words(data, offsets)
-        codes = word_codes(data, starts, ends, lower=True)[0]
-        every = windows(codes, size)
-        for r in range(lo, hi):
-            a, b = int(places[r - lo]), int(places[r - lo + 1])
+        names = word_names(data, starts, ends, lower=True)
+        every = windows(names, size)
+        plain, length = LOWER[data][~SPACE[data]], (ends - starts).astype(np.uint32)
+        upto = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])[places]
+        for r in range(hi - lo):
+            a, b = int(places[r]), int(places[r + 1])
+            digest = hashlib.blake2b(plain[upto[r] : upto[r + 1]].data, digest_size=16)
+            digest.update(length[a:b].data)
             if b - a >= size:
-                yield r, np.unique(every[a : b - size + 1])
+                yield np.unique(every[a : b - size + 1]), digest.digest()
             else:
-                yield r, windows(codes[a:b], b - a) if b > a else np.zeros(0, U)
+                yield windows(names[a:b], b - a) if b > a else np.zeros(0, U), digest.digest()
 
 
 def sketch(size: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, rows = [], []
-            for _, found in shingle_sets(batch.column(1), size):
+            n, rows, same = [], [], []
+            for found, digest in shingle_sets(batch.column(1), size):
                 n.append(len(found))
                 rows.append(signed(found[:k]))
-            same, long = [], []
-            for text in batch.column(1):
-                raw = (text.as_py() or "").encode()
-                long.append(len(raw))
-                same.append(hashlib.blake2b(b" ".join(raw.translate(_LOWER).split()), digest_size=16).digest())
+                same.append(digest)
+            long = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(long, pa.int64()), pa.array(n, pa.int64()), pa.array(same, pa.binary()), lists], names=["doc_id", "tag", "n_bytes", "n_shingles", "content", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), long, pa.array(n, pa.int64()), pa.array(same, pa.binary()), lists], names=["doc_id", "tag", "n_bytes", "n_shingles", "content", "sketch"])
 
     return run
 

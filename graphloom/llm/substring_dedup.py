@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import discard, stash
 from graphloom.llm.repeats import PIECE, different, found_pieces, looked_up, named, struct_columns, unpacked, with_spans
-from graphloom.llm.symbols import BYTES, FACTORS, Names, Ranges, chunks, covered, signed, word_codes, words
+from graphloom.llm.symbols import BYTES, FACTORS, Names, Ranges, chunks, covered, signed, word_names, words
 
 WINDOW = 20
 #: Words of an anchor.
@@ -37,7 +37,7 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 def reader(data: np.ndarray, offsets: np.ndarray):
     starts, ends, places = words(data, offsets)
-    return Ranges(BYTES[0][data], FACTORS[0])(starts, ends), places, lambda: word_codes(data, starts, ends)[0]
+    return Ranges(BYTES[0][data], FACTORS[0])(starts, ends), places, lambda: word_names(data, starts, ends)
 
 
 def single_windows(window: int):
@@ -48,7 +48,7 @@ def single_windows(window: int):
             lists, p = struct_columns(batch.column(2))
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 starts, ends, places = words(data, offsets)
-                name = Names(word_codes(data, starts, ends)[0])
+                name = Names(word_names(data, starts, ends))
                 own = slice(lists[lo], lists[hi])
                 row = np.repeat(np.arange(lo, hi), np.diff(lists[lo : hi + 1]))
                 n = p["n"][own].astype(np.int64)

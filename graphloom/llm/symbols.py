@@ -2,14 +2,13 @@
 
 Two kinds of hashes. `Ranges` (a polynomial modulo 2^64) is quick and only chooses places: strings of two symbols that
 follow the Thue-Morse sequence collide in it from some hundred symbols on, whatever the multiplier, so no result may rest
-on it. Where equal hashes stand for equal strings, words are named by a keyed BLAKE2b digest, fixed-size runs of them by
-`windows` (a nonlinear step for each doubling), and ranges by `Names` (two polynomials modulo the prime 2^31 - 1: two
-different ranges of n symbols agree in both for at most (n / 2^31)^2 of all pairs of multipliers).
+on it. Where equal hashes stand for equal strings, words and other ranges have `Names` (two polynomials modulo the prime
+2^31 - 1: two different ranges of n symbols agree in both for at most (n / 2^31)^2 of all pairs of multipliers), and runs
+of a fixed size `windows` (a nonlinear step for each doubling).
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,11 +158,6 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
-#: Words whose digests a Python worker remembers, those of one chunk aside.
-MEMO = 100_000
-_digests: dict[bytes, bytes] = {}
-
-
 def word_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The words' bytes; they are all that isn't white space."""
     plain, offsets = data[~SPACE[data]], np.concatenate([[0], np.cumsum(ends - starts)])
@@ -171,20 +165,9 @@ def word_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arr
     return pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64 if wide else np.int32)), pa.py_buffer(plain)])
 
 
-def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit numbers for each word, from a digest that is taken once for each different word."""
-    if not len(starts):
-        return np.zeros(0, U), np.zeros(0, U)
-    found = word_array(LOWER[data] if lower else data, starts, ends).dictionary_encode()
-    if len(_digests) > MEMO:
-        _digests.clear()
-    own = found.dictionary.to_pylist()
-    for w in own:
-        if w not in _digests:
-            _digests[w] = hashlib.blake2b(w, digest_size=16, key=b"graphloom word").digest()
-    codes = np.frombuffer(b"".join([_digests[w] for w in own]), dtype="<u8").reshape(-1, 2)
-    at = found.indices.to_numpy()
-    return codes[at, 0], codes[at, 1]
+def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 62-bit name of each word."""
+    return Names(BYTES[1][LOWER[data] if lower else data])(starts, ends)
 
 
 def word_hashes(data, starts, ends, lower: bool = False) -> np.ndarray:
