@@ -1,8 +1,8 @@
 """Best-fit packing by exact-complement hashing.
 
 Only lengths matter, and there are at most `room` of them, so the packer works on how many pieces there are of each
-length. A sequence under construction has a gap; an index of the sums of one, two and three available lengths tells
-whether some combination fills it exactly, and the combination is consumed as often as the counts allow. Where none
+length. A sequence under construction has a gap; an index of the sums of one, two and three available lengths, looked up
+by the gap, tells which combination fills it exactly, and the combination is consumed as often as the counts allow. Where none
 does, the longest available piece that fits goes in and the smaller gap is looked up again; what can't be completed is
 placed by best fit. The result is a list of runs (how many sequences have the same pieces), again no longer than the
 number of lengths can make it, and independent of the number of documents.
@@ -38,79 +38,96 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 
 
 class Sums:
-    """Which sums of two available lengths exist; kept up to date as lengths run out."""
+    """An index of the sums of one, two and three available lengths.
+
+    It is addressed by the sum itself: `two[s]` is the longest first length of a pair that makes s, `three[s]` that of a
+    triple, 0 if there is none. Counts only go down, so an entry whose lengths have run out moves on to the next shorter
+    first length for good.
+    """
 
     def __init__(self, counts: np.ndarray):
-        self.counts, self.room = counts, len(counts) - 1
-        self.have = np.flatnonzero(counts > 0)
-
-    def gone(self) -> None:
-        self.have = np.flatnonzero(self.counts > 0)
-
-    def pair(self, gap: int) -> tuple[int, int] | None:
-        """The two available lengths that make gap, with the longest first piece."""
-        first = self.have[(self.have >= (gap + 1) // 2) & (self.have < gap)][::-1]
-        if len(first):
-            rest = gap - first
-            good = (self.counts[rest] > (rest == first)) & (self.counts[first] > 0)
-            if good.any():
-                a = int(first[good.argmax()])
-                return a, gap - a
+        self.counts, self.room = np.array(counts, dtype=np.int64), len(counts) - 1
+        self.two, self.three = np.zeros(self.room + 1, dtype=np.int64), np.zeros(self.room + 1, dtype=np.int64)
+        have = np.flatnonzero(self.counts > 0)
+        for a in have.tolist():  # ascending: the longest first length is written last
+            b = have[(have < a) | ((have == a) & (self.counts[a] > 1))]
+            self.two[a + b[a + b <= self.room]] = a
+        sums = np.flatnonzero(self.two)
+        for a in have.tolist():
+            s = sums[(self.two[sums] <= a) & (a + sums <= self.room)]
+            self.three[a + s] = a
+
+    def free(self, used: dict[int, int], *lengths: int) -> bool:
+        """Whether so many copies are there beside those that are in use."""
+        return all(self.counts[x] - used.get(x, 0) >= lengths.count(x) for x in set(lengths))
+
+    def pair(self, s: int, used: dict[int, int]) -> tuple[int, int] | None:
+        a, gone = int(self.two[s]), True
+        while a:
+            if self.free(used, a, s - a):
+                return a, s - a
+            gone &= not self.free({}, a, s - a)
+            first = np.arange((s + 1) // 2, a)
+            both = np.flatnonzero((self.counts[first] > 0) & (self.counts[s - first] > (first == s - first)))
+            a = int(first[both[-1]]) if len(both) else 0
+            if gone:
+                self.two[s] = a
         return None
 
-    def fill(self, gap: int) -> tuple[int, ...] | None:
-        """One, two or three available lengths that make gap exactly."""
-        if self.counts[gap] > 0:
-            return (gap,)
-        if two := self.pair(gap):
-            return two
-        for a in self.have[(self.have < gap) & (self.have >= (gap + 2) // 3)][::-1]:
-            if self.counts[a] < 1:
-                continue
-            self.counts[a] -= 1
-            two = self.pair(gap - int(a))
-            self.counts[a] += 1
-            if two and two[0] <= a:
-                return (int(a), *two)
+    def triple(self, s: int, used: dict[int, int]) -> tuple[int, int, int] | None:
+        a = int(self.three[s])
+        if not a:
+            return None
+        first = np.arange(a, (s + 2) // 3 - 1, -1)
+        rest = self.two[s - first]
+        gone = True
+        for a in first[(self.counts[first] > 0) & (rest > 0)].tolist():
+            if self.free(used, a):
+                found = self.pair(s - a, used | {a: used.get(a, 0) + 1})
+                if found and found[0] <= a:
+                    if gone:
+                        self.three[s] = a
+                    return a, *found
+            # It is gone for good only if it is without what is in use.
+            alone = self.pair(s - a, {a: 1}) if self.counts[a] > 0 else None
+            gone &= not (alone and alone[0] <= a)
+        if gone:
+            self.three[s] = 0
         return None
 
+    def fill(self, gap: int, used: dict[int, int]) -> tuple[int, ...] | None:
+        """One, two or three available lengths that make gap exactly."""
+        return (gap,) if self.free(used, gap) else self.pair(gap, used) or self.triple(gap, used)
+
+    def fits(self, gap: int, used: dict[int, int]) -> int:
+        """The longest available length up to gap, or 0."""
+        for a in np.flatnonzero(self.counts[: gap + 1] > 0)[::-1].tolist():
+            if self.free(used, a):
+                return a
+        return 0
+
 
 def patterns(counts: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
     """(sequences, [(length, copies in each)]) that use up counts, in which counts[l] pieces have length l."""
-    room = len(counts) - 1
-    left = np.array(counts, dtype=np.int64)
-    sums, out = Sums(left), []
-
-    def take(pieces: list[int]) -> None:
-        lengths, copies = np.unique(pieces, return_counts=True)
-        n = int((left[lengths] // copies).min())
-        left[lengths] -= n * copies
-        out.append((n, [(int(a), int(b)) for a, b in zip(lengths[::-1], copies[::-1], strict=True)]))
-        if (left[lengths] == 0).any():
-            sums.gone()
-
-    while len(sums.have):
-        pieces = [int(sums.have[-1])]
-        gap = room - pieces[0]
-        left[pieces[0]] -= 1
+    sums, out = Sums(counts), []
+    while longest := sums.fits(sums.room, {}):
+        used, gap = {longest: 1}, sums.room - longest
         while gap:
-            if more := sums.fill(gap):
-                pieces += more
+            if more := sums.fill(gap, used):
                 for a in more:
-                    left[a] -= 1
-                break
-            fits = sums.have[sums.have <= gap]
-            fits = fits[left[fits] > 0]
-            if not len(fits):
+                    used[a] = used.get(a, 0) + 1
                 break
             # The best fit: the longest piece that goes in, as often as there are copies and room.
-            a = int(fits[-1])
-            n = int(min(left[a], max(1, gap // a - 3)))
-            pieces += [a] * n
-            left[a] -= n
+            a = sums.fits(gap, used)
+            if not a:
+                break
+            n = min(int(sums.counts[a]) - used.get(a, 0), max(1, gap // a - 3))
+            used[a] = used.get(a, 0) + n
             gap -= n * a
-        np.add.at(left, pieces, 1)
-        take(pieces)
+        n = min(int(sums.counts[a]) // k for a, k in used.items())
+        for a, k in used.items():
+            sums.counts[a] -= n * k
+        out.append((n, sorted(used.items(), reverse=True)))
     return out
 
 

@@ -1,4 +1,7 @@
+import hashlib
 import zlib
+from bisect import bisect_left, insort
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -86,3 +89,70 @@ def test_sharding_of_odd_rows(spark):
     found = sharding.shard(docs, 2).collect()
     assert sorted(r["size"] for r in found) == [1, 1, 1, 2, 3]
     assert sharding.shard(docs.filter("false"), 2).count() == 0
+
+
+def test_the_index_of_sums_knows_every_combination():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        counts = np.zeros(41, int)
+        counts[rng.choice(np.arange(1, 41), 9, replace=False)] = rng.integers(1, 4, 9)
+        sums = packing.Sums(counts)
+        while sums.counts.any():
+            pieces = np.repeat(np.arange(41), sums.counts).tolist()
+            made = {sum(c) for n in (1, 2, 3) for c in combinations(pieces, n)}
+            for gap in range(1, 41):
+                found = sums.fill(gap, {})
+                assert (found is not None) == (gap in made)
+                if found:
+                    assert sum(found) == gap and sums.free({}, *found)
+            sums.counts[rng.choice(np.flatnonzero(sums.counts))] -= 1
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_no_more_sequences_than_plain_best_fit(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.clip(rng.lognormal(6, 1.2, 3000).astype(int), 1, 4096)
+    gaps, plain = [], 0
+    for n in sorted(lengths.tolist(), reverse=True):  # best fit, decreasing
+        k = bisect_left(gaps, n)
+        gap = gaps.pop(k) if k < len(gaps) else 4096
+        plain += gap == 4096
+        insort(gaps, gap - n)
+    assert sum(n for n, _ in packing.patterns(np.bincount(lengths, minlength=4097))) <= plain
+
+
+def plain_shards(ids, shards):
+    """The ring walked arc by arc in rounds, each key one at a time."""
+    place = lambda d: int(hashlib.md5(("" if d is None else str(d)).encode()).hexdigest()[:8], 16)
+    ring = sharding.points(shards)
+    room = [len(ids) // shards + (s < len(ids) % shards) for s in range(shards)]
+    left = {}
+    for d in ids:
+        left.setdefault(bisect_left([p for p, _ in ring], place(d)) % len(ring), []).append(d)
+    count = dict.fromkeys(range(shards), 0)
+    for k in range(len(ring)):
+        for arc in sorted(left):
+            owner = ring[(arc + k) % len(ring)][1]
+            take = min(len(left[arc]), room[owner])
+            room[owner] -= take
+            count[owner] += take
+            left[arc] = left[arc][take:]
+    return count
+
+
+@pytest.mark.parametrize("partitions", [1, 64])
+def test_sharding_of_shuffled_rows(spark, partitions):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(40)).unionByName(spark.createDataFrame([(None, "x"), (None, None), (7, "long " * 100_000)], SCHEMA))
+    rows = docs.repartition(partitions, "text").dropDuplicates(["doc_id", "text"])
+    found = sharding.shard(rows).collect()
+    assert len(found) == rows.count()
+    for s in range(16):
+        own = sorted(r["slot"] for r in found if r["shard"] == s)
+        assert own == list(range(len(own)))
+    expected = plain_shards([r["doc_id"] for r in rows.collect()], 16)
+    assert {s: sum(r["shard"] == s for r in found) for s in range(16)} == expected
+    home = {r["doc_id"]: r["home_shard"] for r in found}
+    ring = sharding.points(16)
+    at = lambda d: bisect_left([p for p, _ in ring], int(hashlib.md5(("" if d is None else str(d)).encode()).hexdigest()[:8], 16)) % len(ring)
+    assert all(ring[at(d)][1] == s for d, s in home.items())
