@@ -23,11 +23,34 @@ NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'
 PART = re.compile(r"[A-Za-z][a-z]+|[A-Z]+|[a-z]+")
 
 
+class Element:
+    """An open element: its tag and the words of its names, and what it stands in. Blocks share their elements, so a
+    page's blocks take memory in proportion to its size however deep they are."""
+
+    __slots__ = ("depth", "label", "parent")
+
+    def __init__(self, label: str, parent: Element | None):
+        self.label, self.parent, self.depth = label, parent, parent.depth + 1 if parent else 1
+
+
 class Block(NamedTuple):
-    path: tuple[str, ...]  # each open element, as "tag" or "tag name name"
+    element: Element | None  # the innermost open one
     text: str
     linked: int  # characters inside links
 
+    @property
+    def depth(self) -> int:
+        return self.element.depth if self.element else 0
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Each open element from the outermost, as "tag" or "tag name name"."""
+        out, e = [], self.element
+        while e:
+            out.append(e.label)
+            e = e.parent
+        return tuple(reversed(out))
+
 
 def element(tag: str, attributes: str) -> str:
     """The tag and the words of its class, id and role."""
@@ -41,7 +64,7 @@ def blocks(page: str) -> list[Block]:
     """All blocks with text. Comments, declarations and silent elements leave none; an unclosed one runs to the end."""
     out: list[Block] = []
     tags: list[str] = []
-    path: list[str] = []
+    open_: list[Element] = []
     held: list[str] = []
     places: dict[str, list[int]] = {}  # of each tag's open elements, from the outermost
     solid: list[int] = []  # places of those that aren't inline
@@ -54,7 +77,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             held.clear()
             if text:
-                out.append(Block(tuple(path), text, min(linked, len(text))))
+                out.append(Block(open_[-1] if open_ else None, text, min(linked, len(text))))
         linked = 0
 
     def close(k: int) -> None:
@@ -64,7 +87,7 @@ def blocks(page: str) -> list[Block]:
             if tag not in INLINE:
                 solid.pop()
             links -= tag == "a"
-        del tags[k:], path[k:]
+        del tags[k:], open_[k:]
 
     def last(tag: str) -> int:
         found = places.get(tag)
@@ -117,7 +140,7 @@ def blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             solid.append(len(tags))
         tags.append(tag)
-        path.append(element(tag, attributes))
+        open_.append(Element(element(tag, attributes), open_[-1] if open_ else None))
         links += tag == "a"
     flush()
     return out

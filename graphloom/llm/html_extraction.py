@@ -11,13 +11,14 @@ from __future__ import annotations
 import random
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.html_blocks import Block, blocks
+from graphloom.llm.html_blocks import Block, Element, blocks
 from graphloom.llm.symbols import word_hashes, words
 
 #: Generated pages that the labeller learns from.
@@ -144,14 +145,54 @@ def page(rng: random.Random) -> tuple[str, list[bool]]:
     return "".join(out), wrong
 
 
+def bucket(part: str) -> int:
+    return zlib.crc32(part.encode("utf-8", "surrogatepass")) % PATHS
+
+
+def own_parts(label: str) -> list[int]:
+    """Hashed parts of an element: its tag and its names."""
+    tag, *names = label.split()
+    return [bucket(p) for p in (tag, *(f".{n}" for n in names))]
+
+
+def last_parts(labels: list[str]) -> list[int]:
+    """Hashed parts of the last elements of a path: their tags together, and those of the last two with their place."""
+    tags = [e.split()[0] for e in labels[-3:]]
+    return [bucket(p) for p in ("/".join(tags), *(f"{k}:{t}" for k, t in enumerate(reversed(tags[-2:]))))]
+
+
 def path_parts(path: tuple[str, ...]) -> list[int]:
-    """Hashed parts of a tag path: each element's tag and names, the last tags with their place from the leaf."""
-    parts = ["/".join(p.split()[0] for p in path[-3:])]
-    for e in path:
-        tag, *names = e.split()
-        parts += [tag, *(f".{n}" for n in names)]
-    parts += [f"{k}:{e.split()[0]}" for k, e in enumerate(reversed(path[-2:]))]
-    return [zlib.crc32(p.encode()) % PATHS for p in parts]
+    return [*last_parts(list(path)), *(p for e in path for p in own_parts(e))]
+
+
+class Paths:
+    """Mean vectors of paths; a sum is carried along from an element to those inside it, so each element counts once."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.sums: dict[int, tuple[np.ndarray, int]] = {}  # by the element's identity: sum of own parts on the way, and how many
+        self.labels: dict[str, tuple[np.ndarray, int]] = {}
+
+    def __call__(self, element: Element | None) -> np.ndarray:
+        todo, e = [], element
+        while e is not None and id(e) not in self.sums:
+            todo.append(e)
+            e = e.parent
+        total, n = self.sums[id(e)] if e is not None else (np.zeros(self.table.shape[1], np.float32), 0)
+        for e in reversed(todo):
+            if e.label not in self.labels:
+                parts = own_parts(e.label)
+                self.labels[e.label] = (self.table[parts].sum(0), len(parts))
+            more, k = self.labels[e.label]
+            total, n = total + more, n + k
+            self.sums[id(e)] = (total, n)
+        near: list[str] = []
+        e = element
+        while e is not None and len(near) < 3:
+            near.insert(0, e.label)
+            e = e.parent
+        last = last_parts(near)
+        return (total + self.table[last].sum(0)) / (n + len(last))
 
 
 def numbers(page_blocks: list[Block]) -> np.ndarray:
@@ -164,7 +205,7 @@ def numbers(page_blocks: list[Block]) -> np.ndarray:
     out[:, 3] = [b.text[-1] in ".!?…:;\"'”" for b in page_blocks]
     out[:, 4] = np.log1p(n) / 5
     out[:, 5] = size / max(1.0, float(size.max()))
-    out[:, 6] = [len(b.path) / 10 for b in page_blocks]
+    out[:, 6] = [b.depth / 10 for b in page_blocks]
     return out
 
 
@@ -179,8 +220,8 @@ class Labeller:
         for way in "fb":
             self.p |= {f"x{way}": normal(d, 4 * HIDDEN, scale=0.2), f"h{way}": normal(HIDDEN, 4 * HIDDEN, scale=0.2), f"c{way}": np.concatenate([np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)]).astype(np.float32)}
 
-    def scan(self, x: np.ndarray, way: str):
-        """Hidden states (time, page, HIDDEN) and what the way back needs."""
+    def scan(self, x: np.ndarray, way: str, keep: bool):
+        """Hidden states (time, page, HIDDEN) and, to be kept for training only, what the way back needs."""
         p, (t, b, _) = self.p, x.shape
         pre = x @ p[f"x{way}"] + p[f"c{way}"]
         h, c = np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32)
@@ -195,7 +236,8 @@ class Labeller:
             s = np.tanh(c)
             h = o * s
             states[k] = h
-            kept.append((last, before, i, f, o, g, s))
+            if keep:
+                kept.append((last, before, i, f, o, g, s))
         return states, kept
 
     def unscan(self, x: np.ndarray, way: str, kept, d_states: np.ndarray, grad: dict) -> np.ndarray:
@@ -215,12 +257,12 @@ class Labeller:
         grad[f"h{way}"], grad[f"x{way}"], grad[f"c{way}"] = gh, x.reshape(t * b, -1).T @ flat, flat.sum(0)
         return dz_all @ p[f"x{way}"].T
 
-    def logits(self, x: np.ndarray, back: np.ndarray):
+    def logits(self, x: np.ndarray, back: np.ndarray, keep: bool = False):
         """back: for each (time, page) the time it has in the page read from its end; padding stays in place."""
         cols = np.arange(x.shape[1])[None, :]
-        forward, kept_f = self.scan(x, "f")
+        forward, kept_f = self.scan(x, "f", keep)
         turned = x[back, cols]
-        backward, kept_b = self.scan(turned, "b")
+        backward, kept_b = self.scan(turned, "b", keep)
         both = np.concatenate([forward, backward[back, cols]], axis=2)
         return both @ self.p["out"] + self.p["bias"], (turned, kept_f, kept_b, both, cols)
 
@@ -261,6 +303,12 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, back, mask
 
 
+@cache
+def trained() -> Labeller:
+    """The labeller with the parameters above, fitted once in a process."""
+    return train()
+
+
 def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 11) -> Labeller:
     """A labeller fitted to generated pages by Adam."""
     rng = random.Random(seed)
@@ -282,7 +330,7 @@ def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 11) -> Labeller:
             part = [data[i] for i in group]
             rows = [np.concatenate([bags(a, model.p["paths"]), bags(w, model.p["words"]), n], axis=1) for a, w, n, _ in part]
             x, back, mask = padded(rows)
-            z, (turned, kept_f, kept_b, both, cols) = model.logits(x, back)
+            z, (turned, kept_f, kept_b, both, cols) = model.logits(x, back, True)
             y = np.zeros(z.shape, np.float32)
             for b, (_, _, _, main) in enumerate(part):
                 y[: len(main), b] = main
@@ -312,11 +360,12 @@ def label(model: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:
     every = [b for p in pages for b in p]
     if not every:
         return [np.zeros(0, bool) for _ in pages]
-    known: dict[tuple[str, ...], np.ndarray] = {}
+    path = Paths(model.p["paths"])
+    known: dict[int, np.ndarray] = {}
     for b in every:
-        if b.path not in known:
-            known[b.path] = model.p["paths"][path_parts(b.path)].mean(0)
-    paths = np.array([known[b.path] for b in every])
+        if id(b.element) not in known:
+            known[id(b.element)] = path(b.element)
+    paths = np.array([known[id(b.element)] for b in every])
     said = np.concatenate([mean_words(*word_buckets([b.text for b in every[k : k + 2000]]), model.p["words"]) for k in range(0, len(every), 2000)])
     x = np.concatenate([paths, said, np.concatenate([numbers(p) for p in pages if p])], axis=1).astype(np.float32)
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in pages])])
@@ -361,7 +410,7 @@ def extract_text(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     text. Repeated rows get the same result; null ids and urls pass through. No rows in, no rows out; columns other than
     page_id, url and html are ignored.
     """
-    model = model or train()
+    model = model or trained()
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(extract(model), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, n_blocks int")

@@ -108,3 +108,16 @@ def test_main_text_of_generated_and_given_pages(spark):
         assert found[r["page_id"]]["n_chars"] == len(" ".join(inside))
     odd = spark.createDataFrame([(None, None, None), (1, "u", ""), (1, "u", "")], "page_id long, url string, html string")
     assert [r["text"] for r in html_extraction.extract_text(odd, model).collect()] == ["", "", ""]
+
+
+def test_long_pages_of_unclosed_elements(spark):
+    source = "<nav><div>menu</div></nav><main>" + "<div>some text " * 35_000
+    found = html_blocks.blocks(source)
+    assert len(found) == 35_001 and found[-1].depth == 35_001
+    model = html_extraction.train(60, 1)
+    shallow = html_blocks.blocks("<nav class='menu top'><ul><li>a</li></ul></nav><div id=content><p>b<p>c d</div>")
+    path = html_extraction.Paths(model.p["paths"])
+    for b in shallow:
+        assert np.allclose(path(b.element), model.p["paths"][html_extraction.path_parts(b.path)].mean(0), atol=1e-5)
+    pages = spark.createDataFrame([(1, "u", source), (2, "v", "<p>x" * 50_000)], "page_id long, url string, html string")
+    assert [r["n_blocks"] for r in html_extraction.extract_text(pages, model).collect()] == [35_001, 50_000]
