@@ -132,7 +132,7 @@ def likeness(a: str, b: str, keep: int = KEEP) -> float:
 def followed(docs: DataFrame) -> DataFrame:
     """Rows (target, guard, key, doc_id, text) whose partitions, sorted, hold each row before the one that follows it.
 
-    Ranges of doc_id go to one partition each. The first row of a range goes to the range before it as well, as a guard
+    Ranges of doc_id go to one partition each, by their number. The first row of a range goes to the range before it as well, as a guard
     after its last row (and the very first row to the last range). One number per range comes to the driver.
     """
     spark = docs.sparkSession
@@ -150,7 +150,7 @@ def followed(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("before", guard("key"))
     targets = F.expr("if(before < 0, array(struct(bucket as target, false as guard)), array(struct(bucket as target, false as guard), struct(before as target, true as guard)))")
     rows = rows.withColumn("to", F.explode(targets)).select("to.target", "to.guard", "key", "doc_id", "text")
-    return rows.repartition(n, "target").sortWithinPartitions("target", "guard", "key", "text")
+    return rows.repartitionById(n, F.col("target")).sortWithinPartitions("target", "guard", "key", "text")
 
 
 def _series(values):
