@@ -12,11 +12,11 @@
    Values on more than LONG lists' entries are common (a shared passage, a large group of copies). They come last in the
    order, and a node whose other values suffice for the above isn't listed under them at all.
 3. Members of a list meet in one task, those of a list of more than BLOCK members in a task for each two blocks. The union
-   sketch estimates their similarities; what leaves a task is a spanning forest of the pairs that may be linked, so a
-   list gives fewer rows than it has entries and blocks. The forests' components are clusters of candidates.
+   sketch estimates their similarities; what leaves a task is a star for each component of the pairs that may be linked,
+   so a list gives fewer rows than it has entries and blocks. The stars' components are clusters of candidates.
 4. A cluster's texts meet in one task, those of a large one in a task for each two blocks, and the shingles themselves,
    not hashes, decide: an exact prefix filter inside the task (elements rare there come first) gives pairs, and what
-   leaves it is a spanning forest of the linked pairs. Their components are those of all links.
+   leaves it is a star for each component of the linked pairs. Their components are those of all links.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import HOT_ROWS, discard, partitions, stash
@@ -44,6 +44,12 @@ BLOCK = 1024
 BLOCK_BYTES = 4 << 20
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in order: for short arrays much quicker than numpy's own function."""
+    out = np.sort(values)
+    return out[np.concatenate([[True], out[1:] != out[:-1]])] if len(out) else out
+
+
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, bytes]]:
     """Each text's sorted distinct shingle hashes, and a digest of its words: of their bytes and lengths."""
     for lo, hi, data, offsets in chunks(texts):
@@ -57,7 +63,7 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, bytes
             digest = hashlib.blake2b(plain[upto[r] : upto[r + 1]].data, digest_size=16)
             digest.update(length[a:b].data)
             if b - a >= size:
-                yield np.unique(every[a : b - size + 1]), digest.digest()
+                yield distinct(every[a : b - size + 1]), digest.digest()
             else:
                 yield windows(names[a:b], b - a) if b > a else np.zeros(0, U), digest.digest()
 
@@ -261,29 +267,25 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.T
         yield parted(held)
 
 
-def roots_of(links: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Those of the links that a forest needs."""
+def stars(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    """The links' components: each member with the least one."""
     up: dict[int, int] = {}
 
     def top(x: int) -> int:
-        while (y := up.get(x, x)) != x:
-            up[x] = x = up.get(y, y)
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
         return x
 
     for a, b in links:
         x, y = top(a), top(b)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            yield a, b
-
-
-def pairs_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    a = np.array(links, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(a.min(axis=1)), pa.array(a.max(axis=1))], names=["a", "b"])
+        up[max(x, y)] = min(x, y)
+    found = [(top(x), x) for x in list(up) if up[x] != x]
+    a = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
 
 def meet(k: int, least: int):
-    """For mapInArrow over (value, i, j, node, n_shingles, sketch): forests of the pairs that may be linked."""
+    """For mapInArrow over (value, i, j, node, n_shingles, sketch): the pairs that may be linked, as stars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, offsets in grouped(batches, 3):
@@ -300,13 +302,13 @@ def meet(k: int, least: int):
                         found.append((node[a], node[a + 1]))
                 elif b - a > 2:
                     found += [(node[a + x], node[a + y]) for x, y in likely(n[a:b], flat[at[a] : at[b]], at[a : b + 1] - at[a], k, least)]
-            yield pairs_batch(list(roots_of(found)))
+            yield stars(found)
 
     return run
 
 
 def decide(size: int, least: int):
-    """For mapInArrow over (root, i, j, node, text): forests of the linked pairs."""
+    """For mapInArrow over (root, i, j, node, text): the linked pairs, as stars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, offsets in grouped(batches, 3):
@@ -322,7 +324,7 @@ def decide(size: int, least: int):
                 for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True):
                     if b - a > 1:
                         found += [(node[lo + a + x], node[lo + a + y]) for x, y in linked(flat[at[a] : at[b]], at[a : b + 1] - at[a], least)]
-                yield pairs_batch(found)
+                yield stars(found)
                 g = h
 
     return run
@@ -358,23 +360,26 @@ def verified(clusters: DataFrame, reps: DataFrame, texts: DataFrame, size: int,
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root (the least node it reaches) of links (a, b), by large-star and small-star rounds of joins."""
+    """node, root (the least node it reaches) of links (a, b), by large-star and small-star rounds until all are stars.
+
+    A node with very many links (the root of a large star) is a partial aggregate and one side of a join with a table,
+    which Spark can split; windows are over a node's lesser neighbours only.
+    """
     links = stash(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links-to-lower")
-    seen = None
     while True:
-        both = links.union(links.select("v", "u"))
-        # Tables, not aggregates, below the joins: so Spark can split the nodes that have very many links.
-        least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stash(large.distinct(), "large-star")
-        lowest = stash(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
-        small = large.join(lowest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        before, links = links, stash(small.distinct(), "small-star")
-        discard(before, least, large, lowest)
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == seen:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
+        both = links.select(F.col("u").alias("node"), F.col("v").alias("other")).union(links.select("v", "u"))
+        less = (F.col("other") < F.col("node")).cast("long")
+        least = stash(both.groupBy("node").agg(F.min("other").alias("m"), F.sum(less).alias("lesser"), F.sum(1 - less).alias("greater")), "least-neighbours")
+        if least.filter("lesser > 1 or lesser > 0 and greater > 0").isEmpty():
+            discard(least)
+            out = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out.graphloom_path = links.graphloom_path
+            return out
+        large = links.join(least.select(F.col("node").alias("v"), F.least("node", "m").alias("m")), "v").select("u", F.col("m").alias("v"))
+        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        before, links = links, stash(small.distinct(), "links-to-lower")
+        discard(before, least)
 
 
 def tagged(docs: DataFrame) -> DataFrame:
@@ -387,9 +392,11 @@ def sketched(texts: DataFrame, size: int, k: int) -> DataFrame:
     return texts.mapInArrow(sketch(size, k), "doc_id long, tag binary, n_bytes long, n_shingles long, content binary, sketch array<long>")
 
 
-def tied(real: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) between the nodes of each doc_id that repeats with different sets."""
-    several = real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+def tied(real: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the nodes of each doc_id that repeats with different sets; nothing if none does."""
+    several = stash(real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "repeated-ids")
+    if several.isEmpty():
+        return None
     sets = real.select("doc_id", "content").join(several, "doc_id", "left_semi").distinct()
     nodes = stash(sets.join(classes.select("content", "node"), "content").select("doc_id", F.col("node").alias("b")), "nodes-of-repeated-ids")
     heads = stash(nodes.groupBy("doc_id").agg(F.min("b").alias("a")), "heads-of-repeated-ids")
@@ -425,10 +432,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, k: int = K)
     lists = reps.join(common, F.col("node") == F.col("of"), "left").select("node", F.explode(listed(least)("n_shingles", "sketch", "common")).alias("value"))
     lists = stash(lists, "lists")
     pairs = candidates(lists, reps, k, least)
-    clusters = stash(components(pairs), "clusters")
+    clusters = components(pairs)
     discard(lists, pairs)
-    links = verified(clusters, reps, texts, size, least)
-    roots = stash(components(links.unionByName(tied(real, classes))), "roots")
+    links, ties = verified(clusters, reps, texts, size, least), tied(real, classes)
+    roots = components(links.unionByName(ties) if ties else links)
+    discard(clusters, links)
     # Back to the rows: classes of one that nothing links to need no look-up.
     placed = classes.join(named(classes, roots), "node", "left").withColumn("component", F.coalesce("component", "rep")).filter("size > 1 or component <> rep")
     placed = stash(placed.select("content", "size", "component"), "placed")

@@ -9,12 +9,27 @@ of a fixed size `windows` (a nonlinear step for each doubling).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+
+
+def _keep_freed_memory() -> None:
+    """Lets glibc reuse the memory of freed arrays. By default it gives that of arrays over 128 KB back to the system and
+    gets it again page by page, which takes several times as long as most operations on them."""
+    with contextlib.suppress(AttributeError, OSError):  # another C library
+        mallopt = ctypes.CDLL(None).mallopt
+        mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        mallopt(-1, 256 << 20)  # M_TRIM_THRESHOLD
+
+
+_keep_freed_memory()
+
 U = np.uint64
 #: Bytes of text that are worked on at once, if no single text is longer.
 CHUNK = 1 << 18
