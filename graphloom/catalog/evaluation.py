@@ -41,12 +41,16 @@ def a12_quality_summary(spark, sf_dir):
     return out.select(*[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg", "mean_ms")], "p50_ms", "p95_ms")
 
 
-@query(f"""WITH {_CASES}, firsts AS (SELECT case_id, qualified_name, row_number() OVER (PARTITION BY case_id ORDER BY min(rank)) AS place FROM results GROUP BY case_id, qualified_name)
-SELECT case_id, round(avg((j.qualified_name IS NULL)::INT), 6) AS unsupported_rate, coalesce(min(CASE WHEN j.qualified_name IS NOT NULL THEN place END), 0)::INT AS first FROM firsts f LEFT JOIN (SELECT DISTINCT case_id, qualified_name FROM judged) j USING (case_id, qualified_name) WHERE place <= 3 GROUP BY case_id""")
-def e02_unsupported_rate(spark, sf_dir):
+@query(f"""WITH {_CASES}, firsts AS (SELECT case_id, qualified_name, row_number() OVER (PARTITION BY case_id ORDER BY min(rank), qualified_name) AS place FROM results GROUP BY case_id, qualified_name),
+graded AS (SELECT case_id, qualified_name, max(grade) AS grade FROM judged GROUP BY ALL),
+met AS (SELECT f.case_id, place, coalesce(grade, 0) AS grade FROM firsts f LEFT JOIN graded USING (case_id, qualified_name) WHERE place <= 3),
+by_case AS (SELECT case_id, count(*) FILTER (WHERE grade > 0) AS hits, coalesce(1.0::DOUBLE / min(place) FILTER (WHERE grade > 0), 0) AS rr, sum((pow(2, grade) - 1) / log2(place + 1)) AS dcg, avg((grade = 0)::INT) AS unsupported FROM met GROUP BY case_id),
+best AS (SELECT case_id, count(*) AS relevant, sum(CASE WHEN k <= 3 THEN (pow(2, grade) - 1) / log2(k + 1) ELSE 0 END) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY grade DESC, qualified_name) AS k FROM graded) GROUP BY case_id)
+SELECT case_id, round(coalesce(hits / relevant, 0), 6) AS recall, round(coalesce(rr, 0), 6) AS reciprocal_rank, round(coalesce(dcg / ideal, 0), 6) AS ndcg, round(coalesce(unsupported, 0), 6) AS unsupported_rate FROM best LEFT JOIN by_case USING (case_id)""")
+def e02_unified_scores(spark, sf_dir):
     results, judged = cases(spark, sf_dir)
-    out = evaluation.unsupported(results.withColumnRenamed("qualified_name", "identity"), judged.withColumnRenamed("qualified_name", "identity"), 3)
-    return out.select("case_id", F.round("unsupported_rate", 6).alias("unsupported_rate"), F.coalesce("first", F.lit(0)).alias("first"))
+    out = evaluation.unified(results.withColumnRenamed("qualified_name", "identity"), judged.withColumnRenamed("qualified_name", "identity"), 3)
+    return out.select("case_id", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
 
 _SEEN = "seen AS (SELECT event_type AS expected_playbook, CASE WHEN event_id % 5 = 0 THEN 'other' ELSE event_type END AS playbook, (event_id % 101) / 100.0::DOUBLE AS confidence, event_id % 5 <> 0 AS correct, (event_id % 7) / 6.0::DOUBLE AS recall, event_id % 10 = 0 AS fallback, event_id % 20 = 0 AS timeout, event_id % 4 = 0 AS truncated, event_id % 9 = 0 AS degraded FROM events)"
@@ -83,9 +87,14 @@ def e07_gates(spark, sf_dir):
     return evaluation.gates(now, spark.createDataFrame([(1.0, 0.875, 0.774, 2.0, 20265.0, 0.9, 22664.9, 0.0)], names))
 
 
-@query("SELECT conv_id AS case_id, identity, min(turn) AS rank FROM (SELECT conv_id, turn, coalesce(CASE WHEN turn % 3 = 0 THEN 'f' || length(text) END, CASE WHEN role = 'user' THEN 'q' || length(text) END, 'i' || turn) AS identity FROM conversations) GROUP BY ALL")
+@query("""
+SELECT case_id, identity, row_number() OVER (PARTITION BY case_id ORDER BY min(place), identity)::INT AS rank FROM (
+  SELECT conv_id AS case_id, (CASE WHEN role = 'user' THEN 0 WHEN role = 'assistant' THEN 2 ELSE 4 END, turn) AS place,
+    coalesce(CASE WHEN turn % 3 = 0 THEN 'f' || length(text) END, CASE WHEN turn % 3 = 1 THEN 'm' || length(text) END, CASE WHEN role = 'user' THEN 'q' || length(text) END, 'i' || turn) AS identity FROM conversations) GROUP BY case_id, identity""")
 def e06_identities(spark, sf_dir):
-    c = tables.read(spark, sf_dir, "conversations")
+    c, turn = tables.read(spark, sf_dir, "conversations"), F.col("turn")
     size = F.length("text").cast("string")
-    rows = c.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("rank"), F.when(F.col("turn") % 3 == 0, F.concat(F.lit("f"), size)).alias("file_path"), F.when(F.col("role") == "user", F.concat(F.lit("q"), size)).alias("qualified_name"), F.concat(F.lit("i"), F.col("turn").cast("string")).alias("id"))
+    category = F.when(F.col("role") == "user", "symbols").when(F.col("role") == "assistant", "references").otherwise("test_targets")
+    metadata = F.when(turn % 3 == 1, F.create_map(F.lit("file_path"), F.concat(F.lit("m"), size)))
+    rows = c.select(F.col("conv_id").alias("case_id"), category.alias("category"), turn.alias("rank"), F.when(turn % 3 == 0, F.concat(F.lit("f"), size)).otherwise("").alias("file_path"), metadata.alias("metadata"), F.when(F.col("role") == "user", F.concat(F.lit("q"), size)).alias("qualified_name"), F.concat(F.lit("i"), turn.cast("string")).alias("id"))
     return evaluation.identities(rows)

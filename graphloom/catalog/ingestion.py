@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from graphloom.catalog.registry import Registry
 from graphloom.functions import parsing
-from graphloom.operators import aggregates, discovery, ingestion
+from graphloom.operators import aggregates, discovery, ingestion, search
 from graphloom.sources import snapshots, tables
 from graphloom.sources.tables import sql
 
@@ -32,10 +32,16 @@ def s01_discover(spark, sf_dir):
     return discovery.discovered(corpus(spark, sf_dir))
 
 
-@query(sql("SELECT path AS rel_path FROM corpus WHERE NOT contains(path, 'node_modules/') AND doc_id % 10 <> 0 AND size <= 1048576 AND NOT (size > 8192 AND substr(hex(encode(content)), 16385, 1) IN ('8', '9', 'A', 'B'))", _FILES))
+RULES = "# generated\n*.bin\n!keep.bin\n/vendor/\ndocs/**/f1*\nf?.css\n!f7.css\nlib/\n!lib/cache/src0/\n"
+
+
+@query(sql("""SELECT path AS rel_path FROM corpus WHERE NOT contains(path, 'node_modules/') AND size <= 1048576 AND NOT (size > 8192 AND substr(hex(encode(content)), 16385, 1) IN ('8', '9', 'A', 'B'))
+  AND NOT (ends_with(path, '.bin') OR starts_with(path, 'vendor/') OR starts_with(path, 'lib/') OR regexp_matches(path, '^docs/(.*/)?f1[^/]*$') OR (regexp_matches(path, '(^|/)f.\\.css$') AND NOT ends_with(path, '/f7.css')))""", _FILES))
 def s03_ignored(spark, sf_dir):
+    """Files that an ignore file's rules leave: exceptions, folders, anchors; nothing in an ignored folder comes back."""
     files = corpus(spark, sf_dir)
-    return discovery.discovered(files, ignored=files.filter("doc_id % 10 = 0")).select("rel_path")
+    gone = files.filter(discovery.ignored(F.col("path"), discovery.ignore_rules(RULES)))
+    return discovery.discovered(files, ignored=gone).select("rel_path")
 
 
 @query(sql("SELECT path, contains(path, '.min.') AS generated FROM corpus", _FILES))
@@ -60,10 +66,19 @@ def s09_outside_pruned(spark, sf_dir):
     return discovery.outside(files, gone).select("path")
 
 
-@query(sql("SELECT regexp_replace(path, '/[^/]*$', '') AS folder, count(*) AS files, sum(size)::BIGINT AS bytes FROM corpus GROUP BY ALL", _FILES))
+_CHILDREN = "children AS (SELECT folder, count(*) AS files, sum(size)::BIGINT AS bytes, avg(CASE WHEN k <= 64 THEN contains(path, '.min.')::INT END) AS generated FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY path) AS k FROM (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, path, size FROM corpus)) GROUP BY folder)"
+
+
+@query(sql("SELECT folder, files, bytes, round(generated, 6) AS generated FROM children", f"{_FILES}, {_CHILDREN}"))
 def s10_direct_children(spark, sf_dir):
     """The single-file rule looks at a folder's own files only."""
-    return corpus(spark, sf_dir).groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    return aggregates.direct_children(corpus(spark, sf_dir)).withColumn("generated", F.round("generated", 6))
+
+
+@query(sql("SELECT DISTINCT c.path FROM corpus c JOIN children f ON starts_with(c.path, f.folder || '/') WHERE f.files > 2 AND (generated >= 0.8 OR len(list_filter(string_split(folder, '/'), lambda x: x IN ('cache', 'vendor'))) > 0)", f"{_FILES}, {_CHILDREN}"))
+def s10_below_generated(spark, sf_dir):
+    files = corpus(spark, sf_dir)
+    return discovery.generated_around(files, aggregates.direct_children(files), max_files=2)
 
 
 @query(sql("SELECT path AS rel_path, CASE WHEN doc_id % 5 = 0 THEN 'new' WHEN doc_id % 5 = 1 THEN 'changed' ELSE 'unembedded' END AS why FROM corpus WHERE doc_id % 5 < 3", _FILES))
@@ -98,10 +113,10 @@ def j01_resolve_edges(spark, sf_dir):
     return ingestion.resolved(edges, plan, stored)
 
 
-@query(sql("SELECT e.source_id, e.target_id, e.relationship FROM edges e WHERE relationship = 'imports' AND target_id IN (SELECT id FROM files WHERE repo_id = 1 AND end_line > 0 AND right(id, 1) <> '1') AND source_id NOT IN (SELECT id FROM files WHERE repo_id = 1)"))
+@query(sql("SELECT e.source_id, e.target_id, e.relationship FROM edges e WHERE target_id IN (SELECT id FROM files WHERE repo_id = 1 AND end_line > 0 AND right(id, 1) <> '1') AND source_id NOT IN (SELECT id FROM files WHERE repo_id = 1)"))
 def j04_retained_edges(spark, sf_dir):
     replaced = tables.files(spark, sf_dir).filter("repo_id = 1").select("id")
-    return ingestion.retained(tables.edges(spark, sf_dir, ("imports",)), replaced, replaced.filter("right(id, 1) <> '1'")).select("source_id", "target_id", "relationship")
+    return ingestion.retained(tables.edges(spark, sf_dir), replaced, replaced.filter("right(id, 1) <> '1'")).select("source_id", "target_id", "relationship")
 
 
 @query(sql("SELECT type, coalesce(file_path LIKE 'Brand2/%', false) AS replaced, count(*) AS n FROM (SELECT type, file_path FROM nodes WHERE file_path IS NULL OR NOT starts_with(file_path, 'Brand2/') UNION ALL SELECT 'module', file_path FROM files WHERE starts_with(file_path, 'Brand2/')) GROUP BY ALL"))
@@ -142,10 +157,10 @@ def w09_fixed_chunks(spark, sf_dir):
     return ingestion.chunks(tables.files(spark, sf_dir), F.col("id"), 128, ("repo_id",)).select("repo_id", "id", "chunk")
 
 
-@query(sql("SELECT (SELECT count(*) FROM corpus) AS discovered, (SELECT count(*) FROM corpus WHERE doc_id % 5 < 2) AS changed, (SELECT count(*) FROM corpus WHERE doc_id % 7 = 0) AS deleted, (SELECT count(*) FROM files) AS entities, (SELECT count(DISTINCT (l_orderkey, l_partkey)) FROM lineitem) AS edges, (SELECT count(*) - count(DISTINCT (l_orderkey, l_partkey)) FROM lineitem) AS dropped", _FILES))
+@query(sql("SELECT (SELECT count(*) FROM corpus) AS discovered, (SELECT count(*) FROM corpus WHERE doc_id % 5 < 2) AS changed, (SELECT count(*) FROM corpus WHERE doc_id % 7 = 0) AS deleted, (SELECT count(*) FROM corpus WHERE doc_id % 5 = 0) AS failed, (SELECT count(*) FROM files) AS entities, (SELECT count(DISTINCT (l_orderkey, l_partkey)) FROM lineitem) AS edges, (SELECT count(*) FROM vectors) AS embeddings, (SELECT count(*) - count(DISTINCT (l_orderkey, l_partkey)) FROM lineitem) AS dropped", _FILES))
 def a15_ingestion_counters(spark, sf_dir):
     files, line = corpus(spark, sf_dir), tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    return ingestion.result_counts(files, files.filter("doc_id % 5 < 2"), files.filter("doc_id % 7 = 0"), tables.files(spark, sf_dir), line, line.distinct())
+    return ingestion.result_counts(files, files.filter("doc_id % 5 < 2"), files.filter("doc_id % 7 = 0"), files.filter("doc_id % 5 = 0"), tables.files(spark, sf_dir), line, line.distinct(), tables.embeddings(spark, sf_dir))
 
 
 @query("SELECT sha, author, count(p)::INT AS paths FROM (SELECT 's' || o_orderkey AS sha, 'C' || o_custkey AS author, unnest(['a', 'b']) AS p FROM orders WHERE o_orderkey % 10 <> 0) GROUP BY ALL")
@@ -171,27 +186,59 @@ def i07_contributors(spark, sf_dir):
     return nodes.filter("type = 'contributor'").select("id", "name")
 
 
-@query("SELECT 'P:' || l_partkey AS target_id, count(DISTINCT l_orderkey) AS commits FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey % 2 = 0 GROUP BY l_partkey")
+@query("SELECT 'P:' || l_partkey AS target_id, count(DISTINCT l_orderkey) AS commits FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_partkey")
 def j05_commit_files(spark, sf_dir):
-    files = tables.read(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("file_path"), F.concat(F.lit("P:"), F.col("p_partkey").cast("string")).alias("id"))
+    files = tables.read(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("file_path"), F.concat(F.lit("P:"), F.col("p_partkey").cast("string")).alias("id"))
     _, edges = ingestion.provenance(_commits(spark, sf_dir), files)
     return edges.filter("relationship = 'modifies'").groupBy("target_id").agg(F.count(F.lit(1)).alias("commits"))
 
 
-@query()
+# What each template holds, by its language's place among them: written down from the rules, not from the parsers' output.
+_LANGUAGES = "(VALUES (0, 'python'), (1, 'typescript'), (2, 'rust'), (3, 'go'), (4, 'swift'), (5, 'elixir'), (6, 'bash'), (7, 'css')) l(k, language)"
+_KINDS = """(VALUES (0, 'file', 1, 0), (0, 'import', 3, 0), (0, 'constant', 1, 0), (0, 'class', 1, 0), (0, 'method', 1, 3), (0, 'function', 1, 1),
+  (1, 'file', 1, 0), (1, 'import', 1, 0), (1, 'class', 2, 0), (1, 'method', 1, 2), (1, 'function', 1, 1), (1, 'variable', 1, 0),
+  (2, 'file', 1, 0), (2, 'import', 3, 0), (2, 'class', 2, 0), (2, 'method', 1, 2), (2, 'function', 1, 1), (2, 'constant', 1, 0),
+  (3, 'file', 1, 0), (3, 'module', 1, 0), (3, 'import', 1, 0), (3, 'class', 1, 0), (3, 'variable', 1, 0), (3, 'method', 1, 2), (3, 'function', 1, 1),
+  (4, 'file', 1, 0), (4, 'import', 1, 0), (4, 'class', 1, 0), (4, 'variable', 1, 0), (4, 'method', 1, 1), (4, 'function', 1, 1),
+  (5, 'file', 1, 0), (5, 'class', 1, 0), (5, 'import', 1, 0), (5, 'constant', 1, 0), (5, 'method', 2, 2),
+  (6, 'file', 1, 0), (6, 'import', 1, 0), (6, 'constant', 1, 0), (6, 'function', 1, 2),
+  (7, 'file', 1, 0), (7, 'import', 1, 0), (7, 'variable', 1, 0), (7, 'class', 3, 0), (7, 'function', 1, 0)) t(k, kind, n, complexity)"""
+_RELATIONSHIPS = """(VALUES (0, 'contains', 7), (0, 'imports', 3), (0, 'inherits', 1), (0, 'calls', 2), (1, 'contains', 6), (1, 'imports', 1), (1, 'inherits', 1), (1, 'calls', 1),
+  (2, 'contains', 8), (2, 'imports', 3), (2, 'inherits', 1), (2, 'implements', 1), (3, 'contains', 6), (3, 'imports', 1), (4, 'contains', 4), (4, 'imports', 1), (4, 'inherits', 1),
+  (5, 'contains', 4), (5, 'imports', 1), (6, 'contains', 2), (6, 'imports', 1), (7, 'contains', 5), (7, 'imports', 1)) t(k, relationship, n)"""
+_PARTS = "(SELECT p_partkey % 8 AS k, count(*) AS parts FROM part GROUP BY 1) p"
+
+
+@query(f"SELECT language, kind, n * parts AS n, complexity * parts AS complexity FROM {_LANGUAGES} JOIN {_KINDS} USING (k) JOIN {_PARTS} USING (k)")
 def p01_parse(spark, sf_dir):
     """Entities of generated sources in each language, one file for each part."""
-    return parsing.parse_files(parsing.samples(tables.read(spark, sf_dir, "part"))).groupBy("language", "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("names"))
+    found = parsing.parse_files(parsing.samples(tables.read(spark, sf_dir, "part")))
+    return found.groupBy("language", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("complexity", F.lit(0)).cast("long")).alias("complexity"))
 
 
-@query("SELECT doc_id AS name, 'file' AS kind, substr(coalesce(text, ''), 1, 2048) AS content, len(regexp_extract_all(coalesce(text, ''), '\n'))::INT AS end_line FROM documents")
-def p16_text_fallback(spark, sf_dir):
-    d, text = tables.read(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
-    return d.select(F.col("doc_id").alias("name"), F.lit("file").alias("kind"), F.substring(text, 1, 2048).alias("content"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("end_line"))
+@query(f"SELECT language, relationship, n * parts AS n FROM {_LANGUAGES} JOIN {_RELATIONSHIPS} USING (k) JOIN {_PARTS} USING (k)")
+def p13_edges(spark, sf_dir):
+    return parsing.parse_edges(parsing.samples(tables.read(spark, sf_dir, "part"))).groupBy("language", "relationship").agg(F.count(F.lit(1)).alias("n"))
+
+
+_MODULE = "SELECT 'src.f' || p_partkey AS m, regexp_replace(lower(p_name), '[^a-z]+', '_', 'g') AS w, p_partkey AS n FROM part WHERE p_partkey % 8 = 0"
+
+
+@query(f"""WITH files AS ({_MODULE}), rows AS (
+SELECT m AS source, m || '.import.' || x AS target, 'contains' AS relationship FROM files, (SELECT unnest(['os', 'a.b.c', 'd.e']) AS x)
+UNION ALL SELECT m, x, 'imports' FROM files, (SELECT unnest(['os', 'a.b.c', 'd.e']) AS x)
+UNION ALL SELECT m, m || '.' || x, 'contains' FROM (SELECT m, unnest(['LIMIT', 'K' || n, w]) AS x FROM files)
+UNION ALL SELECT m || '.K' || n, m || '.K' || n || '.go', 'contains' FROM files UNION ALL SELECT m || '.K' || n, 'Base', 'inherits' FROM files
+UNION ALL SELECT m || '.K' || n || '.go', 'helper', 'calls' FROM files UNION ALL SELECT m || '.' || w, 'K' || n, 'calls' FROM files)
+SELECT * FROM rows""")
+def p03_python_edges(spark, sf_dir):
+    """Every edge of the Python files: dots before a module, renamed names and calls as they are read."""
+    files = parsing.samples(tables.read(spark, sf_dir, "part")).filter(F.endswith("path", F.lit(".py")))
+    return parsing.parse_edges(files).select(F.col("source_qualified_name").alias("source"), F.col("target_qualified_name").alias("target"), "relationship")
 
 
 @query("SELECT doc_id || '.txt' AS name, doc_id || '.txt' AS qualified_name, 'file' AS kind, 0 AS start_line, len(regexp_extract_all(coalesce(text, ''), '\n'))::INT AS end_line, coalesce(text, '') AS docstring, coalesce(text, '') AS raw_text FROM documents")
-def p16_whole_text_fallback(spark, sf_dir):
+def p16_text_fallback(spark, sf_dir):
     """The entity that a text file is: its source is whole, the cut belongs to the node it becomes (P17)."""
     files = tables.read(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel_path"), F.coalesce("text", F.lit("")).alias("content"))
     return ingestion.text_entities(files)
@@ -221,11 +268,23 @@ def s11_contained_aliases(spark, sf_dir):
     return snapshots.contained_aliases(files, files.select(F.concat(F.lit("alias/"), F.col("doc_id").cast("string")).alias("path"), inside.alias("target")))
 
 
-@query("SELECT c_custkey AS repo, sha256(c_name || '|' || coalesce(s, '')) AS fingerprint FROM customer LEFT JOIN (SELECT user_id, string_agg(DISTINCT event_type || ' ' || (event_id % 9), chr(10) ORDER BY event_type || ' ' || (event_id % 9)) AS s FROM events GROUP BY user_id) ON user_id = c_custkey")
+@query("""
+WITH records AS (SELECT user_id AS repo, event_id AS pos, CASE WHEN event_id % 7 = 0 THEN 'R  a' || event_id || chr(0) || 'b' || event_id ELSE ' M a' || event_id END AS record FROM events),
+paths AS (SELECT repo, pos, 0 AS nth, 'a' || pos AS path FROM records UNION ALL SELECT repo, pos, 1, 'b' || pos FROM records WHERE pos % 7 = 0),
+states AS (SELECT repo, string_agg(record || chr(0), '' ORDER BY pos) AS status FROM records GROUP BY repo),
+tails AS (SELECT repo, string_agg(chr(0) || CASE WHEN pos % 3 = 0 THEN 'missing' ELSE '(' || path || ', ' || pos || ')' END, '' ORDER BY pos, nth) AS tail FROM paths GROUP BY repo)
+SELECT c_custkey AS repo, sha256(c_name || chr(0) || coalesce(status, '') || coalesce(tail, '')) AS fingerprint FROM customer LEFT JOIN states s ON s.repo = c_custkey LEFT JOIN tails t ON t.repo = c_custkey""")
 def s14_state_fingerprint(spark, sf_dir):
-    heads = tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repo"), F.col("c_name").alias("head"))
-    dirty = tables.read(spark, sf_dir, "events").select(F.col("user_id").alias("repo"), F.col("event_type").alias("status"), (F.col("event_id") % 9).cast("string").alias("path"))
-    return snapshots.fingerprints(heads, dirty)
+    """A user's events as dirty paths: every seventh a rename of two fields, every third path gone."""
+    i, number = F.col("event_id"), F.col("event_id").cast("string")
+    e = tables.read(spark, sf_dir, "events").select(F.col("user_id").alias("repo"), "event_id")
+    a, b = F.concat(F.lit("a"), number), F.concat(F.lit("b"), number)
+    record = F.when(i % 7 == 0, F.concat(F.lit("R  "), a, F.lit("\0"), b)).otherwise(F.concat(F.lit(" M "), a))
+    listing = e.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("event_id", F.concat(record, F.lit("\0")).alias("r")))).alias("all"))
+    states = tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repo"), F.col("c_name").alias("head")).join(listing, "repo", "left")
+    states = states.select("repo", "head", F.array_join(F.transform("all", lambda x: x["r"]), "").alias("status"))
+    seen = e.filter(i % 3 != 0).select("repo", "event_id", F.explode(F.when(i % 7 == 0, F.array(a, b)).otherwise(F.array(a))).alias("path"))
+    return snapshots.fingerprints(states, seen.select("repo", "path", F.concat(F.lit("("), "path", F.lit(", "), F.col("event_id").cast("string"), F.lit(")")).alias("metadata")))
 
 
 @query("SELECT r_regionkey AS id, r_name AS root, count(c_custkey) AS files, max('2024-01-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0')) AS last_indexed FROM region LEFT JOIN customer ON c_custkey % 4 = r_regionkey GROUP BY ALL")
@@ -235,11 +294,10 @@ def s16_saved_projects(spark, sf_dir):
     return snapshots.saved_projects(tables.read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("root")), records)
 
 
-@query(sql("SELECT id, type, name, file_path, substr(qualified_name, 1, 1024) AS content FROM files"))
+@query(sql("SELECT id, type, name, qualified_name, file_path, start_line, end_line, NULL::VARCHAR AS signature, substr(name || ' ' || coalesce(qualified_name, ''), 1, 1024) AS content, NULL::DOUBLE AS distance FROM nodes"))
 def p19_compact_projection(spark, sf_dir):
-    from graphloom.functions.text import COMPACT
-
-    return tables.files(spark, sf_dir).select("id", "type", "name", "file_path", F.substring("qualified_name", 1, COMPACT).alias("content"))
+    whole = F.concat_ws(" ", "name", F.coalesce("qualified_name", F.lit("")))
+    return search.compact(tables.nodes(spark, sf_dir).withColumn("content", whole))
 
 
 @query(sql("SELECT path AS rel_path, ((row_number() OVER (ORDER BY path) - 1) // 32)::INT AS chunk FROM corpus WHERE doc_id % 7 = 0", _FILES))
@@ -249,20 +307,17 @@ def i06_delete_batches(spark, sf_dir):
     return ingestion.chunks(gone.withColumn("repo", F.lit("repo")), F.col("rel_path"), ingestion.DELETE_BATCH, ("repo",)).select("rel_path", "chunk")
 
 
-@query()
+@query(f"SELECT language, count(*) FILTER (WHERE NOT bad) AS good, count(*) FILTER (WHERE bad) AS failed FROM (SELECT language, language = 'python' AND broken AS bad FROM (SELECT p_partkey % 8 AS k, p_partkey % 7 = 0 AS broken FROM part) JOIN {_LANGUAGES} USING (k)) GROUP BY language")
 def i05_parse_failures(spark, sf_dir):
-    """About every seventh generated file of each language has a NUL in it; failures are rows.
+    """Every seventh generated file has a NUL in it; failures are rows.
 
     Python's parser fails on those; the declaration scanners of the other languages read past what is broken.
     """
-    files = parsing.samples(tables.read(spark, sf_dir, "part"))
-    broken = files.withColumn("content", F.when(F.crc32(F.col("path").cast("binary")) % 7 == 0, F.concat(F.col("content"), F.lit("\0"))).otherwise(F.col("content")))
+    part = tables.read(spark, sf_dir, "part")
+    files = parsing.samples(part)
+    number = F.regexp_extract("path", "f([0-9]+)[.]", 1).cast("long")
+    broken = files.withColumn("content", F.when(number % 7 == 0, F.concat(F.col("content"), F.lit("\0"))).otherwise(F.col("content")))
     names = F.create_map(*[F.lit(x) for pair in parsing.LANGUAGES.items() for x in pair])
     language = F.coalesce("language", names[F.substring_index("file", ".", -1)])  # a failure has none
-    return parsing.parse_files(broken).groupBy(language.alias("language"), F.col("error").isNull().alias("ok")).agg(F.countDistinct("file").alias("files"))
-
-
-@query()
-def p13_call_edges(spark, sf_dir):
-    return parsing.parse_edges(parsing.samples(tables.read(spark, sf_dir, "part"))).groupBy("language", "relationship").agg(F.count(F.lit(1)).alias("n"))
-
+    file = parsing.parse_files(broken).filter("error is not null or kind = 'file'").select(language.alias("language"), F.col("error").isNull().alias("ok"))
+    return file.groupBy("language").agg(F.sum(F.col("ok").cast("long")).alias("good"), F.sum((~F.col("ok")).cast("long")).alias("failed"))

@@ -36,7 +36,7 @@ def f04_nodes_without_embeddings(spark, sf_dir):
     return lookup.without_embedding(nodes, tables.embeddings(spark, sf_dir).select(F.col("vec_id").alias("node_id")))
 
 
-@query(sql("SELECT qualified_name, min(id) AS id FROM functions WHERE ends_with(name, '_7') GROUP BY qualified_name"))
+@query(sql("SELECT repo_id, qualified_name, min(id) AS id FROM functions WHERE ends_with(name, '_7') GROUP BY ALL"))
 def f05_resolve_qualified_name(spark, sf_dir):
     nodes = tables.functions(spark, sf_dir)
     return lookup.first_by_qualified_name(nodes, nodes.filter(F.endswith("name", F.lit("_7"))))
@@ -63,9 +63,22 @@ def f09_files_of_unembedded_nodes(spark, sf_dir):
     return lookup.without_embedding(tables.files(spark, sf_dir), vectors).select("file_path").distinct()
 
 
-@query("SELECT r_regionkey::BIGINT AS id, '/repos/' || lower(r_name) AS path FROM region")
+_REPOS = "repos AS (SELECT r_regionkey::BIGINT AS id, '/repos/' || lower(r_name) AS path FROM region)"
+
+
+@query(f"WITH {_REPOS}, new AS (SELECT DISTINCT '/repos/' || lower(n_name) AS path FROM nation WHERE '/repos/' || lower(n_name) NOT IN (SELECT path FROM repos)) SELECT id, path FROM repos UNION ALL SELECT (SELECT max(id) FROM repos) + row_number() OVER (ORDER BY path), path FROM new")
 def f10_scopes(spark, sf_dir):
-    return tables.repos(spark, sf_dir)
+    """Repositories that are asked for by path are there afterwards."""
+    asked = tables.read(spark, sf_dir, "nation").select(F.concat(F.lit("/repos/"), F.lower("n_name")).alias("path"))
+    return lookup.scopes(tables.repos(spark, sf_dir), asked.union(tables.repos(spark, sf_dir).select("path")))
+
+
+@query(f"WITH {_REPOS} SELECT r.id, a.path FROM (SELECT '/repos/' || lower(n_name) AS path FROM nation UNION ALL SELECT path FROM repos) a LEFT JOIN repos r USING (path) UNION ALL SELECT n_nationkey::BIGINT, r.path FROM nation LEFT JOIN repos r ON r.id = n_nationkey")
+def f10_resolved_scopes(spark, sf_dir):
+    repos, nation = tables.repos(spark, sf_dir), tables.read(spark, sf_dir, "nation")
+    paths = nation.select(F.concat(F.lit("/repos/"), F.lower("n_name")).alias("path")).union(repos.select("path"))
+    asked = paths.withColumn("id", F.lit(None).cast("long")).unionByName(nation.select(F.lit(None).cast("string").alias("path"), F.col("n_nationkey").cast("long").alias("id")))
+    return lookup.resolved_scopes(repos, asked)
 
 
 @query(sql("SELECT type, count(*) AS n FROM nodes WHERE NOT (type = 'commit' AND name = '5-LOW') GROUP BY type"))
@@ -160,8 +173,11 @@ def id03_keyed_hash(spark, sf_dir):
     return tables.read(spark, sf_dir, "customer").select("c_custkey", ids.keyed_hash(b"key", name).alias("h"))
 
 
-@query(sql("SELECT id, type, name, coalesce(qualified_name, name) AS label, file_path FROM nodes WHERE type IN ('file', 'class')"))
+@query(sql("SELECT 'symbol' AS kind, id, name, type AS node_type, coalesce(file_path, 'meta/' || id) AS file_path, start_line, end_line, 'search' AS stage FROM nodes"))
 def p20_evidence(spark, sf_dir):
-    nodes = tables.files(spark, sf_dir).unionByName(tables.classes(spark, sf_dir))
-    return nodes.select("id", "type", "name", F.coalesce("qualified_name", "name").alias("label"), "file_path")
+    """Nodes without a path of their own have one in their metadata."""
+    from graphloom.plans import playbooks
 
+    metadata = F.create_map(F.lit("file_path"), F.concat(F.lit("meta/"), "id"))
+    rows = playbooks.evidence(tables.nodes(spark, sf_dir).withColumn("metadata", metadata), "symbol", "search")
+    return rows.select("kind", "id", "name", "node_type", "file_path", "start_line", "end_line", "stage")

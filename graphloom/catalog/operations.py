@@ -70,9 +70,10 @@ def a07_retention(spark, sf_dir):
     return aggregates.retained(rows, F.lit(last), 5, 100).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "method", "calls")
 
 
-@query(f"WITH {_HOURS} SELECT strftime(hour, '%Y-%m-%d %H') AS hour, method, sum(calls)::BIGINT AS calls, sum(errors)::BIGINT AS errors, round(max(max_ms), 4) AS max_ms FROM hours GROUP BY GROUPING SETS ((hour, method), ())")
+@query(f"WITH {_HOURS} SELECT strftime(hour, '%Y-%m-%d %H') AS hour, method, sum(calls)::BIGINT AS calls, sum(errors)::BIGINT AS errors, round(max(max_ms), 4) AS max_ms FROM hours WHERE hour >= (SELECT max(hour) FROM hours) - INTERVAL 7 DAYS GROUP BY GROUPING SETS ((hour, method), ())")
 def a08_metrics_report(spark, sf_dir):
-    return aggregates.report(hours(spark, sf_dir)).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "method", "calls", "errors", F.round("max_ms", 4).alias("max_ms"))
+    rows = hours(spark, sf_dir)
+    return aggregates.report(rows, F.lit(rows.agg(F.max("hour")).first()[0])).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "method", "calls", "errors", F.round("max_ms", 4).alias("max_ms"))
 
 
 @query(sql("SELECT backend, operation, count(*) AS calls, count(error) AS errors, count(*) FILTER (WHERE duration_ms >= 100) AS slow, count(*) FILTER (WHERE duration_ms >= 500) AS critical, round(avg(duration_ms), 6) AS mean_ms, quantile_disc(duration_ms, 0.95) AS p95_ms, max(duration_ms) AS max_ms FROM ops GROUP BY backend, operation"))
@@ -80,15 +81,19 @@ def a09_operation_summaries(spark, sf_dir):
     return aggregates.operation_summaries(tables.operations(spark, sf_dir)).withColumn("mean_ms", F.round("mean_ms", 6))
 
 
-@query(sql("SELECT id, backend, operation, duration_ms FROM ops WHERE duration_ms >= 20 AND backend = 'b1' AND error IS NULL ORDER BY id DESC LIMIT 200"))
+@query(sql("SELECT id, backend, operation, duration_ms FROM (SELECT * FROM ops ORDER BY id DESC LIMIT 2000) WHERE duration_ms >= 20 AND backend = 'b1' AND error IS NULL ORDER BY id DESC LIMIT 200"))
 def a10_operation_snapshot(spark, sf_dir):
     return aggregates.snapshot(tables.operations(spark, sf_dir), "b1", False, 20.0).select("id", "backend", "operation", "duration_ms")
 
 
+@query(sql("SELECT (SELECT count(*) FROM kept) AS retained, (SELECT count(*) FROM ops) - (SELECT count(*) FROM kept) AS dropped, 2000 AS capacity, (SELECT count(*) FROM kept WHERE error IS NOT NULL) AS matching", "kept AS (SELECT * FROM ops ORDER BY id DESC LIMIT 2000)"))
+def a10_operation_counters(spark, sf_dir):
+    return aggregates.snapshot_counts(tables.operations(spark, sf_dir), failed=True)
+
+
 @query("SELECT CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, count(*) AS n FROM events GROUP BY 1")
 def a11_event_status_counts(spark, sf_dir):
-    status = F.when(F.col("event_type") == "error", "error").otherwise("ok")
-    return tables.read(spark, sf_dir, "events").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return aggregates.status_counts(tables.operations(spark, sf_dir))
 
 
 @query("SELECT canonical, arg_max(id, (files, -id)) AS id, max(files) AS files, count(*) - 1 AS removed FROM (SELECT c_nationkey AS canonical, c_custkey AS id, round(c_acctbal)::BIGINT AS files FROM customer) GROUP BY canonical")
@@ -108,20 +113,21 @@ def requests(spark, sf_dir):
     return e.select(F.col("user_id").alias("repo"), i.alias("position"), mode.alias("mode"), F.array(path).alias("paths"), F.array().cast("array<string>").alias("deleted"), F.concat(F.lit("s"), i.cast("string")).alias("snapshot"))
 
 
-@query(f"""WITH {_REQUESTS}, ranked AS (SELECT *, list_position(['cleanup', 'files', 'full', 'force_full', 'drop_index'], mode) - 1 AS r FROM requests)
+@query(f"""WITH {_REQUESTS}, drops AS (SELECT repo, min(position) AS dropped FROM requests WHERE mode = 'drop_index' GROUP BY repo),
+ranked AS (SELECT r.*, list_position(['cleanup', 'files', 'full', 'force_full', 'drop_index'], mode) - 1 AS r FROM requests r LEFT JOIN drops d USING (repo) WHERE dropped IS NULL OR position <= dropped OR mode = 'drop_index')
 SELECT repo, ['cleanup', 'files', 'full', 'force_full', 'drop_index'][max(r) + 1] AS mode, CASE WHEN max(r) = 1 THEN string_agg(DISTINCT path, ',' ORDER BY path) ELSE '' END AS paths, CASE WHEN max(r) = 3 THEN 's' || max(CASE WHEN r = 3 THEN position END) END AS snapshot, count(*) AS requests FROM ranked GROUP BY repo""")
 def t04_queue_coalescing(spark, sf_dir):
     return jobs.coalesced(requests(spark, sf_dir)).select("repo", "mode", F.array_join("paths", ",").alias("paths"), "snapshot", "requests")
 
 
-_JOBS = "jobs AS (SELECT event_id AS id, user_id AS repo, CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id // 2 END AS store_id, CASE WHEN event_id % 50 = 0 THEN 'running' WHEN event_id % 7 = 0 THEN 'failed' WHEN event_id % 3 = 0 THEN 'queued' ELSE 'done' END AS status, CASE WHEN event_id % 5 = 0 THEN 'cleanup' WHEN event_id % 31 = 0 THEN 'drop_index' ELSE 'files' END AS mode, ts AS created_at, ts + INTERVAL 1 HOUR AS updated_at, (event_id % 4)::INT AS attempts FROM events)"
+_JOBS = "jobs AS (SELECT event_id AS id, user_id AS repo, CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id // 2 END AS store_id, CASE WHEN event_id % 50 = 0 THEN 'running' WHEN event_id % 7 = 0 THEN 'failed' WHEN event_id % 3 = 0 THEN 'queued' ELSE 'done' END AS status, CASE WHEN event_id % 5 = 0 THEN 'cleanup' WHEN event_id % 31 = 0 THEN 'drop_index' ELSE 'files' END AS mode, ts AS created_at, ts + INTERVAL 1 HOUR AS updated_at, (event_id % 4)::INT AS attempts, CASE WHEN event_id % 100 = 0 THEN 'w' || (event_id % 3) END AS lease_owner FROM events), waits AS (SELECT repo, min_by(id, (created_at, id)) AS next_id, min_by(mode, (created_at, id)) AS waiting FROM jobs WHERE status = 'queued' GROUP BY repo), modes AS (SELECT ['cleanup', 'files', 'full', 'force_full', 'drop_index'] AS m)"
 
 
 def queue(spark, sf_dir):
     i, u = F.col("event_id"), F.col("user_id")
     status = F.when(i % 50 == 0, "running").when(i % 7 == 0, "failed").when(i % 3 == 0, "queued").otherwise("done")
     mode = F.when(i % 5 == 0, "cleanup").when(i % 31 == 0, "drop_index").otherwise("files")
-    return tables.read(spark, sf_dir, "events").select(i.alias("id"), u.alias("repo"), F.when(u % 3 != 0, F.floor(u / 2)).alias("store_id"), status.alias("status"), mode.alias("mode"), F.col("ts").alias("created_at"), (F.col("ts") + F.expr("interval 1 hour")).alias("updated_at"), (i % 4).cast("int").alias("attempts"), F.col("ts").alias("lease_expires_at"))
+    return tables.read(spark, sf_dir, "events").select(i.alias("id"), u.alias("repo"), F.when(u % 3 != 0, F.floor(u / 2)).alias("store_id"), status.alias("status"), mode.alias("mode"), F.col("ts").alias("created_at"), (F.col("ts") + F.expr("interval 1 hour")).alias("updated_at"), (i % 4).cast("int").alias("attempts"), F.col("ts").alias("lease_expires_at"), F.when(i % 100 == 0, F.concat(F.lit("w"), (i % 3).cast("string"))).alias("lease_owner"))
 
 
 @query(f"WITH {_JOBS} SELECT id, store FROM (SELECT id, coalesce(store_id, repo) AS store, row_number() OVER (PARTITION BY coalesce(store_id, repo) ORDER BY (mode = 'cleanup')::INT, created_at, id) AS k FROM jobs WHERE status = 'queued' AND coalesce(store_id, repo) NOT IN (SELECT coalesce(store_id, repo) FROM jobs WHERE status = 'running')) WHERE k = 1")
@@ -129,16 +135,27 @@ def t05_claim_jobs(spark, sf_dir):
     return jobs.claimable(queue(spark, sf_dir)).select("id", "store")
 
 
-@query(f"WITH {_JOBS} SELECT id, attempts + 1 AS next_attempts, CASE WHEN attempts + 1 >= 3 THEN 'failed' ELSE 'queued' END AS next_status FROM jobs WHERE status = 'running' AND created_at < (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+_BACK = "CASE WHEN {merged} AND next_id IS NOT NULL THEN 'cancelled' WHEN {attempts} >= 3 THEN 'failed' ELSE 'queued' END AS next_status, CASE WHEN {merged} THEN next_id END AS next_id, CASE WHEN {merged} AND next_id IS NOT NULL THEN m[greatest(list_position(m, mode), list_position(m, waiting))] END AS next_mode"
+
+
+@query(f"WITH {_JOBS} SELECT id, next_attempts, {_BACK.format(merged='true', attempts='next_attempts')} FROM (SELECT *, attempts + CASE WHEN lease_owner IS DISTINCT FROM 'w1' THEN 0 ELSE 1 END AS next_attempts FROM jobs WHERE status = 'running' AND (created_at < (SELECT max(ts) FROM events) - INTERVAL 1 DAY OR lease_owner IS DISTINCT FROM 'w1')) LEFT JOIN waits USING (repo), modes")
 def t06_expired_leases(spark, sf_dir):
     rows = queue(spark, sf_dir)
     now = rows.agg(F.max("created_at")).first()[0]
-    return jobs.expired(rows, F.lit(now) - F.expr("interval 1 day")).select("id", "next_attempts", "next_status")
+    return jobs.expired(rows, F.lit(now) - F.expr("interval 1 day"), "w1").select("id", "next_attempts", "next_status", "next_id", "next_mode")
 
 
-@query(f"WITH {_JOBS} SELECT id, attempts + 1 AS attempts, CASE WHEN attempts + 1 >= 3 THEN 'failed' ELSE 'queued' END AS status FROM jobs WHERE status = 'failed'")
+@query(f"WITH {_JOBS} SELECT id, next_attempts, {_BACK.format(merged='next_attempts < 3', attempts='next_attempts')} FROM (SELECT *, attempts + 1 AS next_attempts FROM jobs WHERE status = 'running') LEFT JOIN waits USING (repo), modes")
 def t07_retry(spark, sf_dir):
-    return jobs.after_failure(queue(spark, sf_dir).filter("status = 'failed'")).select("id", "attempts", "status")
+    rows = queue(spark, sf_dir)
+    return jobs.after_failure(rows.filter("status = 'running'"), rows).select("id", "next_attempts", "next_status", "next_id", "next_mode")
+
+
+@query(f"WITH {_JOBS} SELECT id, CASE WHEN mode <> 'drop_index' THEN 'cancelled' ELSE 'completed' END AS status FROM jobs WHERE status = 'running'")
+def t08_completed_after_cancel(spark, sf_dir):
+    """Running jobs that a request to cancel all has met, as they end."""
+    running = queue(spark, sf_dir).filter("status = 'running'")
+    return jobs.completed(jobs.cancelled(running)).select("id", "status")
 
 
 @query(f"WITH {_JOBS} SELECT s AS status, count(*) AS n FROM (SELECT CASE WHEN mode <> 'drop_index' AND status = 'queued' THEN 'cancelled' WHEN mode <> 'drop_index' AND status = 'running' THEN 'cancelling' ELSE status END AS s FROM jobs) GROUP BY s")
@@ -245,6 +262,50 @@ def o06_playbook_references(spark, sf_dir):
     return rows.select("kind", "id", "name")
 
 
+_ENDS = """own AS (SELECT * FROM nodes WHERE file_path = (SELECT file_path FROM files WHERE id = 'P:40')),
+chosen AS (SELECT * FROM own ORDER BY CASE WHEN type IN ('class', 'function', 'method', 'variable', 'constant', 'type_alias') THEN 0 WHEN type IN ('file', 'module') THEN 1 ELSE 2 END, start_line, lower(name), id LIMIT 50),
+around AS (SELECT c.id, e.* FROM chosen c JOIN edges e ON e.source_id = c.id UNION ALL SELECT c.id, e.* FROM chosen c JOIN edges e ON e.target_id = c.id),
+first AS (SELECT * FROM around ORDER BY id, source_id, target_id, relationship LIMIT 100),
+ends AS (SELECT DISTINCT unnest([source_id, target_id]) AS id FROM first)"""
+
+
+@query(sql("SELECT 'symbol' AS kind, id, name FROM chosen UNION ALL SELECT * FROM (SELECT 'relationship', n.id, n.name FROM ends JOIN nodes n ON n.id = ends.id WHERE n.id NOT IN (SELECT id FROM chosen) ORDER BY n.id LIMIT 200)", _ENDS))
+def o06_playbook_inspect(spark, sf_dir):
+    path = tables.files(spark, sf_dir).filter("id = 'P:40'").first()["file_path"]
+    request = playbooks.Request("what is in it", file_paths=(path,))
+    return playbooks.run(spark, tables.nodes(spark, sf_dir), tables.edges(spark, sf_dir), request, Chosen("INSPECT_FILES"))[0].select("kind", "id", "name")
+
+
+@query(sql("SELECT 'dependent' AS kind, n.id, n.name FROM nodes n JOIN (SELECT DISTINCT e.source_id AS id FROM edges e JOIN hit t ON t.id = e.target_id LEFT JOIN hit s ON s.id = e.source_id WHERE e.relationship IN ('calls', 'imports', 'inherits') AND s.id IS NULL) d ON d.id = n.id", "hit AS (SELECT DISTINCT id FROM nodes WHERE file_path = (SELECT file_path FROM files WHERE id = 'P:40'))"))
+def o06_playbook_impact(spark, sf_dir):
+    path = tables.files(spark, sf_dir).filter("id = 'P:40'").first()["file_path"]
+    request = playbooks.Request("what breaks", file_paths=(path,))
+    return playbooks.run(spark, tables.nodes(spark, sf_dir), tables.edges(spark, sf_dir), request, Chosen("IMPACT"))[0].select("kind", "id", "name")
+
+
+@query(sql("SELECT 'symbol' AS kind, id, name FROM (SELECT * FROM nodes WHERE type = 'class' ORDER BY id LIMIT 10)"))
+def o06_playbook_inventory(spark, sf_dir):
+    request = playbooks.Request("list classes", node_type="class")
+    return playbooks.run(spark, tables.nodes(spark, sf_dir), tables.edges(spark, sf_dir), request, Chosen("INVENTORY"))[0].select("kind", "id", "name")
+
+
+_AROUND = """up AS (SELECT source_id AS a, target_id AS b FROM edges WHERE relationship IS NOT NULL), one AS (SELECT DISTINCT b AS id FROM up WHERE a = 'S:2' UNION SELECT DISTINCT a FROM up WHERE b = 'S:2'),
+two AS (SELECT DISTINCT b AS id FROM up JOIN (SELECT DISTINCT b AS m FROM up WHERE a = 'S:2') ON a = m UNION SELECT DISTINCT a FROM up JOIN (SELECT DISTINCT a AS m FROM up WHERE b = 'S:2') ON b = m),
+near AS (SELECT 'S:2' AS id UNION SELECT id FROM one UNION SELECT id FROM two)"""
+
+
+@query(sql("SELECT 'node' AS kind, id, name FROM (SELECT n.id, n.name FROM nodes n JOIN near USING (id) ORDER BY id LIMIT 200)", _AROUND))
+def o06_playbook_relationships(spark, sf_dir):
+    request = playbooks.Request("what is around it", node_ids=("S:2",))
+    return playbooks.run(spark, tables.nodes(spark, sf_dir), tables.edges(spark, sf_dir), request, Chosen("RELATIONSHIPS"))[0].select("kind", "id", "name")
+
+
+@query(sql("SELECT 'symbol' AS kind, id, name FROM (SELECT id, name FROM nodes WHERE contains(lower(name), 'supplier#000000002') ORDER BY (lower(name) <> 'supplier#000000002')::INT, name, id LIMIT 10) UNION ALL SELECT 'node', id, name FROM (SELECT n.id, n.name FROM nodes n JOIN near USING (id) ORDER BY id LIMIT 200)", _AROUND))
+def o06_playbook_understand(spark, sf_dir):
+    request = playbooks.Request("Supplier#000000002", node_ids=("S:2",))
+    return playbooks.run(spark, tables.nodes(spark, sf_dir), tables.edges(spark, sf_dir), request, Chosen("UNDERSTAND"))[0].select("kind", "id", "name")
+
+
 _CONV = "items AS (SELECT conv_id, role, turn, text FROM conversations)"
 
 
@@ -260,12 +321,12 @@ def w03_first_seen(spark, sf_dir):
     return lookup.last_per(c, ["role"], F.col("first_seen").asc())
 
 
-@query(f"WITH {_JOBS} SELECT id, repo, status, mode, attempts, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at FROM jobs WHERE status = 'failed'")
+@query(f"WITH {_JOBS} SELECT id, mode, status, NULL::VARCHAR AS phase, NULL::VARCHAR AS current, NULL::VARCHAR AS total, NULL::VARCHAR AS message, attempts, NULL::VARCHAR AS error, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at, strftime(updated_at, '%Y-%m-%dT%H:%M:%SZ') AS updated_at, NULL::VARCHAR AS finished_at FROM jobs")
 def p22_job_summary(spark, sf_dir):
-    return queue(spark, sf_dir).filter("status = 'failed'").select("id", "repo", "status", "mode", "attempts", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))
+    return jobs.summaries(queue(spark, sf_dir))
 
 
 @query("SELECT event_id AS id, NOT (event_id % 4 = 0 OR event_id % 9 = 0 OR event_id % 10 = 0) AS complete FROM events")
 def o07_completeness(spark, sf_dir):
     i = F.col("event_id")
-    return tables.read(spark, sf_dir, "events").select(i.alias("id"), (~((i % 4 == 0) | (i % 9 == 0) | (i % 10 == 0))).alias("complete"))
+    return tables.read(spark, sf_dir, "events").select(i.alias("id"), playbooks.complete(i % 4 == 0, i % 9 == 0, i % 10 == 0).alias("complete"))

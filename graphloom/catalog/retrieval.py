@@ -106,9 +106,9 @@ def h05_retrieval_mode(spark, sf_dir):
 
 @query(sql("SELECT id, rerank_score FROM (SELECT id, (regexp_extract(id, '[0-9]+')::BIGINT * 7919 % 1009)::INT AS rerank_score FROM fused) ORDER BY rerank_score DESC, id LIMIT 10", _LISTS))
 def h06_rerank(spark, sf_dir):
-    fused = search.fused(lists(spark, sf_dir))
     score = F.regexp_extract("id", "[0-9]+", 0).cast("long") * 7919 % 1009
-    return search.reranked(fused, fused.select("id", score.cast("int").alias("rerank_score")), 10).select("id", "rerank_score")
+    found = hybrid.finished(search.fused(lists(spark, sf_dir)), 10, "thorough", lambda rows, seconds: rows.select("id", score.cast("int").alias("rerank_score")))
+    return found.results.select("id", "rerank_score")
 
 
 _ANSWERS = """answers AS (SELECT user_id AS case_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT AS position, (event_id % 23)::INT - 1 AS index, CASE WHEN event_id % 29 = 0 THEN NULL ELSE value END AS score FROM events),
@@ -134,9 +134,32 @@ def h08_neighbor_expansion(spark, sf_dir):
     return search.neighbors_of_results(results, tables.edges(spark, sf_dir))
 
 
-@query(sql("SELECT source, count(*) AS n, max(rank)::INT AS deepest FROM lists GROUP BY source", _LISTS))
+_MATCHES = """found AS (SELECT 0 AS q, id, row_number() OVER (ORDER BY name, id) AS rank FROM files WHERE contains(lower(name), 'ring') QUALIFY row_number() OVER (ORDER BY name, id) <= 40
+  UNION ALL SELECT 1, id, row_number() OVER (ORDER BY name, id) FROM files WHERE contains(lower(name), 'red') QUALIFY row_number() OVER (ORDER BY name, id) <= 40),
+best AS (SELECT id, string_agg(q::VARCHAR, '+' ORDER BY q) AS queries FROM found GROUP BY id ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 12) DESC, id LIMIT 10)"""
+
+
+@query(sql("SELECT (SELECT string_agg(id || ':' || queries, ',' ORDER BY id) FROM best) AS query_matches, (SELECT count(*) FROM found) AS lexical, 0::BIGINT AS semantic, NULL::VARCHAR AS degraded_stage, false AS timed_out", _MATCHES))
 def h09_search_diagnostics(spark, sf_dir):
-    return lists(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("deepest"))
+    files, found = tables.files(spark, sf_dir), None
+    for k, word in enumerate(("ring", "red")):
+        rows = search.ranked(search.by_name(files, word, 40), F.col("name"), F.col("id")).select(F.lit(k).alias("query_index"), "id", "rank", F.lit("lexical").alias("source"), F.lit(None).cast("double").alias("distance"))
+        found = rows if found is None else found.unionByName(rows)
+    best = hybrid.top(search.merged(search.fused(found, ("query_index",))), 10)
+    out = search.diagnostics(best, found)
+    text = F.transform(F.map_entries("query_matches"), lambda e: F.concat(e["key"], F.lit(":"), F.array_join(e["value"].cast("array<string>"), "+")))
+    return out.select(F.array_join(text, ",").alias("query_matches"), "lexical", "semantic", "degraded_stage", "timed_out")
+
+
+@query(sql("SELECT id, row_number() OVER (ORDER BY round(score, 12) DESC, id)::INT AS rank, 'rerank' AS degraded_stage, 'hybrid' AS mode FROM fused QUALIFY rank <= 10", _LISTS))
+def h06_rerank_failure(spark, sf_dir):
+    """A reranker that fails leaves the head of the fused list."""
+
+    def broken(candidates, seconds):
+        raise RuntimeError("the reranker is away")
+
+    found = hybrid.finished(search.fused(lists(spark, sf_dir)), 10, "thorough", broken)
+    return found.results.select("id", "rank", F.lit(found.degraded_stage).alias("degraded_stage"), F.lit(found.mode).alias("mode"))
 
 
 @query("SELECT 'repository is not indexed' AS degraded_reason, 0::BIGINT AS n")

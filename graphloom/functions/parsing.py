@@ -104,6 +104,8 @@ def _callee(call: ast.Call) -> str | None:
 
 def _recovered(source: str) -> ast.Module:
     """The syntax tree; a top-level statement that isn't Python is read as blank lines, and the rest goes on."""
+    if "\0" in source:
+        raise SyntaxError("a source has no NUL")
     lines = source.split("\n")
     for _ in range(len(lines) + 1):
         try:
@@ -266,7 +268,7 @@ SCANNED: dict[str, Language] = {
             ("impl", r"(?:unsafe\s+)?impl(?:<[^{]*?>)?\s+(?:(?P<bases>[\w:<>, ]+?)\s+for\s+)?(?P<name>\w+)"),
             ("module", _MODS + r"mod\s+(?P<name>\w+)\s*(?=\{)"),
             ("function", _MODS + r"fn\s+(?P<name>\w+)"),
-            ("constant", _MODS + r"(?:const|static)\s+(?:mut\s+)?(?P<name>[A-Z_]\w*)\s*:"),
+            ("variable", _MODS + r"(?:const|static)\s+(?:mut\s+)?(?P<name>[A-Za-z_]\w+)\s*:"),
             ("type_alias", _MODS + r"type\s+(?P<name>\w+)"),
             ("import", _MODS + r"use\s+(?P<name>[^;]+);"),
         ),
@@ -277,7 +279,7 @@ SCANNED: dict[str, Language] = {
         (
             ("class", r"type\s+(?P<name>\w+)\s+(?:struct|interface)\b"),
             ("type_alias", r"type\s+(?P<name>\w+)\s+=?\s*\w"),
-            ("function", r"func\s+(?:\([^)]*\)\s*)?(?P<name>\w+)"),
+            ("function", r"func\s+(?:\((?:\w+\s+)?\*?(?P<owner>\w+)[^)]*\)\s*)?(?P<name>\w+)"),
             ("constant", r"const\s+(?P<name>\w+)"),
             ("variable", r"var\s+(?P<name>\w+)"),
         ),
@@ -299,7 +301,8 @@ SCANNED: dict[str, Language] = {
         (
             ("class", r"(?:defmodule|defprotocol)\s+(?P<name>[\w.]+)"),
             ("impl", r"defimpl\s+(?P<bases>[\w.]+)\s*,\s*for:\s*(?P<name>[\w.]+)"),
-            ("function", r"(?:defp?|defmacrop?)\s+(?P<name>\w+[?!]?)"),
+            ("function", r"defp?\s+(?P<name>\w+[?!]?)"),
+            ("macro", r"defmacrop?\s+(?P<name>\w+[?!]?)"),
             ("import", r"(?:use|import|alias|require)\s+(?P<name>[A-Z][\w.]*)"),
             ("type_alias", r"@typep?\s+(?P<name>\w+)"),
             ("constant", r"@(?P<name>(?!doc\b|moduledoc\b|spec\b|type\b|typep\b|impl\b|callback\b|behaviour\b)\w+)\s+\S"),
@@ -343,6 +346,9 @@ def _uses(path: str) -> list[str]:
     return out
 
 
+# Languages whose capital names are constants, and kinds that nothing contains.
+UPPER = ("typescript", "tsx", "javascript", "jsx", "rust", "bash")
+ALONE = {"rust": ("type_alias",), "swift": ("type_alias", "variable"), "elixir": ("type_alias", "constant")}
 #: What may stand before an opening parenthesis without being called.
 KEYWORDS = frozenset("if for while switch catch return function func fn def defp match guard sizeof typeof await async new else in is as where unless cond case with do super init constructor self".split())
 CALL = re.compile(r"(?P<dot>(?:\.|::|\?\.)\s*)?(?P<name>[A-Za-z_$][\w$]*[?!]?)\s*(?:::)?(?:<[\w\s,:<>]*>)?\(")
@@ -375,10 +381,12 @@ def scanned(source: str, path: str, language: str) -> tuple[list[Entity], list[E
     starts = [0]
     for line in lines:
         starts.append(starts[-1] + len(line) + 1)
-    entities = [Entity("file", path.rsplit("/", 1)[-1], module_name(path), 0, len(lines) - 1, raw_text=source)]
+    entities = [Entity("file", path, module_name(path), 0, len(source.splitlines()), raw_text=f"file: {path}")]
     edges: list[Edge] = []
     if package:
-        entities.append(Entity("module", package[1], module, 0, len(lines) - 1))
+        at = source.count("\n", 0, package.start())
+        entities.append(Entity("module", package[1], module, at, at, package[0], raw_text=package[0], parent=module_name(path)))
+        edges.append(Edge(module_name(path), module, "contains"))
     token = re.compile(rf"(?P<open_>{spec.opens})|(?P<close_>{spec.closes})")
     found = []
     for kind, pattern in spec.declarations:
@@ -422,9 +430,14 @@ def scanned(source: str, path: str, language: str) -> tuple[list[Entity], list[E
                 break
         last = clean.count("\n", 0, min(end, len(clean)))
         raw = source[at : max(end + 1, m.end())]
-        real = {"impl": "class", "function": "method" if held else "function"}.get(kind, kind)
+        owner = groups.get("owner")
+        if owner:  # a receiver's type
+            scope = f"{module}.{owner}"
+        real = {"impl": "class", "macro": "function", "function": "method" if held or owner else "function"}.get(kind, kind)
+        if real == "variable" and language in UPPER and re.fullmatch("[A-Z][A-Z0-9_]*", name):
+            real = "constant"
         for one in _uses(name) if language == "rust" and kind == "import" else [name]:
-            own = one if language == "elixir" and kind == "class" else f"{scope}.import.{one}" if kind == "import" and language != "bash" else f"{scope}.{one}"
+            own = one if language == "elixir" and kind == "class" else f"{module}.import.{one}" if kind == "import" and language != "bash" else f"{scope}.{one}"
             if kind == "impl":
                 own = f"{bases[0]}.{name}" if language == "elixir" and bases else f"{module}.{name}"
                 edges.extend(Edge(name if language == "elixir" else own, b, "implements") for b in bases)
@@ -438,8 +451,10 @@ def scanned(source: str, path: str, language: str) -> tuple[list[Entity], list[E
                     for name_, alone in calls(body[head:] if head >= 0 else "", language):
                         edges.append(Edge(own, f"{module}.{name_}" if language == "go" and alone else name_, "calls"))
                 if kind == "import":
+                    if language != "bash":
+                        edges.append(Edge(module, own, "contains"))
                     edges.append(Edge(module, one, "imports"))
-                elif kind != "type_alias":
+                elif kind not in ALONE.get(language, ()):
                     edges.append(Edge(scope, own, "contains"))
                 if kind == "class":
                     edges.extend(Edge(own, b, "inherits") for b in bases)
@@ -448,14 +463,19 @@ def scanned(source: str, path: str, language: str) -> tuple[list[Entity], list[E
     if language in ("typescript", "tsx", "javascript", "jsx"):
         for m in re.finditer(r"""^\s*import\s+(?:[^'"]*?\sfrom\s+)?['"]([^'"]+)['"]""", source, re.M):
             line = source.count("\n", 0, m.end())
-            entities.append(Entity("import", m[1], f"{module}.import.{m[1]}", line, line, imports=(m[1],), parent=module))
-            edges.append(Edge(module, m[1], "imports"))
+            own = f"{module}.import.{m[1]}"
+            entities.append(Entity("import", m[1], own, line, line, imports=(m[1],), parent=module))
+            edges += [Edge(module, own, "contains"), Edge(module, m[1], "imports")]
     if language == "go":
         _go_members(clean, source, module, entities, edges)
-        for m in re.finditer(r"""^import\s+(?:\w+\s+)?"([^"]+)"|^import\s*\(([^)]*)\)""", source, re.M):
-            for one in [m[1]] if m[1] else re.findall(r'"([^"]+)"', m[2]):
-                entities.append(Entity("import", one, f"{module}.import.{one}", source.count("\n", 0, m.start()), source.count("\n", 0, m.end()), imports=(one,), parent=module))
-                edges.append(Edge(module, one, "imports"))
+        for m in re.finditer(r"""^import\s+(?P<one>(?:[\w.]+\s+)?"[^"]+")|^import\s*\((?P<many>[^)]*)\)""", source, re.M):
+            part = "one" if m["one"] else "many"
+            for spec_ in re.finditer(r'(?:([\w.]+)\s+)?"([^"]+)"', m[part]):
+                # An import is known by its own name here; its entity and both of its edges have that.
+                name, line = spec_[1] or spec_[2].rsplit("/", 1)[-1], source.count("\n", 0, m.start(part) + spec_.start())
+                own = f"{module_name(path)}.import.{name}"
+                entities.append(Entity("import", name, own, line, line, spec_[0], imports=(spec_[2],), parent=module))
+                edges += [Edge(module, own, "contains"), Edge(module, own, "imports")]
     return entities, edges
 
 
@@ -484,12 +504,11 @@ def _go_members(clean: str, source: str, module: str, entities: list[Entity], ed
 def css(source: str, path: str) -> tuple[list[Entity], list[Edge]]:
     """Selectors of top-level rules and of at-rules' bodies, each once; keyframes, custom properties, imports."""
     clean, module = blanked(source, r"/\*.*?\*/"), module_name(path)
-    lines = source.count("\n")
-    entities, edges = [Entity("file", path.rsplit("/", 1)[-1], module, 0, lines, raw_text=source)], []
+    entities, edges = [Entity("file", path, module, 0, len(source.splitlines()), raw_text=f"file: {path}")], []
     seen: set[str] = set()
 
     def add(kind: str, name: str, at: int, end: int) -> None:
-        entities.append(Entity(kind, name, f"{module}.{name}", source.count("\n", 0, at), source.count("\n", 0, end), raw_text=source[at:end]))
+        entities.append(Entity(kind, name, f"{module}.{name}", source.count("\n", 0, at), source.count("\n", 0, end), raw_text=cut(source[at:end], SMALL_BYTES), parent=module))
         edges.append(Edge(module, f"{module}.{name}", "contains"))
 
     def walk(lo: int, hi: int) -> None:
@@ -501,7 +520,7 @@ def css(source: str, path: str) -> tuple[list[Entity], list[Edge]]:
             head = clean[at:p].strip()
             if m[0] == ";":
                 if i := re.match(r"@import\s+(?:url\()?\s*['\"]?([^'\")\s;]+)", head):
-                    entities.append(Entity("import", i[1], f"{module}.import.{i[1]}", source.count("\n", 0, p), source.count("\n", 0, p)))
+                    entities.append(Entity("import", i[1], f"{module}.import.{i[1]}", source.count("\n", 0, p), source.count("\n", 0, p), imports=(i[1],), parent=module))
                     edges.append(Edge(module, i[1], "imports"))
                 at = p + 1
                 continue
@@ -515,10 +534,9 @@ def css(source: str, path: str) -> tuple[list[Entity], list[Edge]]:
                 walk(p + 1, end - 1)
             else:
                 for s in re.findall(r"[.#][A-Za-z_-][\w-]*", re.sub(r"\[[^\]]*\]", "", head)):
-                    name = s[1:] if s[0] == "." else s
-                    if name not in seen:
-                        seen.add(name)
-                        add("class", name, at, end)
+                    if s not in seen:
+                        seen.add(s)
+                        add("class", s, at, end)
                 own = re.sub(r"\{[^{}]*\}", "", clean[p + 1 : end - 1])
                 for v in re.finditer(r"(?:^|[;\s])(--[\w-]+)\s*:", own):
                     add("variable", v[1], p, end)

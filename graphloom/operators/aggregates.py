@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SLOW_MS, CRITICAL_MS = 100.0, 500.0
 METHODS = ("click", "error", "purchase", "signup", "view")
 RETENTION_DAYS = 30
+#: Operations that are retained.
+CAPACITY = 2000
 
 
 def count_by_type(nodes: DataFrame, repo: int | None = None) -> DataFrame:
@@ -54,9 +56,10 @@ def retained(hours: DataFrame, now: Column, days: int = RETENTION_DAYS, rows: in
     return hours.filter(F.col("hour") >= now - F.expr(f"interval {days} days")).orderBy(F.desc("hour"), F.desc("id")).limit(rows)
 
 
-def report(hours: DataFrame) -> DataFrame:
-    """Hourly rows with a total of all (null hour and method) in one pass."""
-    return hours.rollup("hour", "method").agg(F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), F.max("max_ms").alias("max_ms"), F.grouping_id().alias("level")).filter("level <> 1")
+def report(hours: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """Hourly rows of the last `days` (from 1 to the retention) with a total of all (null hour and method) in one pass."""
+    days = max(1, min(days, RETENTION_DAYS))
+    return hours.filter(F.col("hour") >= now - F.expr(f"interval {days} days")).rollup("hour", "method").agg(F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), F.max("max_ms").alias("max_ms"), F.grouping_id().alias("level")).filter("level <> 1")
 
 
 def operation_summaries(ops: DataFrame) -> DataFrame:
@@ -72,14 +75,35 @@ def operation_summaries(ops: DataFrame) -> DataFrame:
     )
 
 
-def snapshot(ops: DataFrame, backend: str | None = None, failed: bool | None = None, min_ms: float = 0.0, limit: int = 200) -> DataFrame:
-    """The last `limit` operations that match, oldest first."""
+def _matching(ops: DataFrame, backend: str | None, failed: bool | None, min_ms: float) -> DataFrame:
     rows = ops.filter(F.col("duration_ms") >= min_ms)
     if backend is not None:
         rows = rows.filter(F.col("backend") == backend)
     if failed is not None:
         rows = rows.filter(F.col("error").isNotNull() if failed else F.col("error").isNull())
-    return rows.orderBy(F.desc("id")).limit(limit).orderBy("id")
+    return rows
+
+
+def ring(ops: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The last operations, as many as are retained."""
+    return ops.orderBy(F.desc("id")).limit(capacity)
+
+
+def snapshot(ops: DataFrame, backend: str | None = None, failed: bool | None = None, min_ms: float = 0.0, limit: int = 200) -> DataFrame:
+    """Of the retained operations the last `limit` that match, oldest first."""
+    return _matching(ring(ops), backend, failed, min_ms).orderBy(F.desc("id")).limit(min(limit, CAPACITY)).orderBy("id")
+
+
+def snapshot_counts(ops: DataFrame, backend: str | None = None, failed: bool | None = None, min_ms: float = 0.0) -> DataFrame:
+    """One row: operations retained, dropped from the ring, its capacity, and how many of the retained match."""
+    kept = ring(ops)
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    out = n(ops, "all").join(F.broadcast(n(kept, "retained")), F.lit(True)).join(F.broadcast(n(_matching(kept, backend, failed, min_ms), "matching")), F.lit(True))
+    return out.select("retained", (F.col("all") - F.col("retained")).alias("dropped"), F.lit(CAPACITY).alias("capacity"), "matching")
+
+
+def status_counts(ops: DataFrame) -> DataFrame:
+    return ops.groupBy(F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def largest_of_duplicates(repos: DataFrame) -> DataFrame:
@@ -88,6 +112,17 @@ def largest_of_duplicates(repos: DataFrame) -> DataFrame:
     return by
 
 
+def direct_children(files: DataFrame, sample: int = 64) -> DataFrame:
+    """folders() over each folder's own files only, as the rule for a single file looks at them."""
+    from graphloom.operators.discovery import generated_name
+
+    rows = files.filter(F.contains("path", F.lit("/"))).select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "path", "size")
+    total = rows.groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("folder").orderBy("path"))).filter(F.col("nth") <= sample)
+    share = first.groupBy("folder").agg(F.avg(generated_name(F.col("path")).cast("double")).alias("generated"))
+    return total.join(share, "folder")
+
+
 def folders(files: DataFrame, sample: int = 64) -> DataFrame:
     """By folder of any level: files, bytes and the share of generated names among its first files by path.
 

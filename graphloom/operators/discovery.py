@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,67 @@ def pruned_folders(folders: DataFrame, max_files: int = MAX_FILES, max_bytes: in
     return folders.filter(large & (named | (F.col("generated") >= GENERATED_SHARE))).select("folder")
 
 
+def generated_around(paths: DataFrame, children: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Paths below a folder that is too large by its own files alone and looks generated: the rule for a single file.
+
+    children: folders by their direct children. Unlike pruned_folders() a folder's files count in it only.
+    """
+    from graphloom.operators.lookup import ancestors
+
+    large = pruned_folders(children, max_files, max_bytes)
+    return paths.select("path", F.explode(ancestors(F.col("path"))).alias("folder")).filter("folder <> path").join(large, "folder", "left_semi").select("path").distinct()
+
+
+def ignore_rules(text: str) -> list[tuple[str, bool, bool]]:
+    """An ignore file's rules in order: (pattern of whole paths, whether it is an exception, whether only folders match)."""
+    out = []
+    for line in text.splitlines():
+        rule = line.rstrip() if not line.endswith("\\ ") else line
+        if not rule or rule.startswith("#"):
+            continue
+        exception = rule.startswith("!")
+        rule = rule[1:] if exception else rule.removeprefix("\\")
+        folder = rule.endswith("/")
+        rule = rule.rstrip("/")
+        anchored = "/" in rule
+        rule = rule.removeprefix("/")
+        body, k = "", 0
+        while k < len(rule):
+            if rule.startswith("**/", k) and (k == 0 or rule[k - 1] == "/"):
+                body, k = body + "(?:.*/)?", k + 3
+            elif rule[k:] == "**" and (k == 0 or rule[k - 1] == "/"):
+                body, k = body + ".+", k + 2
+            elif rule[k] == "*":
+                body, k = body + "[^/]*", k + 1
+            elif rule[k] == "?":
+                body, k = body + "[^/]", k + 1
+            elif rule[k] == "[" and (end := rule.find("]", k + 2)) > 0:
+                inner = rule[k + 1 : end]
+                body, k = body + "[" + ("^" + inner[1:] if inner[0] in "!^" else inner) + "]", end + 1
+            elif rule[k] == "\\" and k + 1 < len(rule):
+                body, k = body + re.escape(rule[k + 1]), k + 2
+            else:
+                body, k = body + re.escape(rule[k]), k + 1
+        if body:
+            out.append((f"^{'' if anchored else '(?:.*/)?'}{body}$", exception, folder))
+    return out
+
+
+def ignored(path: Column, rules: list[tuple[str, bool, bool]]) -> Column:
+    """Whether a path is ignored: the last rule that matches decides; what is in an ignored folder can't be excepted."""
+    from graphloom.operators.lookup import ancestors
+
+    def decided(at: Column, folders: bool) -> Column:
+        out = F.lit(False)
+        for pattern, exception, folder in rules:
+            if folders or not folder:
+                out = F.when(at.rlike(pattern), F.lit(not exception)).otherwise(out)
+        return out
+
+    above = F.filter(ancestors(path), lambda a: a != path)
+    return F.exists(above, lambda a: decided(a, True)) | decided(path, False)
+
+
 def outside(files: DataFrame, folders: DataFrame) -> DataFrame:
     """Files that are in none of the folders, at any depth: an anti-join over their exploded ancestors."""
     from graphloom.operators.lookup import ancestors

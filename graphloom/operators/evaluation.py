@@ -55,17 +55,41 @@ def nearest_rank(column: str, share: float) -> Column:
     return F.expr(f"percentile_disc({share}) within group (order by {column})")
 
 
+# Kinds of evidence, in the order in which they rank.
+CATEGORIES = ("symbols", "files", "references", "relationships", "test_targets")
+
+
 def identities(evidence: DataFrame) -> DataFrame:
-    """(case_id, identity, rank): what evidence (case_id, rank, file_path, qualified_name, id) is known by, once at its first rank."""
-    return evidence.groupBy("case_id", F.coalesce("file_path", "qualified_name", "id").alias("identity")).agg(F.min("rank").alias("rank"))
+    """(case_id, identity, rank) of evidence (case_id, category, rank, file_path, metadata: map, qualified_name, id).
+
+    An item is known by its own file path, its metadata's, its qualified name or its id, the first that isn't empty. Items
+    rank by category and then by their rank in it; an identity is there once, at its first place.
+    """
+    full = lambda c: F.nullif(c, F.lit(""))
+    known = F.coalesce(full(F.col("file_path")), full(F.col("metadata").getItem("file_path")), full(F.col("qualified_name")), full(F.col("id")))
+    place = F.struct(F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("category")).alias("category"), "rank")
+    first = evidence.select("case_id", known.alias("identity"), place.alias("place")).filter("identity is not null").groupBy("case_id", "identity").agg(F.min("place").alias("place"))
+    return first.select("case_id", "identity", F.row_number().over(Window.partitionBy("case_id").orderBy("place", "identity")).alias("rank"))
 
 
-def unsupported(identities: DataFrame, judgments: DataFrame, k: int) -> DataFrame:
-    """By case: the share of the first k different identities (rank, identity) that no judgment has."""
+def unified(identities: DataFrame, judgments: DataFrame, k: int) -> DataFrame:
+    """By case, over its first k different identities (rank, identity) against judgments (case_id, identity, grade):
+    recall, reciprocal rank within k, nDCG at k, and the share that no judgment has."""
     first = identities.groupBy("case_id", "identity").agg(F.min("rank").alias("rank"))
-    first = first.withColumn("place", F.row_number().over(Window.partitionBy("case_id").orderBy("rank"))).filter(F.col("place") <= k)
-    known = judgments.select("case_id", "identity").distinct().withColumn("known", F.lit(1))
-    return first.join(known, ["case_id", "identity"], "left").groupBy("case_id").agg(F.avg(F.col("known").isNull().cast("double")).alias("unsupported_rate"), F.min(F.when(F.col("known") == 1, F.col("place"))).alias("first"))
+    first = first.withColumn("place", F.row_number().over(Window.partitionBy("case_id").orderBy("rank", "identity"))).filter(F.col("place") <= k)
+    known = judgments.groupBy("case_id", "identity").agg(F.max("grade").alias("grade")).filter("grade > 0")
+    hits = first.join(known, ["case_id", "identity"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
+    hit = F.col("grade") > 0
+    by = hits.groupBy("case_id").agg(
+        F.sum(hit.cast("long")).alias("hits"),
+        F.coalesce(1.0 / F.min(F.when(hit, F.col("place"))), F.lit(0.0)).alias("reciprocal_rank"),
+        F.sum(gain(F.col("grade")) / F.log2(F.col("place") + 1)).alias("dcg"),
+        F.avg((~hit).cast("double")).alias("unsupported_rate"),
+    )
+    order = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("grade"), "identity"))
+    ideal = known.withColumn("place", order).groupBy("case_id").agg(F.count(F.lit(1)).alias("relevant"), F.sum(F.when(F.col("place") <= k, gain(F.col("grade")) / F.log2(F.col("place") + 1)).otherwise(0.0)).alias("ideal"))
+    zero = F.lit(0.0)
+    return ideal.join(by, "case_id", "left").select("case_id", F.coalesce(F.col("hits") / F.col("relevant"), zero).alias("recall"), F.coalesce("reciprocal_rank", zero).alias("reciprocal_rank"), F.coalesce(F.col("dcg") / F.col("ideal"), zero).alias("ndcg"), F.coalesce("unsupported_rate", zero).alias("unsupported_rate"))
 
 
 def routing(observations: DataFrame) -> DataFrame:

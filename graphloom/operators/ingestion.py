@@ -123,11 +123,11 @@ def chunks(df: DataFrame, order: Column, size: int, by: tuple[str, ...] = ()) ->
     return df.withColumn("chunk", F.floor((nth - 1) / size).cast("int"))
 
 
-def result_counts(found: DataFrame, todo: DataFrame, gone: DataFrame, entities: DataFrame, parsed_edges: DataFrame, kept_edges: DataFrame) -> DataFrame:
+def result_counts(found: DataFrame, todo: DataFrame, gone: DataFrame, failed: DataFrame, entities: DataFrame, parsed_edges: DataFrame, kept_edges: DataFrame, vectors: DataFrame) -> DataFrame:
     """One row of an ingestion's counters; dropped edges count repeats too."""
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     out = n(found, "discovered")
-    for df, name in ((todo, "changed"), (gone, "deleted"), (entities, "entities"), (parsed_edges, "parsed"), (kept_edges, "edges")):
+    for df, name in ((todo, "changed"), (gone, "deleted"), (failed, "failed"), (entities, "entities"), (parsed_edges, "parsed"), (kept_edges, "edges"), (vectors, "embeddings")):
         out = out.join(F.broadcast(n(df, name)), F.lit(True))
     return out.withColumn("dropped", F.col("parsed") - F.col("edges")).drop("parsed")
 

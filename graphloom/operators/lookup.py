@@ -10,6 +10,8 @@ NODE_TYPES = ("file", "module", "class", "function", "method", "variable", "cons
 SYMBOL_TYPES = ("class", "function", "method", "variable", "constant", "type_alias")
 RELATIONSHIPS = ("contains", "calls", "imports", "inherits", "implements", "references", "authored_by", "modifies")
 SYMBOL_LIMIT = 200
+#: Nodes span 2^MAX_LEVEL lines at most.
+MAX_LEVEL = 31
 
 
 def scoped(nodes: DataFrame, kind: str | None = None, repo: int | None = None) -> DataFrame:
@@ -45,8 +47,24 @@ def without_embedding(nodes: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def first_by_qualified_name(nodes: DataFrame, names: DataFrame) -> DataFrame:
-    """(qualified_name, id): the least id of each asked name."""
-    return nodes.join(names.select("qualified_name").distinct(), "qualified_name", "left_semi").groupBy("qualified_name").agg(F.min("id").alias("id"))
+    """(repo_id, qualified_name, id): the least id of each asked name (repo_id, qualified_name) in its repository."""
+    keys = ["repo_id", "qualified_name"]
+    return nodes.join(names.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.min("id").alias("id"))
+
+
+def scopes(repos: DataFrame, paths: DataFrame) -> DataFrame:
+    """Repositories (id, path) with those of paths (path) that are new, numbered on in path order after the largest id."""
+    new = paths.select("path").distinct().join(repos, "path", "left_anti")
+    last = repos.agg(F.coalesce(F.max("id"), F.lit(-1).cast("long")).alias("last"))
+    nth = F.row_number().over(Window.orderBy("path"))  # repositories, not files
+    return repos.unionByName(new.withColumn("nth", nth).join(F.broadcast(last), F.lit(True)).select((F.col("last") + F.col("nth")).alias("id"), "path"))
+
+
+def resolved_scopes(repos: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (path or id) with both: a path's id, an id's path, null where there is none."""
+    by_path = asked.filter("path is not null").select("path").join(repos, "path", "left").select("id", "path")
+    by_id = asked.filter("path is null").select("id").join(repos, "id", "left").select("id", "path")
+    return by_path.unionByName(by_id)
 
 
 def file_paths(nodes: DataFrame) -> DataFrame:
@@ -68,10 +86,16 @@ def span() -> Column:
 def at_positions(nodes: DataFrame, positions: DataFrame) -> DataFrame:
     """For each position (file_path, line) the node with the narrowest line range that holds it; of equal ones the least id.
 
-    Rows meet by file, so each position sees the nodes of its own file only.
+    Rows meet by file and by a block of lines, whose size is the power of two that holds a node's span: a node is in at
+    most two blocks of its size, and a position asks in one block of each size that there is. So a file of many nodes and
+    many positions compares few of them with each other.
     """
-    inside = F.col("line").between(F.coalesce("start_line", F.lit(-1)), F.coalesce("end_line", F.lit(-1)))
-    met = positions.distinct().join(nodes, "file_path").filter(inside)
+    start, end = F.coalesce("start_line", F.lit(-1)).cast("long"), F.coalesce("end_line", F.lit(-1)).cast("long")
+    own = nodes.select("file_path", "id", "name", "start_line", "end_line", start.alias("from"), end.alias("to")).filter(F.col("file_path").isNotNull() & (F.col("from") <= F.col("to")))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("to") - F.col("from") + 1))).cast("int")
+    own = own.withColumn("level", level).withColumn("block", F.explode(F.array_distinct(F.array(F.expr("shiftright(`from`, level)"), F.expr("shiftright(`to`, level)")))))
+    asked = positions.select("file_path", "line").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(MAX_LEVEL)))).withColumn("block", F.expr("shiftright(cast(line as bigint), level)"))
+    met = asked.join(own, ["file_path", "level", "block"]).filter(F.col("line").between(F.col("from"), F.col("to")))
     best = met.groupBy("file_path", "line").agg(F.min_by(F.struct("id", "name", "start_line", "end_line"), F.struct(span(), "id")).alias("n"))
     return best.select("file_path", "line", "n.*")
 

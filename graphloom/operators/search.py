@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import COMPACT
+
 # Limits and the constant of reciprocal-rank fusion.
 MAX_LIMIT, MIN_CANDIDATES, FACTOR, RRF = 200, 20, 4, 60
 MAX_QUERIES = 5
@@ -130,3 +132,21 @@ def neighbors_of_results(results: DataFrame, edges: DataFrame, cap: int = 20) ->
     out = out.withColumn("nth", F.row_number().over(Window.partitionBy("source_id").orderBy("target_id", "relationship"))).filter(F.col("nth") <= cap)
     out = out.join(results.select(F.col("id").alias("target_id")), "target_id", "left_anti")
     return out.groupBy(F.col("target_id").alias("id")).agg(F.min("rank").alias("found_by"))
+
+
+def compact(nodes: DataFrame) -> DataFrame:
+    """What a result shows of a node: ten columns, its content cut; those the nodes lack are null."""
+    has = set(nodes.columns)
+    kinds = {"start_line": "long", "end_line": "long", "distance": "double"}
+    shown = ("id", "type", "name", "qualified_name", "file_path", "start_line", "end_line", "signature", "content", "distance")
+    own = lambda c: F.substring(c, 1, COMPACT) if c == "content" else F.col(c)
+    return nodes.select(*[(own(c) if c in has else F.lit(None).cast(kinds.get(c, "string"))).alias(c) for c in shown])
+
+
+def diagnostics(results: DataFrame, lists: DataFrame, stage: str | None = None, reason: str | None = None, timed_out: bool = False) -> DataFrame:
+    """One row about a search: which queries match each result (id, query_indexes), how many candidates each kind of list
+    gave, and what is degraded."""
+    matches = results.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", F.array_sort("query_indexes"))))).alias("query_matches"))  # a page of results
+    kinds = lists.agg(F.count(F.when(F.col("source") == "lexical", 1)).alias("lexical"), F.count(F.when(F.col("source") == "semantic", 1)).alias("semantic"))
+    text = lambda x: F.lit(x).cast("string")
+    return matches.join(F.broadcast(kinds), F.lit(True)).withColumns({"degraded_stage": text(stage), "degraded_reason": text(reason), "timed_out": F.lit(timed_out)})

@@ -144,8 +144,51 @@ def test_python_quirks():
     assert next(e.complexity for e in entities if e.name == "f") == 4
 
 
+def test_python_by_the_letter():
+    source = """from __future__ import annotations
+from . import x
+from .m import y, z
+import os, sys as s
+a, b = pair
+x = yy
+class K(Base, m.N, Generic[T], metaclass=M):
+    '''Doc.'''
+    import inner
+    @deco(1)
+    def go(self, x: int = (1, ")")[0]) -> "K":
+        pass
+        return [helper(i) for i in x if i for j in k] and self.run(len(x)) or foo()(1)
+
+def broken(:
+    pass
+
+async def f():
+    match 1:
+        case 1: pass
+"""
+    _, entities, edges = parsing.parse(source, "src/p/q.py")
+    got = {(e.kind, e.qualified_name.removeprefix("src.p.q").lstrip(".")) for e in entities}
+    assert got == {("file", ""), ("import", "import.os"), ("import", "import.y.z"), ("import", "import.inner"), ("variable", "pair"), ("variable", "yy"), ("class", "K"), ("method", "K.go"), ("function", "f")}
+    go, k, f = (next(e for e in entities if e.name == n) for n in ("go", "K", "f"))
+    assert (go.signature, go.complexity, f.complexity) == ('(self, x: int = (1, ")")[0]) -> "K"', 4, 1)
+    assert (k.bases, k.docstring, k.signature, k.parent) == (("Base", "m.N"), "Doc.", "", "src.p.q")
+    assert sorted(e.target for e in edges if e.relationship == "calls") == ["foo", "helper", "run"]
+    assert ("src.p.q", "src.p.q.import.os", "contains") in set(edges) and next(e for e in entities if e.name == "os").imports == ("os",)
+
+
+def test_calls_and_members_of_scanned_languages():
+    calls = lambda path, source: sorted((e.source.rsplit(".", 1)[-1], e.target) for e in parsing.parse(source, path)[2] if e.relationship == "calls")
+    assert calls("a.ts", "function f(x) {\n  if (x) { g(x); }\n  console.log(h());\n  return new Thing(a.b.c(1));\n}\n") == [("f", "Thing"), ("f", "c"), ("f", "g"), ("f", "h")]
+    assert calls("a.rs", "fn f() {\n    println!(\"x\");\n    let a = Some(g());\n    T::make(a.go());\n}\n") == [("f", "g"), ("f", "go"), ("f", "make")]
+    assert calls("p/a.go", "package main\n\nfunc f() {\n\tg()\n\tx.H(len(y))\n}\n") == [("f", "H"), ("f", "p.main.g")]
+    assert calls("a.ex", "defmodule M do\n  def f(x) do\n    if x do\n      Other.go(x)\n    end\n    run(x)\n  end\nend\n") == [("f", "go"), ("f", "run")]
+    _, entities, edges = parsing.parse("package m\n\ntype S struct {\n\tBase\n\tA, B int\n}\n\ntype R interface {\n\tio.Closer\n\tRead(p []byte) int\n}\n\nfunc (s *S) Save() {}\n", "d/a.go")
+    assert {("variable", "d.m.S.A"), ("variable", "d.m.S.B"), ("method", "d.m.R.Read"), ("method", "d.m.S.Save")} <= {(e.kind, e.qualified_name) for e in entities}
+    assert {("d.m.S", "Base", "inherits"), ("d.m.R", "Closer", "inherits"), ("d.a", "d.m", "contains")} <= set(edges)
+
+
 def test_parse_failure_is_a_row(spark):
-    files = spark.createDataFrame([("a.py", "def ("), ("b.py", "x1 = 1"), ("c.unknown", "?")], "path string, content string")
+    files = spark.createDataFrame([("a.py", "y1 = 2\0"), ("b.py", "x1 = 1"), ("c.unknown", "?")], "path string, content string")
     found = parsing.parse_files(files).select("file", "kind", "error").collect()
     assert sorted(map(tuple, found), key=str) == sorted([("a.py", "error", "SyntaxError"), ("b.py", "file", None), ("b.py", "variable", None)], key=str)
 
@@ -279,3 +322,31 @@ def test_inputs_too_long_for_a_request_are_error_rows(spark):
     rows = catalog.QUERIES["w08_request_batches"](spark, sf_dir).collect()
     assert {r["position"]: r["characters"] for r in rows} == lengths
     assert [r["characters"] > 120_000 for r in rows] == [r["error"] is not None for r in rows]
+
+
+def test_ignore_rules(spark):
+    rules = discovery.ignore_rules("# c\n*.log\n!keep.log\n/build/\ndocs/**/x.txt\na?[bc].py\nfoo/\n!foo/in.py\n")
+    rows = [("a.log", True), ("d/keep.log", False), ("build/x", True), ("src/build/x", False), ("docs/x.txt", True), ("docs/a/b/x.txt", True), ("a1b.py", True), ("q/a1d.py", False), ("foo/in.py", True), ("foo", False)]
+    found = spark.createDataFrame(rows, "path string, expected boolean").withColumn("got", discovery.ignored(F.col("path"), rules)).collect()
+    assert [r for r in found if r["got"] != r["expected"]] == []
+
+
+def test_work_tree(spark, tmp_path):
+    from graphloom.sources import snapshots
+
+    (tmp_path / "a").mkdir()
+    for name, text in (("a/x.py", "x"), ("a/y.log", "y"), ("z.txt", "z"), (".gitignore", "*.log\n")):
+        (tmp_path / name).write_text(text)
+    found = snapshots.work_tree(spark, str(tmp_path)).select("path", "size").collect()
+    assert sorted(map(tuple, found)) == [(".gitignore", 6), ("a/x.py", 1), ("z.txt", 1)]
+
+
+def test_answers_within_their_time(spark):
+    nodes = spark.createDataFrame([(f"n{k}", "function", f"load{k}", f"f{k}.py", 1, 2, 0) for k in range(3)], "id string, type string, name string, file_path string, start_line long, end_line long, repo_id long")
+    edges = spark.createDataFrame([("n0", "n1", "calls", 1.0)], EDGE)
+    good = playbooks.answer(spark, nodes, edges, playbooks.Request("load", mode="thorough"))
+    assert good.complete and good.rows.count() == 3
+    chosen = playbooks.Choice("m", lambda request, able: {"model": "m", "choice": "INVENTORY", "confidence": 0.7, "probabilities": {p: 1 / len(able) for p in able}})
+    assert playbooks.answer(spark, nodes, edges, playbooks.Request("load", mode="thorough"), chosen).decision.playbook == "INVENTORY"
+    wrong = playbooks.Choice("other", lambda request, able: {"model": "m", "choice": "INVENTORY", "confidence": 0.7, "probabilities": {p: 1 / len(able) for p in able}})
+    assert playbooks.answer(spark, nodes, edges, playbooks.Request("load", mode="thorough"), wrong).fallback
