@@ -42,6 +42,8 @@ LONG = 40
 #: Members that one task compares with as many others, and bytes of their texts.
 BLOCK = 1024
 BLOCK_BYTES = 4 << 20
+#: A broadcast map has 2^BITS bits in 2^(BITS - 6) rows at most.
+BITS = 24
 
 
 def distinct(values: np.ndarray) -> np.ndarray:
@@ -347,6 +349,16 @@ def candidates(lists: DataFrame, reps: DataFrame, k: int, least: int) -> DataFra
     return stash(dealt.mapInArrow(meet(k, least), "a long, b long").distinct(), "candidates")
 
 
+def hinted(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """texts without most rows that no member (doc_id, tag) has, before they are shuffled: a map of 2^BITS bits, broadcast
+    in words of 64. The more members, the more rows pass; the join that follows decides."""
+    place = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(1 << BITS))
+    word, bit = F.shiftright(place, 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id, tag), {1 << BITS}) % 64 as int))")
+    bits = stash(members.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")), "bits-of-members")
+    own = texts.withColumns({"word": word, "bit": bit})
+    return own.join(F.broadcast(bits), (own["word"] == bits["word"]) & (F.col("bits").bitwiseAND(F.col("bit")) != 0), "left_semi").select(*texts.columns)
+
+
 def verified(clusters: DataFrame, reps: DataFrame, texts: DataFrame, size: int, least: int) -> DataFrame:
     """Links (a, b) whose components are those of all linked pairs within the clusters (node, root)."""
     members = clusters.union(clusters.select("root", "root")).distinct().join(reps.select("node", "doc_id", "tag", "n_bytes"), "node")
@@ -354,7 +366,7 @@ def verified(clusters: DataFrame, reps: DataFrame, texts: DataFrame, size: int,
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).alias("blocks"))
     sizes = stash(sizes, "sizes-of-clusters")
     # Rows that share id and tag are equal; one of them is enough.
-    own = texts.join(members.drop("n_bytes"), ["doc_id", "tag"]).dropDuplicates(["node"]).select("node", "root", F.encode("text", "UTF-8").alias("text"))
+    own = hinted(texts, members).join(members.drop("n_bytes"), ["doc_id", "tag"]).dropDuplicates(["node"]).select("node", "root", F.encode("text", "UTF-8").alias("text"))
     dealt = together(stash(own, "texts-of-clusters").join(sizes, "root"), "root", F.col("blocks"), "text")
     return stash(dealt.mapInArrow(decide(size, least), "a long, b long").distinct(), "links")
 
@@ -422,9 +434,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, k: int = K)
     texts = tagged(docs)
     every = stash(sketched(texts, size, k), "sketches")
     real = every.filter("n_shingles > 0 and doc_id is not null")
-    classes = stash(real.groupBy("content").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")).withColumn("node", F.monotonically_increasing_id()), "classes")
-    reps = real.join(classes.select(F.col("content").alias("of"), "rep", "node"), (F.col("content") == F.col("of")) & (F.col("doc_id") == F.col("rep"))).select("node", "doc_id", "tag", "n_bytes", "n_shingles", "sketch")
-    reps = stash(reps.dropDuplicates(["node"]), "representatives")
+    row = F.struct("doc_id", "tag", "n_bytes", "n_shingles", "sketch")
+    nodes = real.groupBy("content").agg(F.min(row).alias("r"), F.count(F.lit(1)).alias("size"))
+    nodes = stash(nodes.select("content", "size", "r.*").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    classes = nodes.select("content", "size", "node", F.col("doc_id").alias("rep"))
+    reps = nodes.select("node", "doc_id", "tag", "n_bytes", "n_shingles", "sketch")
     # Values on long lists, and whom they belong to.
     values = reps.select("node", F.explode("sketch").alias("value"))
     often = stash(values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LONG).select("value"), "common-values")
