@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ MAX_LIMIT, MIN_CANDIDATES, FACTOR, RRF = 200, 20, 4, 60
 MAX_QUERIES = 5
 # Distances that are equal so far are ties.
 DIGITS = 9
+#: Vectors that are compared with as many others at once.
+BLOCK = 512
 
 
 def candidates(limit: int) -> int:
@@ -66,15 +72,42 @@ def by_vector(embeddings: DataFrame, query: list[float], limit: int, metric: str
     return embeddings.withColumn("distance", distance).orderBy("distance", "node_id").limit(limit)
 
 
+def packed(rows: DataFrame, key: str, vector: str, size: int = BLOCK) -> DataFrame:
+    """Rows (key, vector) as blocks of up to `size`: keys, and the vectors scaled to length 1 as one run of doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                m = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                m /= np.sqrt((m * m).sum(axis=1, keepdims=True))
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([m.tobytes()], pa.binary())], names=[f"{key}s", vector])
+
+    kind = dict(rows.dtypes)[key]
+    return rows.select(key, vector).mapInArrow(run, f"{key}s array<{kind}>, {vector} binary")
+
+
 def by_vectors(embeddings: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """For each query (query_index, query) its `limit` nearest: rank, distance. Ties (to 9 digits) go by id.
 
-    Partitions of queries meet partitions of rows, neither side need be small; a task hands on `limit` rows a query.
+    Blocks of queries meet blocks of rows, neither side need be small; of each two blocks `limit` rows a query go on.
     """
-    rows = embeddings.select("node_id", "vector", F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("length"))
-    asked = queries.select("query_index", "query", F.sqrt(dot(F.col("query"), F.col("query"))).alias("query_length"))
-    distance = 1 - dot(F.col("vector"), F.col("query")) / (F.col("length") * F.col("query_length"))
-    near = rows.crossJoin(asked).select("query_index", distance.alias("distance"), "node_id")
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, rows, asked, wanted in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                v, q = (np.frombuffer(x, np.float64).reshape(n, -1) for x, n in ((rows, len(ids)), (wanted, len(asked))))
+                distance = 1 - q @ v.T
+                name = np.array(ids, dtype=object)
+                place = np.argsort(np.argsort(name, kind="stable"), kind="stable")
+                near = np.round(distance, DIGITS)
+                order = np.lexsort((np.broadcast_to(place, near.shape), near), axis=1)[:, :limit]
+                n = order.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(asked), n)), pa.array(np.take_along_axis(distance, order, 1).ravel()), pa.array(name[order.ravel()].tolist(), pa.string())], names=["query_index", "distance", "node_id"])
+
+    kind = dict(queries.dtypes)["query_index"]
+    blocks = packed(embeddings, "node_id", "vector").crossJoin(packed(queries, "query_index", "query"))  # of blocks, not of rows
+    near = blocks.mapInArrow(nearest, f"query_index {kind}, distance double, node_id string")
     by = Window.partitionBy("query_index").orderBy(F.round("distance", DIGITS), "node_id")
     return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit)
 

@@ -305,7 +305,7 @@ def test_many_queries_keep_ties_by_id_and_few_rows_a_task(spark):
     assert sorted((r["query_index"], r["rank"], r["node_id"]) for r in found) == [(q, k + 1, f"n{q + 11 * k:03d}") for q in range(11) for k in range(4)]
     sf_dir = "/root/testdata/sf0.1"
     asked = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id % 50 = 0").count()
-    assert catalog.QUERIES["v02_every_fiftieth_vector"](spark, sf_dir).count() == 8 * asked
+    assert catalog.QUERIES["v02_many_vectors"](spark, sf_dir).count() == 8 * asked
 
 
 def test_inputs_too_long_for_a_request_are_error_rows(spark):
