@@ -119,6 +119,16 @@ def leveled(docs: DataFrame) -> DataFrame:
     return docs.select("*", domain(source).alias(own("domain")), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias(own("lang")), source.alias(own("source")))
 
 
+def counted(named: DataFrame) -> DataFrame:
+    """Of leveled rows: doc_id, the leaf's names and n_tokens, written once. The texts are read for this only."""
+    return stash(named.select("doc_id", *[F.col(own(c)).alias(c) for c in LEVELS], tokens().alias("n_tokens")), "mix-rows")
+
+
+def copies_of(whole: str, cut: str, seed: str) -> Column:
+    """How many epochs of its leaf have a row."""
+    return F.col(whole) + F.coalesce(order(F.col(whole), seed) <= F.col(cut), F.lit(False)).cast("int")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED, share=SHARE, copies_as: str = "copies") -> DataFrame:
     """docs' rows of the mix: all their columns and `copies_as`, how many epochs of its leaf have the row.
 
@@ -128,20 +138,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED
     docs named as copies_as needs another name there.
     """
     named = leveled(docs)
-    rows = named.select("doc_id", *[F.col(own(c)).alias(c) for c in LEVELS], tokens().alias("n_tokens"))
-    leaf = stash(cuts(rows, weights, epochs, seed, share), "mix-cuts").select(*[F.col(c).alias(own(c)) for c in (*LEVELS, "whole", "cut")])
+    leaf = stash(cuts(counted(named), weights, epochs, seed, share), "mix-cuts").select(*[F.col(c).alias(own(c)) for c in (*LEVELS, "whole", "cut")])
     # A row for each leaf on the right side: Spark broadcasts it if its size is small, and splits skewed leaves if not.
     joined = named.join(leaf, [own(c) for c in LEVELS])
-    within = F.coalesce(order(F.col(own("whole")), seed) <= F.col(own("cut")), F.lit(False)).cast("int")
-    copies = F.col(own("whole")) + within
+    copies = copies_of(own("whole"), own("cut"), seed)
     return joined.filter(copies > 0).select(*docs.columns, copies.alias(copies_as))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """One row for each selected document: doc_id, domain, lang, source, n_tokens, copies."""
-    out = mix(docs.select("doc_id", "text", "lang", "source"), **options)
-    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    return out.select("doc_id", domain(source).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), source.alias("source"), tokens().alias("n_tokens"), "copies")
+def mixed(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED, share=SHARE) -> DataFrame:
+    """One row for each selected document: doc_id, domain, lang, source, n_tokens, copies. As mix(), without the texts."""
+    rows = counted(leveled(docs.select("doc_id", "text", "lang", "source")))
+    leaf = stash(cuts(rows, weights, epochs, seed, share), "mix-cuts").select(*LEVELS, "whole", "cut")
+    joined = rows.join(leaf, list(LEVELS)).withColumn("copies", copies_of("whole", "cut", seed))
+    return joined.filter("copies > 0").select("doc_id", *LEVELS, "n_tokens", "copies")
 
 
 def _weight_sql(level: str) -> str:

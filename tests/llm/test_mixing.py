@@ -1,3 +1,4 @@
+import hashlib
 from fractions import Fraction
 
 import pytest
@@ -53,14 +54,26 @@ def test_budgets_and_prefixes(spark, epochs, share):
         supply[leaf] = supply.get(leaf, 0) + r["n"]
         order.setdefault(leaf, []).append((r["doc_id"], r["n"]))
     expected = budgets(supply, sum(supply.values()) * share[0] // share[1], epochs)
-    taken = {}
+    taken, found = {}, {}
     for r in mixing.mixed(docs, epochs=epochs, share=share).collect():
         leaf = (r["domain"], r["lang"], r["source"])
         taken[leaf] = taken.get(leaf, 0) + r["n_tokens"] * r["copies"]
+        found.setdefault(leaf, {})[r["doc_id"]] = r["copies"]
         assert 1 <= r["copies"] <= epochs
     for leaf, budget in expected.items():
         most = max(n for _, n in order[leaf])
         assert budget - most < taken.get(leaf, 0) <= budget
+        # Whole epochs, and of the next one the documents that come first in its seeded order, as long as they fit.
+        whole, part = divmod(budget, supply[leaf])
+        placed = sorted((hashlib.md5(f"{mixing.SEED}:{whole}:{d}".encode()).hexdigest(), d, n) for d, n in order[leaf])
+        prefix, used = set(), 0
+        for _, d, n in placed:
+            if used + n > part or not part:
+                break
+            used += n
+            prefix.add(d)
+        copies = {d: whole + (d in prefix) for d, _ in order[leaf]}
+        assert {d: c for d, c in copies.items() if c} == found.get(leaf, {})
 
 
 def test_odd_rows(spark):
@@ -69,3 +82,13 @@ def test_odd_rows(spark):
     assert found.columns == [*docs.columns, "copies"]
     assert {r["doc_id"] for r in found.collect()} <= {None, 2}
     assert mixing.mix(docs.filter("false")).count() == 0
+
+
+def test_long_texts_and_ties(spark):
+    rows = [(1, "w " * 200_000, "en", "s"), (1, "w " * 3, "en", "s"), (1, "w " * 3, "en", "s"), *[(k, "a b", "en", "s") for k in range(2, 40)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    copies = {}
+    for r in mixing.mixed(docs, epochs=1, share=(1, 2)).collect():
+        copies.setdefault(r["doc_id"], []).append((r["n_tokens"], r["copies"]))
+    # Rows that share an id stand or fall together; all of them are over the budget here.
+    assert 1 not in copies and sum(n * c for x in copies.values() for n, c in x) <= (200_006 + 76) // 2

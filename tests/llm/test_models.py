@@ -51,6 +51,56 @@ def test_fingerprints_of_documents(spark):
             assert abs(r["near_next"] - fingerprints.likeness(mine, following)) < 1e-12
 
 
+def plain_phrases(text, levels):
+    """Locally consistent parsing one symbol at a time: the phrases of each level as tuples of what they hold."""
+    def toss(symbol, left):
+        if left is None:
+            return symbol & 1
+        bit = ((symbol ^ left) & -(symbol ^ left)).bit_length() - 1
+        return 2 * bit + (symbol >> bit & 1)
+
+    # Names stand for phrases: the library's own, so that bits agree; boundaries and contents are found here.
+    out, symbols = [], list(text)
+    for level in range(1, levels + 1):
+        runs = []
+        for x in symbols:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        colour = [r[0] for r in runs]
+        for _ in range(3 if level == 1 else 4):
+            colour = [toss(c, colour[k - 1] if k else None) for k, c in enumerate(colour)]
+        n = len(runs)
+        begin = [k for k in range(n) if k == 0 or 1 < k < n - 1 and colour[k] < colour[k - 1] and colour[k] < colour[k + 1]]
+        phrases = [tuple(map(tuple, runs[a:b])) for a, b in zip(begin, [*begin[1:], n], strict=True)]
+        names, _ = fingerprints.level_up(np.array(symbols, np.uint8 if level == 1 else np.uint64), np.array([0, len(symbols)]))
+        assert len(names) == len(phrases)
+        same = {}
+        for name, phrase in zip(names.tolist(), phrases, strict=True):
+            assert same.setdefault(phrase, name) == name
+        assert len(set(same.values())) == len(same)
+        out.append(phrases)
+        symbols = names.tolist()
+    return out
+
+
+def test_phrases_against_a_plain_parser():
+    rng = random.Random(8)
+    for text in (b"", b"a", b"aaaa", b"ab" * 300, bytes(rng.choice(b"ab") for _ in range(700)), bytes(rng.choice(b"abcdefgh ") for _ in range(2000)), bytes(rng.randrange(256) for _ in range(900)), b"x" * 100 + b"y"):
+        if text:
+            phrases = plain_phrases(text, 4)
+            assert all(sum(k for _, k in p) >= 1 for level in phrases for p in level)
+
+
+def test_repeated_and_null_ids_have_fingerprints(spark):
+    rows = [(3, "a b c"), (3, "a b c"), (None, "x" * 3000), (None, None), (3, "d"), (9, "long text " * 30_000)]
+    found = fingerprints.document_fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["doc_id"] or -1, r["n_chars"]) for r in found) == sorted((d or -1, len(t or "")) for d, t in rows)
+    assert len({r["fingerprint"] for r in found if r["n_chars"] == 5}) == 1
+    assert fingerprints.document_fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_equal_substrings_share_phrases_at_any_offset():
     rng = random.Random(2)
     letters = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
@@ -121,3 +171,53 @@ def test_long_pages_of_unclosed_elements(spark):
         assert np.allclose(path(b.element), model.p["paths"][html_extraction.path_parts(b.path)].mean(0), atol=1e-5)
     pages = spark.createDataFrame([(1, "u", source), (2, "v", "<p>x" * 50_000)], "page_id long, url string, html string")
     assert [r["n_blocks"] for r in html_extraction.extract_text(pages, model).collect()] == [35_001, 50_000]
+
+
+def test_learning_against_plain_steps():
+    """Follow-the-regularised-leader one number at a time, and TF-IDF of character n-grams by counting."""
+    rng, texts = random.Random(5), []
+    for k in range(24):
+        texts.append((" ".join(rng.choice([["the", "and", "of"], ["der", "und", "zu"], ["le", "et", "de"]][k % 3]) for _ in range(6)), k % 3))
+    counts = []
+    for text, _ in texts:
+        own = {}
+        for n in (1, 2, 3):
+            for i in range(len(text) - n + 1):
+                at, _ = language_id.features(text[i : i + n])
+                whole = [a for a in at.tolist() if a not in {x for m in range(1, n) for j in range(n - m + 1) for x in language_id.features(text[i + j : i + j + m])[0].tolist()}] if n > 1 else at.tolist()
+                for a in whole:
+                    own[a] = own.get(a, 0) + 1
+        counts.append(own)
+    for (text, _), own in zip(texts, counts, strict=True):
+        at, found = language_id.features(text)
+        assert sum(found.tolist()) == sum(max(0, len(text) - n + 1) for n in (1, 2, 3))
+        assert set(own) <= set(at.tolist())
+    idf = np.ones(language_id.DIM)
+    rows = [(*((at := language_id.features(t))[0], language_id.weighted(*at, idf)), y) for t, y in texts]
+    z, n = {}, {}
+    weight = lambda a, c: 0.0 if abs(z.get((a, c), 0.0)) <= language_id.L1 else -(z[a, c] - np.sign(z[a, c]) * language_id.L1) / ((language_id.BETA + n[a, c] ** 0.5) / language_id.ALPHA + language_id.L2)
+    order = np.random.default_rng(1)
+    for _ in range(language_id.EPOCHS):
+        for i in order.permutation(len(rows)):
+            at, x, y = rows[i]
+            scores = [sum(v * weight(a, c) for a, v in zip(at.tolist(), x.tolist(), strict=True)) for c in range(3)]
+            e = [np.exp(s - max(scores)) for s in scores]
+            before = {(a, c): weight(a, c) for a in at.tolist() for c in range(3)}
+            for a, v in zip(at.tolist(), x.tolist(), strict=True):
+                for c in range(3):
+                    g = v * (e[c] / sum(e) - (c == y))
+                    old = n.get((a, c), 0.0)
+                    n[a, c] = old + g * g
+                    z[a, c] = z.get((a, c), 0.0) + g - (n[a, c] ** 0.5 - old**0.5) / language_id.ALPHA * before[a, c]
+    learned = language_id.learn(rows, 3)
+    for (a, c) in z:
+        assert abs(learned[a, c] - weight(a, c)) < 1e-9
+    assert np.count_nonzero(learned) <= len(z)
+
+
+def test_repeated_and_long_texts_have_one_language(spark):
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("the cat and the dog of it", "en"), ("der hund und die katze zu", "de")] * 20)]
+    rows += [(100, "the and of " * 100_000, None), (101, "the and of it", None), (101, "the and of it", None)]
+    found = language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r["lang_pred"] for r in found if r["doc_id"] >= 100} == {"en"}
+    assert len({r["score"] for r in found if r["doc_id"] == 101}) == 1

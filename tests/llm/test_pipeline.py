@@ -39,3 +39,31 @@ def test_stages_against_plain_versions(stages):
 
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == stages[-1][1].count()
+
+
+def odd(spark, *more):
+    text = "one of several texts that are long enough to have some shingles of five words each"
+    rows = [(1, text, "en", "s"), (2, text, "en", "s"), (3, None, None, None), (4, "", "de", ""), (None, text + " more", "en", None), (5, "12 34 !?", None, "s"), (6, text + " and one more", "fr", "t"), (6, "quite another text of the same id", "fr", "t"), (7, "word " * 50_000, "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return docs.selectExpr("*", "length(text) as n_chars", *[f"{k} as `{name}`" for k, name in enumerate(more)])
+
+
+def test_odd_rows_and_clashing_names(spark):
+    docs = odd(spark, "copies", "component_id", "kept", "digest", "sequence_id", "graphloom", "whole", "bits")
+    for (name, stage), few in zip(corpus_pipeline.STAGES, [7, 6, None, None, None], strict=True):
+        result = stage(spark, docs, SF).cache()
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert result.dtypes == docs.dtypes
+            assert all(r["kept"] == 2 and r["copies"] == 0 for r in result.collect())
+        if few is not None:
+            assert result.count() == few
+        docs = result
+    assert docs.count() > 0
+
+
+def test_no_rows(spark):
+    docs = odd(spark).filter("false")
+    for _, stage in corpus_pipeline.STAGES:
+        result = stage(spark, docs, SF)
+        assert result.count() == 0
+        docs = result if result.columns == docs.columns else docs
