@@ -103,7 +103,7 @@ def by_vectors(embeddings: DataFrame, queries: DataFrame, limit: int) -> DataFra
                 near = np.round(distance, DIGITS)
                 order = np.lexsort((np.broadcast_to(place, near.shape), near), axis=1)[:, :limit]
                 n = order.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(asked), n)), pa.array(np.take_along_axis(distance, order, 1).ravel()), pa.array(name[order.ravel()].tolist(), pa.string())], names=["query_index", "distance", "node_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(asked, dtype=object), n), batch.column(2).type.value_type), pa.array(np.take_along_axis(distance, order, 1).ravel()), pa.array(name[order.ravel()].tolist(), pa.string())], names=["query_index", "distance", "node_id"])
 
     kind = dict(queries.dtypes)["query_index"]
     blocks = packed(embeddings, "node_id", "vector").crossJoin(packed(queries, "query_index", "query"))  # of blocks, not of rows

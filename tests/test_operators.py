@@ -279,17 +279,17 @@ def test_text_fallback_keeps_the_whole_source(spark):
     row = ingestion.text_entities(spark.createDataFrame([("a/b.txt", source)], "rel_path string, content string")).first()
     assert (row["name"], row["qualified_name"], row["kind"], row["start_line"], row["end_line"]) == ("a/b.txt", "a/b.txt", "file", 0, 1000)
     assert row["docstring"] == row["raw_text"] == source
-    assert "p16_whole_text_fallback" in catalog.ORACLES
+    assert "p16_text_fallback" in catalog.ORACLES
 
 
 def test_parse_failures_over_all_parts_and_languages(spark):
     from graphloom import catalog
 
     parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
-    found = {(r["language"], r["ok"]): r["files"] for r in catalog.QUERIES["i05_parse_failures"](spark, "/root/testdata/sf0.001").collect()}
-    assert {language for language, _ in found} == set(parsing.LANGUAGES[k] for k in parsing.SAMPLES)
-    assert sum(found.values()) == parts
-    assert found["python", True] > found["python", False] > 0
+    found = {r["language"]: (r["good"], r["failed"]) for r in catalog.QUERIES["i05_parse_failures"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(found) == set(parsing.LANGUAGES[k] for k in parsing.SAMPLES)
+    assert sum(map(sum, found.values())) == parts
+    assert found["python"][0] > found["python"][1] > 0
 
 
 def test_many_queries_keep_ties_by_id_and_few_rows_a_task(spark):
