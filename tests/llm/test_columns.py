@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import exact_dedup, fingerprints, html_extraction, language_id, mixing, neardup, packing, sharding, substring_dedup, suffix_dedup
 from tests.llm.test_packing import PATH
 
-NAMES = "uid digest salt body row rest key hot size component content sketch rep value root node place cell arc lo hi n_tokens whole cut part score lang_pred held_out spans anchor bucket target guard before task rank piece domain copies whole block other word bit bits keep_id group_size no_text mix_domain".split()
+NAMES = "uid digest salt body row rest key hot size component content sketch rep value root node place cell arc lo hi n_tokens whole cut part score lang_pred held_out spans anchor bucket target guard before task rank piece domain copies block other word bit bits keep_id group_size no_text mix_domain".split()
 ROWS = [(1, "a b c d e f g h", "en", "s"), (2, "a b c d e f g h", "en", "s"), (3, None, None, None), (None, "x", "de", "t"), (3, "", "de", "")]
 
 
