@@ -47,7 +47,8 @@ def neighbors(edges: DataFrame, ids: DataFrame, direction: str = "out", relation
 def traverse(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out", relationship: str | None = None) -> DataFrame:
     """(seed, id, depth, path): nodes within `depth` steps of each seed at least depth, by their least shortest path.
 
-    Level by level: a join of the frontier with the edges, less what has been seen. Lineage is cut at each level.
+    Level by level: a join of the frontier with the edges, less what has been seen. The steps are written once where
+    several levels read them; only what is reached is made distinct. Lineage is cut at each level.
     """
     if depth < 0:
         raise ValueError("depth must not be negative")
@@ -55,7 +56,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "o
         edges = edges.filter(F.col("relationship") == relationship)
     step = {"out": edges.select(F.col("source_id").alias("at"), F.col("target_id").alias("next")), "in": edges.select(F.col("target_id").alias("at"), F.col("source_id").alias("next"))}
     step["both"] = step["out"].unionByName(step["in"])
-    step = step[direction].distinct()
+    step = cut(step[direction], "steps") if depth > 1 else step[direction]
     frontier = seeds.select(F.col("id").alias("seed"), "id").distinct().select("seed", "id", F.lit(0).alias("depth"), F.array("id").alias("path"))
     seen = frontier
     for k in range(1, depth + 1):
@@ -117,7 +118,7 @@ def dependents(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFram
 
 def regression_risk(nodes: DataFrame, edges: DataFrame, paths: DataFrame, cap: int = 1000) -> DataFrame:
     """The first `cap` dependents of changed files with evidence, whether they are tests, and how many there are in all."""
-    found = dependents(nodes, edges, paths)
+    found = cut(dependents(nodes, edges, paths), "dependents")
     total = found.agg(F.count(F.lit(1)).alias("total_dependents"))
     first = found.orderBy("id").limit(cap)
     named = nodes.select("id", "type", "name", "file_path").join(F.broadcast(first), "id")  # `cap` rows
