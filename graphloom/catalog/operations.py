@@ -262,6 +262,20 @@ def o06_playbook_references(spark, sf_dir):
     return rows.select("kind", "id", "name")
 
 
+@query("WITH e AS (SELECT event_type AS topic, event_id AS id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id)::INT AS sequence, event_id % 40 = 39 AS terminal FROM events) SELECT topic, id, sequence FROM e JOIN (SELECT topic, min(CASE WHEN terminal THEN sequence END) AS last FROM e GROUP BY topic) USING (topic) WHERE last IS NULL OR sequence <= last")
+def t10_events_until_terminal(spark, sf_dir):
+    e = tables.read(spark, sf_dir, "events").select(F.col("event_type").alias("topic"), "ts", F.col("event_id").alias("id"), (F.col("event_id") % 40 == 39).alias("terminal"))
+    return changes.until_terminal(changes.sequenced(e)).select("topic", "id", "sequence")
+
+
+@query(f"WITH {_JOBS} SELECT q.repo, q.id, CASE WHEN j.id IS NULL THEN 'not_found' WHEN j.status IN ('queued', 'running') THEN 'timeout' ELSE 'terminal' END AS outcome FROM (SELECT user_id AS repo, event_id + CASE WHEN event_id % 6 = 0 THEN 1 ELSE 0 END AS id FROM events) q LEFT JOIN jobs j ON j.id = q.id AND j.repo = q.repo")
+def t12_wait_outcomes(spark, sf_dir):
+    """Every sixth question is about another job than the repository's own."""
+    i = F.col("event_id")
+    asked = tables.read(spark, sf_dir, "events").select(F.col("user_id").alias("repo"), (i + F.when(i % 6 == 0, 1).otherwise(0)).alias("id"))
+    return changes.outcomes(queue(spark, sf_dir), asked)
+
+
 _ENDS = """own AS (SELECT * FROM nodes WHERE file_path = (SELECT file_path FROM files WHERE id = 'P:40')),
 chosen AS (SELECT * FROM own ORDER BY CASE WHEN type IN ('class', 'function', 'method', 'variable', 'constant', 'type_alias') THEN 0 WHEN type IN ('file', 'module') THEN 1 ELSE 2 END, start_line, lower(name), id LIMIT 50),
 around AS (SELECT c.id, e.* FROM chosen c JOIN edges e ON e.source_id = c.id UNION ALL SELECT c.id, e.* FROM chosen c JOIN edges e ON e.target_id = c.id),

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-# Seconds between looks at a repository, and of quiet before a change counts.
-FIRST_S, LAST_S, DEBOUNCE = 2.0, 30.0, "500 milliseconds"
+# Seconds between looks at a repository, and of quiet before a change counts, and the longest wait for a job.
+FIRST_S, LAST_S, DEBOUNCE, LONGEST_WAIT_S = 2.0, 30.0, "500 milliseconds", 10.0
 
 
 def changes(looks: DataFrame) -> DataFrame:
@@ -40,6 +41,35 @@ def sequenced(events: DataFrame) -> DataFrame:
     return events.withColumn("sequence", F.row_number().over(Window.partitionBy("topic").orderBy("ts", "id")))
 
 
+def until_terminal(events: DataFrame) -> DataFrame:
+    """Numbered events (topic, sequence, terminal) that a subscriber of its topic gets: up to the first terminal one."""
+    ends = events.filter("terminal").groupBy(F.col("topic").alias("of")).agg(F.min("sequence").alias("last"))
+    kept = events.join(ends, F.col("topic") == F.col("of"), "left").filter("last is null or sequence <= last")
+    return kept.select(*events.columns)
+
+
+def subscribed(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
+    """Events that producers write as files, as a stream that takes in `files` a batch at most: a slow reader holds up its
+    own batches only, and nothing is lost, as the files stay."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def waited(query: StreamingQuery, seconds: float) -> str:
+    """Waits for a stream to end, at most LONGEST_WAIT_S: `terminal`, or `timeout` if it still runs."""
+    if seconds < 0:
+        raise ValueError("seconds must not be negative")
+    return "terminal" if query.awaitTermination(min(seconds, LONGEST_WAIT_S)) else "timeout"
+
+
+def outcomes(jobs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Of asked jobs (repo, id): not_found if the job is absent or another repository's, terminal, or timeout if it is
+    still active when the wait is over."""
+    known = jobs.select(F.col("id").alias("known"), F.col("repo").alias("of"), "status")
+    rows = asked.join(known, (F.col("id") == F.col("known")) & (F.col("repo") == F.col("of")), "left")
+    active = F.col("status").isin("queued", "retrying", "running", "cancelling")
+    return rows.select("repo", "id", F.when(F.col("known").isNull(), "not_found").when(active, "timeout").otherwise("terminal").alias("outcome"))
+
+
 def stream_changes(looks: DataFrame) -> DataFrame:
     """changes() of a stream: the last good fingerprint of each repository is kept as state."""
 

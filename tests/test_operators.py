@@ -350,3 +350,36 @@ def test_answers_within_their_time(spark):
     assert playbooks.answer(spark, nodes, edges, playbooks.Request("load", mode="thorough"), chosen).decision.playbook == "INVENTORY"
     wrong = playbooks.Choice("other", lambda request, able: {"model": "m", "choice": "INVENTORY", "confidence": 0.7, "probabilities": {p: 1 / len(able) for p in able}})
     assert playbooks.answer(spark, nodes, edges, playbooks.Request("load", mode="thorough"), wrong).fallback
+
+
+def test_providers(spark):
+    from graphloom.plans import providers
+
+    rows = spark.createDataFrame([(f"n{k}", f"text {k % 3} " * 5) for k in range(300)], "id string, text string")
+    found = {r["node_id"]: tuple(r["vector"]) for r in providers.embedded(rows, "id", "text", lambda: providers.Hashing(16)).collect()}
+    assert len(found) == 300 and len(set(found.values())) == 3 and all(len(v) == 16 for v in found.values())
+    good = [{"index": 1, "embedding": [1, 2.0]}, {"index": 0, "embedding": [0, 0]}]
+    assert providers.checked_embeddings(good, 2, 2) == [[0.0, 0.0], [1.0, 2.0]]
+    for bad in ([good[0]], [good[0], good[0]], [{"index": 0, "embedding": [1]}, good[0]], [{"index": 0, "embedding": [float("nan"), 1]}, good[0]], [{"index": True, "embedding": [1, 1]}, good[1]]):
+        with pytest.raises(ValueError):
+            providers.checked_embeddings(bad, 2, 2)
+    assert list(providers.requests(["a" * 50, "b" * 60, "c" * 10, "d"], 2, 100)) == [(0, 1), (1, 3), (3, 4)]
+    with pytest.raises(ValueError):
+        list(providers.requests(["a" * 101], 2, 100))
+    assert providers.checked_ranking([{"index": 2, "score": 0.9}, {"index": 0, "score": 0.9}], 3, 2) == [(2, 0.9), (0, 0.9)]
+    for bad in ([{"index": 0, "score": 1.0}], [{"index": 0, "score": 0.1}, {"index": 1, "score": 0.2}], [{"index": 0, "score": 1.0}, {"index": 0, "score": 0.5}]):
+        with pytest.raises(ValueError):
+            providers.checked_ranking(bad, 3, 2)
+
+
+def test_a_bounded_stream_and_a_bounded_wait(spark, tmp_path):
+    for k in range(3):
+        spark.createDataFrame([(k, "t")], "id int, topic string").write.mode("append").parquet(str(tmp_path / "in"))
+    sizes = []
+    stream = changes.subscribed(spark, str(tmp_path / "in"), "id int, topic string")
+    query = stream.writeStream.foreachBatch(lambda df, n: sizes.append(df.count())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    while changes.waited(query, 10) == "timeout":
+        pass
+    assert sizes.count(1) == 3 and max(sizes) == 1
+    with pytest.raises(ValueError):
+        changes.waited(query, -1)
