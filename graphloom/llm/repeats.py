@@ -2,9 +2,9 @@
 
 Successive windows with one anchor (a content-chosen run of symbols inside each window) form a piece, so equal windows lie
 in pieces of one anchor, at the same place to it. Pieces whose anchor occurs once in the corpus are left: none of their
-windows repeats. A piece has the names of its first and its last window - 1 symbols, its source and its target. As it has
-fewer windows than a window has symbols, these two cover all of it: equal pieces have equal anchors, sources, targets and
-shapes (number of windows, and place of the anchor), which stand for their content with 186 bits of names.
+windows repeats. What tells a piece from others of its anchor and shape (number of windows, and place of the anchor) is
+either one name of all its symbols (`content`), or the names of its first and its last window - 1 symbols, its `source` and
+`target`: as it has fewer windows than a window has symbols, these two cover all of it.
 
 Rows are named by a number, `uid`, in the order that decides which of two equal strings is earlier.
 """
@@ -24,7 +24,12 @@ from graphloom.llm.symbols import Names, chunks, pieces, signed
 #: Turns the bytes of some texts into quick hashes of their symbols, the texts' n + 1 symbol offsets, and a function that
 #: gives a 64-bit name for each symbol.
 Reader = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, Callable[[], np.ndarray]]]
-PIECE = ["anchor", "source", "target", "shape"]
+#: The names that pieces have, and the columns that tell them apart.
+CONTENT, NODES = ("content",), ("source", "target")
+
+
+def piece(names: tuple[str, ...]) -> list[str]:
+    return ["anchor", *names, "shape"]
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -53,48 +58,48 @@ def unpacked(place: str = "place") -> tuple[Column, Column, Column]:
     return F.shiftright(c, 16).alias("at"), (F.shiftright(c, 8) % 256).cast("int").alias("n"), (c % 256).cast("int").alias("lead")
 
 
-def scan(reader: Reader, window: int, gram: int, only_anchor: bool):
-    """A function for mapInArrow over (uid, text) that gives the texts' pieces, or only their anchors."""
+def scan(reader: Reader, window: int, gram: int, names: tuple[str, ...] = ()):
+    """A function for mapInArrow over (uid, text) that gives the texts' pieces with these names; without, their anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _hi, data, offsets in chunks(batch.column(1)):
-                symbols, places, names = reader(data, offsets)
+                symbols, places, named_by = reader(data, offsets)
                 p = pieces(symbols, places, window, gram)
                 if not len(p["row"]):
                     continue
                 anchor = pa.array(signed(p["anchor"]))
-                if only_anchor:
+                if not names:
                     yield pa.RecordBatch.from_arrays([anchor], names=["anchor"])
                 else:
-                    name, end = Names(names()), p["start"] + p["n"]
-                    nodes = [pa.array(signed(name(at, at + window - 1))) for at in (p["start"], end)]
+                    name, start, end = Names(named_by()), p["start"], p["start"] + p["n"]
+                    ranges = [(start, end + window - 1)] if names == CONTENT else [(start, start + window - 1), (end, end + window - 1)]
                     uid = batch.column(0).take(pa.array(p["row"] + lo))
-                    yield pa.RecordBatch.from_arrays([anchor, *nodes, uid, pa.array(packed(p["at"], p["n"], p["lead"]))], names=["anchor", "source", "target", "uid", "place"])
+                    yield pa.RecordBatch.from_arrays([anchor, *[pa.array(signed(name(a, b))) for a, b in ranges], uid, pa.array(packed(p["at"], p["n"], p["lead"]))], names=["anchor", *names, "uid", "place"])
 
     return run
 
 
-def found_pieces(rows: DataFrame, reader: Reader, window: int, gram: int) -> DataFrame:
-    """PIECE, uid, place of the pieces of rows (uid, text) whose anchor occurs again."""
+def found_pieces(rows: DataFrame, reader: Reader, window: int, gram: int, names: tuple[str, ...]) -> DataFrame:
+    """anchor, names, shape, uid, place of the pieces of rows (uid, text) whose anchor occurs again."""
     texts = rows.select("uid", "text")
-    anchors = texts.mapInArrow(scan(reader, window, gram, True), "anchor long")
+    anchors = texts.mapInArrow(scan(reader, window, gram), "anchor long")
     often = stash(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor"), "anchors")
-    found = texts.mapInArrow(scan(reader, window, gram, False), "anchor long, source long, target long, uid long, place long")
+    found = texts.mapInArrow(scan(reader, window, gram, names), ", ".join(f"{c} long" for c in ("anchor", *names, "uid", "place")))
     out = stash(found.join(often, "anchor", "left_semi"), "pieces")
     discard(often)
     return out.withColumn("shape", F.col("place") % 65536)
 
 
-def different(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each different piece once: PIECE, first (uid, at), times; and as (anchor, uid, at, n, lead) those whose anchor
+def different(found: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Each different piece once: anchor, names, shape, first (uid, at), times; and as (anchor, uid, at, n, lead) those whose anchor
     stands in different pieces: where shared strings begin, end or branch.
 
     The first occurrence is a partial aggregate, so a passage or a text that a third of all rows share is a row per map
     task. Both are tables, so that Spark can split hot keys of joins with them.
     """
     spot = F.struct("uid", F.shiftright("place", 16).alias("at"))
-    whole = stash(found.groupBy(*PIECE).agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("times")), "whole-pieces")
+    whole = stash(found.groupBy(*piece(names)).agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("times")), "whole-pieces")
     kinds = stash(whole.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor"), "branching-anchors")
     _, n, lead = unpacked("shape")
     branching = stash(whole.join(kinds, "anchor", "left_semi").select("anchor", F.col("first.uid").alias("uid"), F.col("first.at").alias("at"), n, lead), "branching")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import discard, stash
-from graphloom.llm.repeats import PIECE, different, found_pieces, looked_up, named, struct_columns, unpacked, with_spans
+from graphloom.llm.repeats import NODES, different, found_pieces, looked_up, named, piece, struct_columns, unpacked, with_spans
 from graphloom.llm.symbols import BYTES, FACTORS, Names, Ranges, chunks, covered, signed, word_names, words
 
 WINDOW = 20
@@ -104,8 +104,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     each other. Texts with fewer words than a window keep all. No rows in, no rows out; other columns are ignored.
     """
     rows = named(docs)
-    found = found_pieces(rows, reader, window, gram)
-    whole, branching = different(found)
+    found = found_pieces(rows, reader, window, gram, NODES)
+    whole, branching = different(found, NODES)
     single = stash(looked_up(branching, rows.select("uid", "text"), single_windows(window), "source long, target long, uid long, at long"), "single-windows")
     discard(branching)
     ones = single.groupBy("source", "target").agg(F.min(F.struct("uid", "at")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
@@ -119,7 +119,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     # Where an edge's path begins in a source of the edge, and in the path's first source.
     path = [F.col("first.uid").alias("path_uid"), F.col("start").alias("path_at"), (F.col("first.at") - F.col("start")).alias("along")]
     at, n, _ = unpacked()
-    walked = found.join(paths.filter(~F.col("single")).select(*PIECE, *path), PIECE).select("uid", at, n, "path_uid", "path_at", "along")
+    walked = found.join(paths.filter(~F.col("single")).select(*piece(NODES), *path), piece(NODES)).select("uid", at, n, "path_uid", "path_at", "along")
     alone = single.join(paths.filter("single").select("source", "target", *path), ["source", "target"]).select("uid", "at", F.lit(1).alias("n"), "path_uid", "path_at", "along")
     later = walked.unionByName(alone).filter((F.col("uid") != F.col("path_uid")) | (F.col("at") - F.col("along") != F.col("path_at"))).select("uid", "at", "n")
     return with_spans(rows, later).select("doc_id", "text", "spans").mapInArrow(keep_words(window), RESULT)

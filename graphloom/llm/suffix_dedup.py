@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import partitions
-from graphloom.llm.repeats import PIECE, different, found_pieces, looked_up, named, struct_columns, unpacked, with_spans
+from graphloom.llm.repeats import CONTENT, different, found_pieces, looked_up, named, piece, struct_columns, unpacked, with_spans
 from graphloom.llm.symbols import BYTES, chunks, covered
 
 WINDOW = 100
@@ -180,10 +180,10 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     all. No rows in, no rows out; columns other than doc_id and text are ignored.
     """
     rows = named(docs)
-    found = found_pieces(rows, reader, window, gram)
-    whole, branching = different(found)
-    again = whole.filter("times > 1").select(*PIECE, "first")
+    found = found_pieces(rows, reader, window, gram, CONTENT)
+    whole, branching = different(found, CONTENT)
+    again = whole.filter("times > 1").select(*piece(CONTENT), "first")
     at, n, _ = unpacked()
-    later = found.join(again, PIECE).select("uid", at, n, "first").filter(F.struct("uid", "at") != F.col("first")).drop("first")
+    later = found.join(again, piece(CONTENT)).select("uid", at, n, "first").filter(F.struct("uid", "at") != F.col("first")).drop("first")
     single = compare(branching, rows.select("uid", "text"), window).select("uid", "at", F.lit(1).alias("n"))
     return with_spans(rows, later.unionByName(single)).select("doc_id", "text", "spans").mapInArrow(keep_bytes(window), RESULT)
