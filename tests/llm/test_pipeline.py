@@ -50,7 +50,7 @@ def odd(spark, *more):
 
 def test_odd_rows_and_clashing_names(spark):
     docs = odd(spark, "copies", "component_id", "kept", "digest", "sequence_id", "graphloom", "whole", "bits")
-    for (name, stage), few in zip(corpus_pipeline.STAGES, [7, 6, None, None, None], strict=True):
+    for (name, stage), few in zip(corpus_pipeline.STAGES, [6, 5, None, None, None], strict=True):
         result = stage(spark, docs, SF).cache()
         if name != corpus_pipeline.STAGES[-1][0]:
             assert result.dtypes == docs.dtypes
