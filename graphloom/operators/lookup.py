@@ -10,8 +10,6 @@ NODE_TYPES = ("file", "module", "class", "function", "method", "variable", "cons
 SYMBOL_TYPES = ("class", "function", "method", "variable", "constant", "type_alias")
 RELATIONSHIPS = ("contains", "calls", "imports", "inherits", "implements", "references", "authored_by", "modifies")
 SYMBOL_LIMIT = 200
-#: Nodes span 2^MAX_LEVEL lines at most.
-MAX_LEVEL = 31
 
 
 def scoped(nodes: DataFrame, kind: str | None = None, repo: int | None = None) -> DataFrame:
@@ -88,14 +86,17 @@ def at_positions(nodes: DataFrame, positions: DataFrame) -> DataFrame:
 
     Rows meet by file and by a block of lines, whose size is the power of two that holds a node's span: a node is in at
     most two blocks of its size, and a position asks in one block of each size that there is. So a file of many nodes and
-    many positions compares few of them with each other.
+    many positions compares few of them with each other. Spark takes the positions for as small as before their rows were
+    multiplied and would broadcast them, so the join is asked to merge.
     """
     start, end = F.coalesce("start_line", F.lit(-1)).cast("long"), F.coalesce("end_line", F.lit(-1)).cast("long")
     own = nodes.select("file_path", "id", "name", "start_line", "end_line", start.alias("from"), end.alias("to")).filter(F.col("file_path").isNotNull() & (F.col("from") <= F.col("to")))
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("to") - F.col("from") + 1))).cast("int")
-    own = own.withColumn("level", level).withColumn("block", F.explode(F.array_distinct(F.array(F.expr("shiftright(`from`, level)"), F.expr("shiftright(`to`, level)")))))
-    asked = positions.select("file_path", "line").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(MAX_LEVEL)))).withColumn("block", F.expr("shiftright(cast(line as bigint), level)"))
-    met = asked.join(own, ["file_path", "level", "block"]).filter(F.col("line").between(F.col("from"), F.col("to")))
+    own = own.withColumn("level", level)
+    levels = own.select("level").distinct()  # 64 at most
+    own = own.withColumn("block", F.explode(F.array_distinct(F.array(F.expr("shiftright(`from`, level)"), F.expr("shiftright(`to`, level)")))))
+    asked = positions.select("file_path", "line").distinct().join(F.broadcast(levels), F.lit(True)).withColumn("block", F.expr("shiftright(cast(line as bigint), level)"))
+    met = asked.hint("merge").join(own, ["file_path", "level", "block"]).filter(F.col("line").between(F.col("from"), F.col("to")))
     best = met.groupBy("file_path", "line").agg(F.min_by(F.struct("id", "name", "start_line", "end_line"), F.struct(span(), "id")).alias("n"))
     return best.select("file_path", "line", "n.*")
 
