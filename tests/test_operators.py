@@ -90,6 +90,17 @@ def test_positions_are_not_broadcast(spark, tmp_path):
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
 
 
+def test_files_of_functions_are_not_broadcast(spark, tmp_path):
+    """Their paths are far larger than their Parquet file and grow with the data."""
+    spark.createDataFrame([(k, f"n{k}", "Brand#1", "A B") for k in range(4)], "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame([(k, k % 4, 1, 1, 7.0, "A", "F") for k in range(40)], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    files, functions = tables.files(spark, str(tmp_path)), tables.functions(spark, str(tmp_path))
+    found = lookup.at_positions(files.unionByName(functions), files.select("file_path", F.lit(10).alias("line")))
+    assert sorted(r["id"] for r in found.collect()) == ["L:10:1:2:1", "L:3:1:3:1", "L:4:1:0:1", "L:5:1:1:1"]
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_node_of_any_span_at_position(spark):
     nodes = spark.createDataFrame([("all", "f", 0, 1 << 33, "all"), ("one", "f", 5, 5, "one")], "id string, file_path string, start_line long, end_line long, name string")
     found = lookup.at_positions(nodes, spark.createDataFrame([("f", 5), ("f", 1 << 32)], "file_path string, line long")).collect()
