@@ -10,7 +10,8 @@
    - Of larger sets the first FIRST values are listed. All of them miss a linked set with a probability of at most
      (1-t)^FIRST, 7e-12 for t = 0.8.
    Values on more than LONG lists' entries are common (a shared passage, a large group of copies). They come last in the
-   order, and a node whose other values suffice for the above isn't listed under them at all.
+   order, and a node whose other values suffice for the above isn't listed under them at all. Which are common is read
+   from a map of bits; a value that shares the bit of a common one comes last too, which is an order of all values still.
 3. Members of a list meet in one task, those of a list of more than BLOCK members in a task for each two blocks. The union
    sketch estimates their similarities; what leaves a task is a star for each component of the pairs that may be linked,
    so a list gives fewer rows than it has entries and blocks. The stars' components are clusters of candidates.
@@ -42,7 +43,7 @@ LONG = 40
 #: Members that one task compares with as many others, and bytes of their texts.
 BLOCK = 1024
 BLOCK_BYTES = 4 << 20
-#: A broadcast map has 2^BITS bits in 2^(BITS - 6) rows at most.
+#: A broadcast map has 2^BITS bits in 2^(BITS - 6) rows or words at most.
 BITS = 24
 
 
@@ -85,28 +86,53 @@ def sketch(size: int, k: int):
     return run
 
 
-def listed(least: int):
-    """A pandas function: (n_shingles, sketch, common values) to the values a set is listed under."""
+def common_values(values: DataFrame) -> np.ndarray:
+    """The map of bits (64 a word) of values (value) that are in more than LONG rows: on the driver, of one size for any input."""
+    often = values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LONG)
+    place = often.select(F.col("value").bitwiseXOR(F.shiftrightunsigned("value", BITS)).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")).alias("place"))
+    words = place.select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    found = np.zeros(1 << (BITS - 6), U)
+    found[words["word"].to_numpy()] = words["bits"].to_numpy().view(U)
+    return found
 
-    def values(n: pd.Series, sketches: pd.Series, common: pd.Series) -> pd.Series:
+
+def is_common(found: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether values have their bit in a map of common_values()."""
+    place = (values ^ (values >> U(BITS))) & U((1 << BITS) - 1)
+    return (found[(place >> U(6)).astype(np.int64)] >> (place & U(63))) & U(1) == 1
+
+
+def listed(least: int, found: np.ndarray):
+    """A pandas function: (n_shingles, sketch) to the values a set is listed under; found: the map of common values."""
+
+    def values(n: pd.Series, sketches: pd.Series) -> pd.Series:
         out = []
-        for s, own, often in zip(n, sketches, common, strict=True):
-            own = own.view(U) if isinstance(own, np.ndarray) else np.asarray(own, dtype=np.int64).view(U)
-            last = np.isin(own, np.asarray(often, dtype=np.int64).view(U)) if often is not None and len(often) else np.zeros(len(own), bool)
-            rest = own[~last]
-            if s <= len(own):
-                want = s * (100 - least) // 100 + 1
-                enough = len(rest) >= want
-            else:
-                want = FIRST
-                enough = last.sum() <= COMMON
-            found = rest[:want] if enough else np.concatenate([rest[:want], own[last][: max(want - len(rest), FIRST)]])
-            out.append(found.view(np.int64))
+        for s, own in zip(n, sketches, strict=True):
+            own = np.asarray(own, dtype=np.int64).view(U)
+            out.append(chosen(s, own, is_common(found, own), least).view(np.int64))
         return pd.Series(out)
 
     return F.pandas_udf(values, "array<long>")
 
 
+def chosen(s: int, own: np.ndarray, last: np.ndarray, least: int) -> np.ndarray:
+    """The values that a set of s shingles with the sketch `own` is listed under; last: which of them are common."""
+    rest = own[~last]
+    if s <= len(own):
+        want = s * (100 - least) // 100 + 1
+        enough = len(rest) >= want
+    else:
+        want = FIRST
+        enough = last.sum() <= COMMON
+    return rest[:want] if enough else np.concatenate([rest[:want], own[last][: max(want - len(rest), FIRST)]])
+
+
+def inverted(reps: DataFrame, least: int) -> DataFrame:
+    """node, value: the lists that each node is on."""
+    found = common_values(reps.select(F.explode("sketch").alias("value")))
+    return reps.select("node", F.explode(listed(least, found)("n_shingles", "sketch")).alias("value"))
+
+
 def shares(a: np.ndarray, many: np.ndarray) -> np.ndarray:
     """The union sketch's share of common values for a sketch and each of many, all of them with as many values."""
     k = len(a)
@@ -439,12 +465,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, k: int = K)
     nodes = stash(nodes.select("content", "size", "r.*").withColumn("node", F.monotonically_increasing_id()), "nodes")
     classes = nodes.select("content", "size", "node", F.col("doc_id").alias("rep"))
     reps = nodes.select("node", "doc_id", "tag", "n_bytes", "n_shingles", "sketch")
-    # Values on long lists, and whom they belong to.
-    values = reps.select("node", F.explode("sketch").alias("value"))
-    often = stash(values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LONG).select("value"), "common-values")
-    common = values.join(often, "value", "left_semi").groupBy(F.col("node").alias("of")).agg(F.collect_list("value").alias("common"))  # k at most
-    lists = reps.join(common, F.col("node") == F.col("of"), "left").select("node", F.explode(listed(least)("n_shingles", "sketch", "common")).alias("value"))
-    lists = stash(lists, "lists")
+    lists = stash(inverted(reps, least), "lists")
     pairs = candidates(lists, reps, k, least)
     clusters = components(pairs)
     discard(lists, pairs)

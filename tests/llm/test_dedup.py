@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from graphloom.llm import exact_dedup, neardup, substring_dedup, suffix_dedup
@@ -82,6 +83,34 @@ def test_a_large_group_of_near_copies_and_a_common_passage(spark):
     assert by_id(neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), size=4)) == brute.near_duplicates(rows)
 
 
+def test_common_values_come_last_without_a_join(spark):
+    rng = random.Random(17)
+    often, seldom = [[rng.randrange(1 << 40) - (1 << 39) for _ in range(30)] for _ in range(2)]
+    rows = [(n, 100, sorted(rng.sample(often, 20) + ([seldom[n]] if n < 30 else []))) for n in range(200)]
+    reps = spark.createDataFrame(rows, "node long, n_shingles long, sketch array<long>")
+    found = neardup.common_values(reps.selectExpr("explode(sketch) as value"))
+    marked = lambda values: neardup.is_common(found, np.array(values, np.int64).view(np.uint64)).tolist()
+    assert marked(often) == [True] * 30 and marked(seldom) == [False] * 30
+    lists = neardup.inverted(reps, 80)
+    assert "Join" not in lists._jdf.queryExecution().sparkPlan().toString()
+    on = {}
+    for r in lists.collect():
+        on.setdefault(r["node"], []).append(r["value"])
+    assert all(on[n][:1] == ([seldom[n]] if n < 30 else on[n][:1]) and len(on[n]) >= neardup.FIRST for n in range(200))
+
+
+def test_linked_sets_share_a_list_whichever_values_are_common():
+    rng = np.random.default_rng(19)
+    found = rng.integers(0, 1 << 63, 1 << (neardup.BITS - 6), dtype=np.uint64)  # half of all values
+    for _ in range(2000):
+        n = int(rng.integers(1, 60))
+        every = np.sort(rng.choice(1 << 20, n, replace=False)).astype(np.uint64)
+        a, b = every[rng.random(n) > 0.1], every[rng.random(n) > 0.1]
+        if 100 * len(np.intersect1d(a, b)) >= 80 * n and len(np.union1d(a, b)) == n:
+            x, y = (neardup.chosen(len(v), v, neardup.is_common(found, v), 80) for v in (a, b))
+            assert len(np.intersect1d(x, y))
+
+
 def test_near_duplicates_of_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (3, "A b c d e f"), (3, "z z z z"), (9, "z z z z"), (4, None), (2, " ")], SCHEMA)
     found = sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs, size=4).collect())
